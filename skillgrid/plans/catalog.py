@@ -11,11 +11,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillgrid.plans import demand_plans, oracle_demand
+from skillgrid.plans import demand_plans, oracle_demand, oracle_text, text_plans
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Plan] = {
+    "reject_reasons": text_plans.reject_reasons,
+    "quarantine_payload": text_plans.quarantine_payload,
+    "adapter_projection": text_plans.adapter_projection,
+    "adapter_missing_column": text_plans.adapter_missing_column,
+    "clean_text_variants": text_plans.clean_text_variants,
+    "title_token_map": text_plans.title_token_map,
+    "skill_token_text": text_plans.skill_token_text,
+    "dedup_survivors": text_plans.dedup_survivors,
+    "posting_survivors": text_plans.posting_survivors,
+    "role_resolution": text_plans.role_resolution,
+    "role_unmatched": text_plans.role_unmatched,
+    "skill_match_tiers": text_plans.skill_match_tiers,
+    "unresolved_signals_top": text_plans.unresolved_signals_top,
     "role_requirements": demand_plans.role_requirements,
     "cumulative_evidence": demand_plans.cumulative_evidence,
     "demand_index": demand_plans.demand_index,
@@ -27,3 +40,4 @@ QUERIES: dict[str, Plan] = {
 
 ORACLES: dict[str, str] = {}
 ORACLES.update(oracle_demand.QUERIES)
+ORACLES.update(oracle_text.QUERIES)
