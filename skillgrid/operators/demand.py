@@ -33,7 +33,9 @@ def demand_inputs(mapped: DataFrame, pairs: DataFrame, *, by: tuple[str, ...] =
                   window_end: dt.date | None = None) -> DataFrame:
     """Mapped rows of required pairs, one per (posting, role, skill).
 
-    Optional date bounds are plain filters, so they reach the Parquet scan.
+    Pairs are matched on (role, skill) plus any ``by`` column they carry (e.g.
+    the requirement version).  Optional date bounds are plain filters, so
+    they reach the Parquet scan.
     A missing posting date fails the job inside the tasks (no driver check).
     """
     src = mapped
@@ -42,8 +44,9 @@ def demand_inputs(mapped: DataFrame, pairs: DataFrame, *, by: tuple[str, ...] =
     if window_end is not None:
         src = src.where(F.col(posted_at) <= F.lit(window_end))
     keys = [*by, role, posting]
+    pair_keys = [c for c in by if c in pairs.columns] + [role, skill]
     return (
-        src.join(pairs, [role, skill], "left_semi")
+        src.join(pairs, pair_keys, "left_semi")
         .repartition(*keys)
         .groupBy(*keys, skill)
         .agg(F.min(posted_at).alias(posted_at))

@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillgrid.plans import demand_plans, oracle_demand, oracle_text, text_plans
+from skillgrid.plans import (
+    demand_plans, oracle_demand, oracle_publish, oracle_text, publish_plans, text_plans,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +38,20 @@ QUERIES: dict[str, Plan] = {
     "monthly_demand_series": demand_plans.monthly_demand_series,
     "trend_slopes": demand_plans.trend_slopes,
     "decay_signals": demand_plans.decay_signals,
+    "version_manifest": publish_plans.version_manifest,
+    "lineage_by_dataset": publish_plans.lineage_by_dataset,
+    "current_requirements": publish_plans.current_requirements,
+    "current_snapshots": publish_plans.current_snapshots,
+    "current_signals": publish_plans.current_signals,
+    "current_version": publish_plans.current_version,
+    "prepared_requirements": publish_plans.prepared_requirements,
+    "prepared_snapshots": publish_plans.prepared_snapshots,
+    "active_signals": publish_plans.active_signals,
+    "snapshot_publish_diff": publish_plans.snapshot_publish_diff,
+    "insert_or_get": publish_plans.insert_or_get,
 }
 
 ORACLES: dict[str, str] = {}
 ORACLES.update(oracle_demand.QUERIES)
 ORACLES.update(oracle_text.QUERIES)
+ORACLES.update(oracle_publish.QUERIES)
