@@ -87,7 +87,7 @@ def skill_name_lookup(skills: DataFrame) -> DataFrame:
 
 def role_alias_lookup(role_aliases: DataFrame) -> DataFrame:
     """normalised alias -> role id (S5); ``reviewed`` is not consulted."""
-    return role_aliases.select(
+    return role_aliases.where(F.col("role_id").isNotNull()).select(
         normalize_key(F.coalesce("normalized_alias", "alias")).alias("role_key"), "role_id")
 
 

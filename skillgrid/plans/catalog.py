@@ -12,46 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skillgrid.plans import (
-    demand_plans, oracle_demand, oracle_publish, oracle_text, publish_plans, text_plans,
+    demand_plans, ops_plans, oracle_demand, oracle_ops, oracle_publish, oracle_text, publish_plans, text_plans,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Plan] = {
-    "reject_reasons": text_plans.reject_reasons,
-    "quarantine_payload": text_plans.quarantine_payload,
-    "adapter_projection": text_plans.adapter_projection,
-    "adapter_missing_column": text_plans.adapter_missing_column,
-    "clean_text_variants": text_plans.clean_text_variants,
-    "title_token_map": text_plans.title_token_map,
-    "skill_token_text": text_plans.skill_token_text,
-    "dedup_survivors": text_plans.dedup_survivors,
-    "posting_survivors": text_plans.posting_survivors,
-    "role_resolution": text_plans.role_resolution,
-    "role_unmatched": text_plans.role_unmatched,
-    "skill_match_tiers": text_plans.skill_match_tiers,
-    "unresolved_signals_top": text_plans.unresolved_signals_top,
-    "role_requirements": demand_plans.role_requirements,
-    "cumulative_evidence": demand_plans.cumulative_evidence,
-    "demand_index": demand_plans.demand_index,
-    "demand_index_with_growth": demand_plans.demand_index_with_growth,
-    "monthly_demand_series": demand_plans.monthly_demand_series,
-    "trend_slopes": demand_plans.trend_slopes,
-    "decay_signals": demand_plans.decay_signals,
-    "version_manifest": publish_plans.version_manifest,
-    "lineage_by_dataset": publish_plans.lineage_by_dataset,
-    "current_requirements": publish_plans.current_requirements,
-    "current_snapshots": publish_plans.current_snapshots,
-    "current_signals": publish_plans.current_signals,
-    "current_version": publish_plans.current_version,
-    "prepared_requirements": publish_plans.prepared_requirements,
-    "prepared_snapshots": publish_plans.prepared_snapshots,
-    "active_signals": publish_plans.active_signals,
-    "snapshot_publish_diff": publish_plans.snapshot_publish_diff,
-    "insert_or_get": publish_plans.insert_or_get,
-}
+_MODULES = (
+    (text_plans, oracle_text),
+    (demand_plans, oracle_demand),
+    (publish_plans, oracle_publish),
+    (ops_plans, oracle_ops),
+)
 
+QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
-ORACLES.update(oracle_demand.QUERIES)
-ORACLES.update(oracle_text.QUERIES)
-ORACLES.update(oracle_publish.QUERIES)
+for _plans, _oracle in _MODULES:
+    for _name, _sql in _oracle.QUERIES.items():
+        QUERIES[_name] = getattr(_plans, _name)
+        ORACLES[_name] = _sql

@@ -57,6 +57,7 @@ TEST_ROLE_ALIASES = [
     ("HOT GEAR", "R04", False), ("large plate", "R05", True), ("cold anvil", "R06", True),
     ("new rod", "R07", False), ("old gizmo", "R08", True),
     ("en", "R10", True), ("fr", "R11", True), ("de", "R12", False),
+    ("blue rod", None, True),
 ]
 
 
