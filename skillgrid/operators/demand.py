@@ -47,7 +47,6 @@ def demand_inputs(mapped: DataFrame, pairs: DataFrame, *, by: tuple[str, ...] =
     pair_keys = [c for c in by if c in pairs.columns] + [role, skill]
     return (
         src.join(pairs, pair_keys, "left_semi")
-        .repartition(*keys)
         .groupBy(*keys, skill)
         .agg(F.min(posted_at).alias(posted_at))
         .withColumn(posted_at, F.when(F.col(posted_at).isNull(),
@@ -56,6 +55,17 @@ def demand_inputs(mapped: DataFrame, pairs: DataFrame, *, by: tuple[str, ...] =
     )
 
 
+def inputs_from_evidence(ev: DataFrame, pairs: DataFrame, *, by: tuple[str, ...] = (),
+                         posting: str = "job_posting_id", role: str = "role_id", skill: str = "skill_id",
+                         posted_at: str = "posted_at") -> DataFrame:
+    """Demand inputs from an evidence table (already one row per posting, role,
+    skill): keep required pairs; a missing posting date fails the job (J6)."""
+    pair_keys = [c for c in by if c in pairs.columns] + [role, skill]
+    checked = F.when(F.col(posted_at).isNull(),
+                     F.raise_error(F.lit("posted_at is missing for a required posting"))).otherwise(F.col(posted_at))
+    return ev.join(pairs, pair_keys, "left_semi").select(*by, role, posting, skill, checked.alias(posted_at))
+
+
 def pair_shares(inputs: DataFrame, *, by: tuple[str, ...] = (), posting: str = "job_posting_id",
                 role: str = "role_id", skill: str = "skill_id") -> DataFrame:
     """share per pair inside ``inputs`` (A5); used for the previous window too."""

@@ -1,10 +1,10 @@
 """Role requirement aggregation.
 
 Input is the *mapped* fact: one row per (posting, role, skill) hit with an
-optional depth in [0, 1].  The fact is shuffled once on (role, posting); both
-the per-pair and the per-role distinct counts are then computed inside that
-partitioning, so no second exchange of the fact is needed.  Per-pair sums are
-exact (decimal depth sums, integer counts) and divided once.
+optional depth in [0, 1].  It is first collapsed to one evidence row per
+(role, posting, skill); requirements, shares and totals are all aggregates of
+that evidence table, which callers may materialise once and reuse.  Per-pair
+sums are exact (decimal depth sums, integer counts) and divided once.
 """
 
 from __future__ import annotations
@@ -19,17 +19,15 @@ DEPTH_DECIMAL = "decimal(20,10)"
 
 def posting_skill_evidence(mapped: DataFrame, *, by: tuple[str, ...] = (),
                            posting: str = "job_posting_id", role: str = "role_id",
-                           skill: str = "skill_id", depth: str = "normalized_depth") -> DataFrame:
-    """Collapse hits to one row per (by, role, posting, skill) with exact depth sums."""
-    keys = [*by, role, posting]
-    return (
-        mapped.repartition(*keys)
-        .groupBy(*keys, skill)
-        .agg(
-            F.sum(F.col(depth).cast(DEPTH_DECIMAL)).alias("depth_sum"),
-            F.count(depth).alias("depth_n"),
-        )
-    )
+                           skill: str = "skill_id", depth: str = "normalized_depth",
+                           posted_at: str | None = "posted_at") -> DataFrame:
+    """Collapse hits to one row per (by, role, posting, skill): exact depth sums,
+    depth count and the posting date.  Partial aggregation runs map-side, so a
+    posting with many lines for one skill is reduced before the shuffle."""
+    aggs = [F.sum(F.col(depth).cast(DEPTH_DECIMAL)).alias("depth_sum"), F.count(depth).alias("depth_n")]
+    if posted_at and posted_at in mapped.columns:
+        aggs.append(F.min(posted_at).alias(posted_at))
+    return mapped.groupBy(*by, role, posting, skill).agg(*aggs)
 
 
 def role_posting_totals(evidence: DataFrame, *, by: tuple[str, ...] = (),
@@ -42,17 +40,17 @@ def role_posting_totals(evidence: DataFrame, *, by: tuple[str, ...] = (),
     )
 
 
-def aggregate_role_requirements(mapped: DataFrame, *, by: tuple[str, ...] = (),
-                                role_totals: DataFrame | None = None,
-                                posting: str = "job_posting_id", role: str = "role_id",
-                                skill: str = "skill_id", depth: str = "normalized_depth") -> DataFrame:
-    """Per (role, skill): mean depth (nulls ignored), distinct postings, demand weight.
+def requirements_from_evidence(ev: DataFrame, *, by: tuple[str, ...] = (), role_totals: DataFrame | None = None,
+                               posting: str = "job_posting_id", role: str = "role_id",
+                               skill: str = "skill_id") -> DataFrame:
+    """Per (by, role, skill): mean depth (nulls ignored), distinct postings, demand weight.
 
-    ``role_totals`` (columns ``by..., role, role_total``) overrides the per-role
-    totals found in ``mapped`` (A2).  Roles with a non-positive total are left
-    out (P11); pairs whose mean depth is null are left out (P13).
+    ``ev`` has one row per (role, posting, skill) within ``by`` (columns that
+    depend only on the posting may ride along).  ``role_totals`` (columns
+    ``by..., role, role_total``) overrides the per-role totals found in ``ev``
+    (A2).  Roles with a non-positive total are left out (P11); pairs whose mean
+    depth is null are left out (P13).
     """
-    ev = posting_skill_evidence(mapped, by=by, posting=posting, role=role, skill=skill, depth=depth)
     found = role_posting_totals(ev, by=by, posting=posting, role=role, name="found_total")
     if role_totals is not None:
         totals = (
@@ -80,6 +78,15 @@ def aggregate_role_requirements(mapped: DataFrame, *, by: tuple[str, ...] = (),
     )
 
 
+def aggregate_role_requirements(mapped: DataFrame, *, by: tuple[str, ...] = (),
+                                role_totals: DataFrame | None = None,
+                                posting: str = "job_posting_id", role: str = "role_id",
+                                skill: str = "skill_id", depth: str = "normalized_depth") -> DataFrame:
+    """Requirement aggregates straight from mapped hits."""
+    ev = posting_skill_evidence(mapped, by=by, posting=posting, role=role, skill=skill, depth=depth)
+    return requirements_from_evidence(ev, by=by, role_totals=role_totals, posting=posting, role=role, skill=skill)
+
+
 def skipped_roles(role_totals: DataFrame, role: str = "role_id") -> DataFrame:
     """Roles dropped by P11 (non-positive total), as a side output for logging."""
     return role_totals.where(F.col("role_total") <= 0).select(role, "role_total")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions.text import name_based_id
-from skillgrid.operators import dedup, ingest, ops, publish, quality, resolve, student
+from skillgrid.operators import dedup, demand, ingest, ops, quality, resolve, student
 from skillgrid.plans import demand_plans, publish_plans
 from skillgrid.sources import dimensions as D
+from skillgrid.sources.materialize import PlanContext
 from skillgrid.sources.tables import document_postings, table
 
 OUTBOX_NOW = dt.datetime(2024, 1, 10)
@@ -140,6 +141,7 @@ def below_threshold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q27: constraint-style rules over the shared tables and published frames."""
     t = lambda n: table(spark, sf_dir, n)
+    ctx = PlanContext(spark, sf_dir)
     parts = [
         quality.table_rules(t("lineitem"), "lineitem", {
             "quantity_range": quality.in_range("l_quantity", 1.0, 50.0),
@@ -166,11 +168,13 @@ def table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.orphan_rule(t("orders"), ["o_custkey"], t("customer"), ["c_custkey"], "orders", "fk_customer"),
         quality.orphan_rule(t("customer"), ["c_nationkey"], t("nation"), ["n_nationkey"], "customer", "fk_nation"),
         quality.orphan_rule(t("labels"), ["doc_id"], t("documents"), ["doc_id"], "labels", "fk_documents"),
-        quality.publish_rules(demand_plans.role_requirements(spark, sf_dir), "role_skill_requirements"),
-        quality.publish_rules(demand_plans.demand_index(spark, sf_dir), "sdi_snapshots"),
-        quality.publish_rules(publish_plans.published_requirements(spark, sf_dir), "published_requirements"),
-        quality.publish_rules(publish_plans.published_signals(spark, sf_dir), "skill_decay_signals"),
-        quality.one_current_per_month(publish_plans.version_manifest(spark, sf_dir)),
+        quality.publish_rules(demand_plans.requirements_of(ctx), "role_skill_requirements"),
+        quality.publish_rules(demand.compute_demand_index(
+            demand.inputs_from_evidence(demand_plans.evidence(ctx), demand_plans.pairs_of(ctx)),
+            demand_plans.SNAPSHOT_DATE), "sdi_snapshots"),
+        quality.publish_rules(publish_plans.published_requirements_of(ctx), "published_requirements"),
+        quality.publish_rules(publish_plans.published_signals_of(ctx), "skill_decay_signals"),
+        quality.one_current_per_month(publish_plans.manifest_of(ctx)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -8,7 +8,9 @@ publish time is a sliding frame over that history.
 
 The whole chain - evidence, cumulative threshold, version manifest,
 snapshots, decay signals - is one set of DataFrame jobs over every run,
-instead of one run at a time.
+instead of one run at a time.  The manifest (one row per publish) is measured
+and broadcast; published requirements and snapshots are materialised once
+per query and reused by every branch.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
 from skillgrid.operators import dedup, demand, publish, requirements, trend
 from skillgrid.plans import demand_plans
-from skillgrid.sources.tables import mapped_fact, posting_rows
+from skillgrid.sources.materialize import PlanContext
+from skillgrid.sources.tables import posting_rows
 
 STORED_BEFORE = dt.date(1998, 1, 1)
 INCOMING_FROM = dt.date(1997, 1, 1)
@@ -31,100 +34,128 @@ def _run_dataset(status: str = "dataset_id", month: str = "period_month"):
     return F.concat(F.col(status), F.lit("-"), F.date_format(F.col(month), "yyyy-MM"))
 
 
-def version_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q17: one version per run, revisions within a month, current flag."""
-    posts = posting_rows(spark, sf_dir).withColumn("run_dataset", _run_dataset())
-    runs = posts.groupBy("run_dataset", F.col("dataset_id").alias("status")).agg(
-        F.count(F.lit(1)).alias("n_postings"),
-        F.trunc(F.max("posted_at"), "month").alias("period_month"))
-    return publish.allocate_versions(runs.withColumnRenamed("run_dataset", "dataset_id"),
-                                     order=["period_month", "status"])
+# ---------------------------------------------------------------- shared pieces
+
+def manifest_of(ctx: PlanContext) -> DataFrame:
+    def build():
+        posts = posting_rows(ctx.spark, ctx.sf_dir).withColumn("run_dataset", _run_dataset())
+        runs = posts.groupBy("run_dataset", F.col("dataset_id").alias("status")).agg(
+            F.count(F.lit(1)).alias("n_postings"),
+            F.trunc(F.max("posted_at"), "month").alias("period_month"))
+        return publish.allocate_versions(runs.withColumnRenamed("run_dataset", "dataset_id"),
+                                         order=["period_month", "status"])
+    return ctx.small("manifest", build)
+
+
+def versioned_evidence(ctx: PlanContext) -> DataFrame:
+    mf = manifest_of(ctx).select(F.col("dataset_id").alias("run_dataset"),
+                                 F.col("version").alias("requirement_version"))
+    ev = demand_plans.evidence(ctx)
+    return ev.withColumn("run_dataset", _run_dataset()).join(mf, "run_dataset")
+
+
+def published_requirements_of(ctx: PlanContext) -> DataFrame:
+    def build():
+        per_run = requirements.requirements_from_evidence(versioned_evidence(ctx), by=("requirement_version",))
+        w = (Window.partitionBy("role_id", "skill_id").orderBy("requirement_version")
+             .rowsBetween(Window.unboundedPreceding, 0))
+        cum = per_run.withColumn("evidence_count", F.sum("skill_posting_count").over(w).cast("bigint"))
+        return cum.where(F.col("evidence_count") >= EVIDENCE_THRESHOLD).select(
+            "requirement_version", "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count")
+    return ctx.table("published-requirements", build)
+
+
+def snapshots_for(ctx: PlanContext, pairs: DataFrame) -> DataFrame:
+    by = ("requirement_version", "period_month")
+    inputs = demand.inputs_from_evidence(versioned_evidence(ctx), pairs, by=by)
+    snap = demand.compute_demand_index(inputs, "period_month", by=by)
+    return snap.select("role_id", "skill_id", F.col("period_month").alias("snapshot_date"), "requirement_version",
+                       "frequency_share", "recency_score", "growth_score", "demand_index")
 
 
-def _versioned_mapped(spark: SparkSession, sf_dir: str, manifest: DataFrame) -> DataFrame:
-    mf = manifest.select(F.col("dataset_id").alias("run_dataset"), F.col("version").alias("requirement_version"))
-    return mapped_fact(spark, sf_dir).withColumn("run_dataset", _run_dataset()).join(mf, "run_dataset")
+def published_snapshots_of(ctx: PlanContext) -> DataFrame:
+    def build():
+        pairs = ctx.small("published-pairs", lambda: published_requirements_of(ctx).select(
+            "requirement_version", "role_id", "skill_id"))
+        return snapshots_for(ctx, pairs)
+    return ctx.table("published-snapshots", build)
+
+
+def published_signals_of(ctx: PlanContext) -> DataFrame:
+    """Decay signals as each version was published (sliding trend, W3-W5)."""
+    return trend.rolling_decay(published_snapshots_of(ctx))
+
+
+# ---------------------------------------------------------------- registered plans
+
+def version_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q17: one version per run, revisions within a month, current flag."""
+    return manifest_of(PlanContext(spark, sf_dir))
 
 
 def published_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement rows of every version: per-run aggregates whose cumulative
     evidence over earlier versions reaches the threshold (A1-A4, K5, P12)."""
-    manifest = version_manifest(spark, sf_dir)
-    per_run = requirements.aggregate_role_requirements(_versioned_mapped(spark, sf_dir, manifest),
-                                                       by=("requirement_version",))
-    w = (Window.partitionBy("role_id", "skill_id").orderBy("requirement_version")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    cum = per_run.withColumn("evidence_count", F.sum("skill_posting_count").over(w).cast("bigint"))
-    return cum.where(F.col("evidence_count") >= EVIDENCE_THRESHOLD).select(
-        "requirement_version", "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count")
-
-
-def _snapshots_for(spark: SparkSession, sf_dir: str, manifest: DataFrame, pairs: DataFrame) -> DataFrame:
-    months = manifest.select(F.col("version").alias("requirement_version"), "period_month")
-    mapped = _versioned_mapped(spark, sf_dir, manifest).drop("period_month").join(months, "requirement_version")
-    inputs = demand.demand_inputs(mapped, pairs, by=("requirement_version", "period_month"))
-    snap = demand.compute_demand_index(inputs, "period_month", by=("requirement_version", "period_month"))
-    return snap.select("role_id", "skill_id", F.col("period_month").alias("snapshot_date"), "requirement_version",
-                       "frequency_share", "recency_score", "growth_score", "demand_index")
+    return published_requirements_of(PlanContext(spark, sf_dir))
 
 
 def published_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of every version, for that version's published pairs."""
-    manifest = version_manifest(spark, sf_dir)
-    pairs = published_requirements(spark, sf_dir).select("requirement_version", "role_id", "skill_id")
-    return _snapshots_for(spark, sf_dir, manifest, pairs)
+    return published_snapshots_of(PlanContext(spark, sf_dir))
 
 
 def published_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decay signals as each version was published (sliding trend, W3-W5)."""
-    return trend.rolling_decay(published_snapshots(spark, sf_dir))
+    return published_signals_of(PlanContext(spark, sf_dir))
 
 
 def lineage_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q18: versions each dataset contributed to."""
-    manifest = version_manifest(spark, sf_dir)
+    manifest = manifest_of(PlanContext(spark, sf_dir))
     return publish.versions_by_dataset(manifest, publish.lineage_from_revisions(manifest))
 
 
 def current_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements of the current version of every month."""
-    return publish.current_rows(published_requirements(spark, sf_dir), version_manifest(spark, sf_dir))
+    ctx = PlanContext(spark, sf_dir)
+    return publish.current_rows(published_requirements_of(ctx), manifest_of(ctx))
 
 
 def current_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q19 R2: snapshots of the current version of every month."""
-    return publish.current_rows(published_snapshots(spark, sf_dir), version_manifest(spark, sf_dir))
+    ctx = PlanContext(spark, sf_dir)
+    return publish.current_rows(published_snapshots_of(ctx), manifest_of(ctx))
 
 
 def current_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active decay signals of the current version of every month."""
-    manifest = version_manifest(spark, sf_dir)
-    flagged = publish.active_signals(published_signals(spark, sf_dir), manifest).where("is_active")
+    ctx = PlanContext(spark, sf_dir)
+    manifest = manifest_of(ctx)
+    flagged = publish.active_signals(published_signals_of(ctx), manifest).where("is_active")
     return publish.current_rows(flagged.drop("period_month"), manifest)
 
 
 def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest version flagged current (one row)."""
-    return publish.current_version(version_manifest(spark, sf_dir)).select(
+    return publish.current_version(manifest_of(PlanContext(spark, sf_dir))).select(
         "version", "dataset_id", "period_month", "period_revision")
 
 
 def prepared_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement rows of the current version, all roles."""
-    v = publish.current_version(version_manifest(spark, sf_dir))
-    return publish.rows_of_version(published_requirements(spark, sf_dir), v)
+    ctx = PlanContext(spark, sf_dir)
+    return publish.rows_of_version(published_requirements_of(ctx), publish.current_version(manifest_of(ctx)))
 
 
 def prepared_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot rows of the current version, all roles."""
-    v = publish.current_version(version_manifest(spark, sf_dir))
-    return publish.rows_of_version(published_snapshots(spark, sf_dir), v)
+    ctx = PlanContext(spark, sf_dir)
+    return publish.rows_of_version(published_snapshots_of(ctx), publish.current_version(manifest_of(ctx)))
 
 
 def active_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q21: every published signal with its derived active flag."""
-    manifest = version_manifest(spark, sf_dir)
-    return publish.active_signals(published_signals(spark, sf_dir), manifest).select(
+    ctx = PlanContext(spark, sf_dir)
+    return publish.active_signals(published_signals_of(ctx), manifest_of(ctx)).select(
         "role_id", "skill_id", "requirement_version", "period_month", "decay_rate", "confidence",
         "detected_at", "is_active")
 
@@ -132,11 +163,9 @@ def active_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_publish_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q20: republishing every version's snapshots with the whole-table pair set
     against the stored snapshots: new / same / conflict (K8)."""
-    manifest = version_manifest(spark, sf_dir)
-    stored = published_snapshots(spark, sf_dir)
-    pairs = demand_plans.required_pairs(spark, sf_dir)
-    incoming = _snapshots_for(spark, sf_dir, manifest, pairs)
-    return publish.snapshot_publish_plan(incoming, stored, manifest)
+    ctx = PlanContext(spark, sf_dir)
+    incoming = snapshots_for(ctx, demand_plans.pairs_of(ctx))
+    return publish.snapshot_publish_plan(incoming, published_snapshots_of(ctx), manifest_of(ctx))
 
 
 def insert_or_get(spark: SparkSession, sf_dir: str) -> DataFrame:
