@@ -30,8 +30,15 @@ TITLE_TOKEN_MAP = {"sr": "senior", "jr": "junior", "dev": "developer", "eng": "e
 SIGNAL_DELIMITERS = "[,;\n]+"
 # --- end of fixed values ----------------------------------------------------
 
+# The same whitespace set as literal characters, for trim/translate (no regex).
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+_WS_NOT_SPACE = WHITESPACE_CHARS.replace(" ", "")
 _WS_RUN = WHITESPACE_CLASS + "+"
-_EDGE_WS = "^" + _WS_RUN + "|" + _WS_RUN + "$"
+_NOT_WS = "[^" + WHITESPACE_CLASS[1:]
 
 
 def _col(c: Column | str) -> Column:
@@ -40,12 +47,13 @@ def _col(c: Column | str) -> Column:
 
 def strip_ws(c: Column | str) -> Column:
     """Remove leading and trailing whitespace (Unicode, as Python's ``strip``)."""
-    return F.regexp_replace(_col(c), _EDGE_WS, "")
+    return F.trim(_col(c), F.lit(WHITESPACE_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:
-    """Null, empty or whitespace only."""
-    return strip_ws(F.coalesce(_col(c), F.lit(""))) == F.lit("")
+    """Null, empty or whitespace only.  A search for the first non-whitespace
+    character, so a long text is not rewritten just to be tested."""
+    return ~F.coalesce(_col(c), F.lit("")).rlike(_NOT_WS)
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -55,8 +63,14 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def collapse_whitespace(c: Column | str) -> Column:
-    """Strip, then turn every whitespace run into one space."""
-    return F.trim(F.regexp_replace(_col(c), _WS_RUN, " "))
+    """Strip, then turn every whitespace run into one space.
+
+    Every whitespace character becomes a space (a character map), then runs
+    of spaces are squeezed: the same result as replacing runs of the Unicode
+    class, at about half the cost.
+    """
+    spaced = F.translate(_col(c), _WS_NOT_SPACE, " " * len(_WS_NOT_SPACE))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def strip_common_punctuation(c: Column | str) -> Column:

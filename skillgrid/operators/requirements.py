@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD, clip_round, demand_weight
 
-DEPTH_DECIMAL = "decimal(20,10)"
+# Depths are summed as whole micro-units (depth x 10^6, a bigint): exact,
+# order-independent and on Spark's fast long arithmetic (a wide decimal sum
+# would fall back to BigDecimal).  Depths carry at most 6 decimal places.
+DEPTH_UNITS = 1_000_000
 
 
 def posting_skill_evidence(mapped: DataFrame, *, by: tuple[str, ...] = (),
                            posting: str = "job_posting_id", role: str = "role_id",
                            skill: str = "skill_id", depth: str = "normalized_depth",
                            posted_at: str | None = "posted_at") -> DataFrame:
-    """Collapse hits to one row per (by, role, posting, skill): exact depth sums,
-    depth count and the posting date.  Partial aggregation runs map-side, so a
+    """Collapse hits to one row per (by, role, posting, skill): exact depth sums
+    (micro-units), depth count and the posting date.  Partial aggregation runs map-side, so a
     posting with many lines for one skill is reduced before the shuffle."""
-    aggs = [F.sum(F.col(depth).cast(DEPTH_DECIMAL)).alias("depth_sum"), F.count(depth).alias("depth_n")]
+    units = F.round(F.col(depth) * F.lit(float(DEPTH_UNITS))).cast("bigint")
+    aggs = [F.sum(units).alias("depth_sum"), F.count(depth).alias("depth_n")]
     if posted_at and posted_at in mapped.columns:
         aggs.append(F.min(posted_at).alias(posted_at))
     return mapped.groupBy(*by, role, posting, skill).agg(*aggs)
@@ -64,7 +68,7 @@ def requirements_from_evidence(ev: DataFrame, *, by: tuple[str, ...] = (), role_
         F.sum("depth_n").alias("depth_n"),
         F.count(F.lit(1)).alias("skill_posting_count"),
     )
-    mean_depth = F.col("depth_sum").cast("double") / F.col("depth_n").cast("double")
+    mean_depth = F.col("depth_sum").cast("double") / (F.col("depth_n").cast("double") * F.lit(float(DEPTH_UNITS)))
     return (
         pairs.join(totals.where(F.col("role_total") > 0), [*by, role], "inner")
         .where(F.col("depth_n") > 0)

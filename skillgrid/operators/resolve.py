@@ -147,15 +147,17 @@ def classify_signals(signals: DataFrame, names: DataFrame, aliases: DataFrame) -
                                     F.col("skill_id").alias("t2_skill"), F.col("skill_name").alias("t2_name")))
     staged = (signals.join(t1, "signal_key", "left").join(t2, "signal_key", "left")
               .withColumn("_open", F.col("t1_skill").isNull() & F.col("t2_skill").isNull())
-              .withColumn("_tokens", F.split("signal_key", NON_TOKEN_RUN)))
+              .withColumn("_tokens", F.when(F.col("_open"), F.split("signal_key", NON_TOKEN_RUN))))
     t3 = F.broadcast(aliases.select(
         F.col("normalized_alias").alias("t3_alias"), F.col("skill_id").alias("t3_skill"),
         F.col("skill_name").alias("t3_name"), F.col("requires_boundary").alias("t3_guard"),
         F.col("single_run").alias("t3_single"), F.col("pattern").alias("t3_pattern")))
-    hit = F.col("_open") & (
-        (~F.col("t3_guard") & F.contains(F.col("signal_key"), F.col("t3_alias")))
-        | (F.col("t3_guard") & F.col("t3_single") & F.array_contains(F.col("_tokens"), F.col("t3_alias")))
-        | (F.col("t3_guard") & ~F.col("t3_single") & F.regexp_like(F.col("signal_key"), F.col("t3_pattern")))
+    # Every tier-3 match contains the alias as a substring, so that cheap test
+    # runs first; the token lookup and the regex run only on pairs that pass.
+    hit = F.col("_open") & F.contains(F.col("signal_key"), F.col("t3_alias")) & (
+        ~F.col("t3_guard")
+        | (F.col("t3_single") & F.array_contains(F.col("_tokens"), F.col("t3_alias")))
+        | (~F.col("t3_single") & F.regexp_like(F.col("signal_key"), F.col("t3_pattern")))
     )
     joined = staged.join(t3, hit, "left")
     keep = [c for c in signals.columns]

@@ -26,7 +26,7 @@ REQUIREMENTS = f"""
 WITH {MAPPED.strip()},
 ev AS (
   SELECT role_id, job_posting_id, skill_id,
-         sum(CAST(normalized_depth AS DECIMAL(20,10))) AS depth_sum, count(normalized_depth) AS depth_n
+         sum(CAST(round(normalized_depth * 1000000.0::DOUBLE) AS BIGINT)) AS depth_sum, count(normalized_depth) AS depth_n
   FROM m GROUP BY role_id, job_posting_id, skill_id
 ),
 tot AS (SELECT role_id, count(DISTINCT job_posting_id) AS role_total FROM ev GROUP BY role_id),
@@ -35,7 +35,7 @@ pairs AS (
   FROM ev GROUP BY role_id, skill_id
 )
 SELECT p.role_id, p.skill_id,
-       {R4(CLIP.format(x="CAST(p.depth_sum AS DOUBLE) / CAST(p.depth_n AS DOUBLE)"))} AS required_depth,
+       {R4(CLIP.format(x="CAST(p.depth_sum AS DOUBLE) / (CAST(p.depth_n AS DOUBLE) * 1000000.0::DOUBLE)"))} AS required_depth,
        p.skill_posting_count, t.role_total,
        {R4("least(greatest(greatest(0.1::DOUBLE, CAST(p.skill_posting_count AS DOUBLE) / CAST(t.role_total AS DOUBLE)), 0.1::DOUBLE), 1.0::DOUBLE)")} AS demand_weight
 FROM pairs p JOIN tot t ON p.role_id = t.role_id

@@ -37,21 +37,31 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 
 class PlanContext:
-    """Per-query memo of materialised intermediates."""
+    """Per-query memo of intermediates.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``materialize=True`` (the default) shared intermediates are written
+    once and read back; with ``False`` they stay lazy and Spark recomputes them
+    per branch, leaving join strategies to AQE's runtime statistics.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        if materialize is None:
+            materialize = spark.conf.get("skillgrid.materialize", "true").lower() == "true"
+        self.materialize = materialize
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = materialize(self.spark, build(), name)
+            df = build()
+            self._tables[name] = materialize(self.spark, df, name) if self.materialize else df
         return self._tables[name]
 
     def small(self, name: str, build: Callable[[], DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-        """A materialised table that is broadcast when its measured size allows."""
+        """A small derived table, broadcast when its measured size allows."""
         key = f"{name}#b"
         if key not in self._tables:
-            self._tables[key] = checked_broadcast(self.table(name, build), max_rows)
+            t = self.table(name, build)
+            self._tables[key] = checked_broadcast(t, max_rows) if self.materialize else t
         return self._tables[key]
