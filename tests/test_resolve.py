@@ -55,7 +55,7 @@ def test_first_hit_per_skill(spark):
     docs = spark.createDataFrame([(1, "js, JavaScript, algorithms")], "posting_id int, description string")
     hits, _ = resolve.map_skills(docs, skills, aliases, posting="posting_id", text="description")
     got = {r["skill_id"]: (r["signal_pos"], r["match_type"]) for r in hits.collect()}
-    assert got == {"K1": (0, "alias"), "K5": (2, "alias")}
+    assert got == {"K1": (0, "alias"), "K5": (2, "exact")}
 
 
 def test_duplicate_alias_raises(spark):
