@@ -259,36 +259,49 @@ def name_based_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- students
 
-def _student_inputs(spark: SparkSession, sf_dir: str):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    bought = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    profile = bought.groupBy(F.col("o_custkey").alias("student_id"), F.col("p_brand").alias("skill_id")).agg(
-        F.least(F.sum("l_quantity") / (F.lit(50.0) * F.count(F.lit(1))), F.lit(1.0)).alias("depth"))
+def _purchases(ctx: PlanContext) -> DataFrame:
+    """One row per (student, part) bought, with the part's brand (skill) and
+    quantity sums; built once per query and shared by profile, completed items
+    and the roadmap's top-k bound."""
+    def build():
+        li = table(ctx.spark, ctx.sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+        o = table(ctx.spark, ctx.sf_dir, "orders").select("o_orderkey", "o_custkey")
+        p = table(ctx.spark, ctx.sf_dir, "part").select("p_partkey", "p_brand")
+        return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+                .groupBy(F.col("o_custkey").alias("student_id"), F.col("l_partkey").alias("item_id"),
+                         F.col("p_brand").alias("skill_id"))
+                .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("lines")))
+    return ctx.table("student-purchases", build)
+
+
+def _student_inputs(ctx: PlanContext):
+    bought = _purchases(ctx)
+    profile = bought.groupBy("student_id", "skill_id").agg(
+        F.least(F.sum("qty") / (F.lit(50.0) * F.sum("lines")), F.lit(1.0)).alias("depth"))
+    c = table(ctx.spark, ctx.sf_dir, "customer").select("c_custkey", "c_nationkey")
     targets = c.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("role_id"))
-    completed = bought.select(F.col("o_custkey").alias("student_id"), F.col("l_partkey").alias("item_id")).distinct()
+    completed = bought.select("student_id", "item_id")
+    o = table(ctx.spark, ctx.sf_dir, "orders").select("o_custkey", "o_orderdate")
     versions = o.groupBy(F.col("o_custkey").alias("student_id")).agg(
         F.date_format(F.max("o_orderdate"), "yyyyMMdd").alias("profile_version"))
     return targets, profile, completed, versions
 
 
-def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets, profile, _, _ = _student_inputs(spark, sf_dir)
-    req = demand_plans.role_requirements(spark, sf_dir)
-    return student.skill_gaps(targets, req, profile)
+def _gaps(ctx: PlanContext) -> DataFrame:
+    targets, profile, _, _ = _student_inputs(ctx)
+    return student.skill_gaps(targets, demand_plans.requirements_of(ctx), profile)
 
 
 def skill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q32: per student (customer) and required skill of the target role: gap and priority."""
-    return student.prioritized(_gaps(spark, sf_dir))
+    return student.prioritized(_gaps(PlanContext(spark, sf_dir)))
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness per student with the reuse key of the result."""
-    _, _, _, versions = _student_inputs(spark, sf_dir)
-    r = student.readiness(_gaps(spark, sf_dir)).join(versions, "student_id", "left")
+    ctx = PlanContext(spark, sf_dir)
+    _, _, _, versions = _student_inputs(ctx)
+    r = student.readiness(_gaps(ctx)).join(versions, "student_id", "left")
     return r.withColumn("result_key", student.result_key("student_id", "role_id", "profile_version",
                                                          F.lit("1")))
 
@@ -301,13 +314,14 @@ def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     first 3 + (items of that skill the student bought) catalog ranks can
     qualify, so gaps are expanded to those ranks and equi-joined.
     """
-    _, _, completed, _ = _student_inputs(spark, sf_dir)
-    pri = student.prioritized(_gaps(spark, sf_dir))
+    ctx = PlanContext(spark, sf_dir)
+    _, _, completed, _ = _student_inputs(ctx)
+    pri = student.prioritized(_gaps(ctx))
     top = pri.where((F.col("priority") <= student.ROADMAP_TOP_GAPS) & (F.col("gap_score") > 0))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     catalog = part.where(F.col("p_size") <= 45).select(
         F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"), F.col("p_size").alias("difficulty"))
-    done = completed.join(catalog.select("item_id", "skill_id"), "item_id")
+    done = _purchases(ctx).join(catalog.select("item_id"), "item_id")
     n_done = done.groupBy("student_id", "skill_id").agg(F.count(F.lit(1)).alias("n_done"))
     # Deepest catalog rank any gap can reach: a scalar, so the per-skill ranking
     # below is a top-k (a partial limit runs in each map task before the shuffle)

@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from skillgrid.session import ensure_checkpoint_dir
 
 BROADCAST_MAX_ROWS = 1_000_000
+# "auto" materialises a shared intermediate when Catalyst's size estimate of
+# its plan exceeds this many bytes; below it, recomputing is cheaper than a
+# write and a read.  Override with spark.conf skillgrid.materialize.min_bytes.
+MATERIALIZE_MIN_BYTES = 512 * 1024 * 1024
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +34,20 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes the plan reads: the summed size estimates of its leaf scans (file
+    sizes; no job runs).  Join estimates without table statistics multiply
+    sizes, so the inputs are the steadier proxy for an intermediate's size."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
+    except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
+        return 1 << 62
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint when ``df`` (already materialised) has at most ``max_rows`` rows."""
     n = df.limit(max_rows + 1).count()
@@ -37,25 +55,41 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 
 
 class PlanContext:
-    """Per-query memo of intermediates.
+    """Per-query memo of shared intermediates.
+
+    ``skillgrid.materialize`` chooses what happens to them:
 
-    With ``materialize=True`` (the default) shared intermediates are written
-    once and read back; with ``False`` they stay lazy and Spark recomputes them
-    per branch, leaving join strategies to AQE's runtime statistics.
+    * ``auto`` (default) - written once and read back when Catalyst estimates
+      the plan above ``MATERIALIZE_MIN_BYTES``; otherwise kept lazy
+    * ``true`` - always written under ``spark.checkpoint.dir``
+    * ``false`` - always lazy (Spark recomputes per branch; AQE picks joins)
+
+    Small derived sides are broadcast only after a measured row count when
+    written; lazy ones are left to AQE's runtime size check.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
-        if materialize is None:
-            materialize = spark.conf.get("skillgrid.materialize", "true").lower() == "true"
-        self.materialize = materialize
+        self.mode = (materialize or spark.conf.get("skillgrid.materialize", "auto")).lower()
+        self.min_bytes = int(spark.conf.get("skillgrid.materialize.min_bytes", str(MATERIALIZE_MIN_BYTES)))
         self._tables: dict[str, DataFrame] = {}
+        self._written: set[str] = set()
+
+    def _should_write(self, df: DataFrame) -> bool:
+        if self.mode == "true":
+            return True
+        if self.mode == "false":
+            return False
+        return estimated_bytes(df) >= self.min_bytes
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             df = build()
-            self._tables[name] = materialize(self.spark, df, name) if self.materialize else df
+            if self._should_write(df):
+                df = materialize(self.spark, df, name)
+                self._written.add(name)
+            self._tables[name] = df
         return self._tables[name]
 
     def small(self, name: str, build: Callable[[], DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -63,5 +97,5 @@ class PlanContext:
         key = f"{name}#b"
         if key not in self._tables:
             t = self.table(name, build)
-            self._tables[key] = checked_broadcast(t, max_rows) if self.materialize else t
+            self._tables[key] = checked_broadcast(t, max_rows) if name in self._written else t
         return self._tables[key]
