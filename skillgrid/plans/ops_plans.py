@@ -22,7 +22,7 @@ ROADMAP_ITEMS_PER_GAP = 3
 # ---------------------------------------------------------------- ledger / outbox
 
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     action = (F.when(F.col("event_type") == "signup", F.lit("create"))
               .when(F.col("event_type").isin("view", "click"), F.lit("running"))
               .when(F.col("event_type") == "purchase", F.lit("complete"))
@@ -44,7 +44,7 @@ def ledger_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     return ops.outbox_first(e, aggregate_id="user_id", event_type="event_type", ts="ts", seq="event_id",
                             payload="props")
 
@@ -95,7 +95,7 @@ def top_rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q26: per job (document source): rows read / rejected / valid, skill hits, status."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("source").alias("job_id"))
+    d = table(spark, sf_dir, "documents", F.col("doc_id"), F.col("source").alias("job_id"))
     validated, _, _, _ = _document_run(spark, sf_dir)
     v = validated.select(F.col("source_row_number"), F.col("reason"))
     per_row = d.join(v, F.col("doc_id") + 1 == F.col("source_row_number"))
@@ -125,7 +125,7 @@ def _document_skill_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per job and reason, rejected-row counts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("job_id"))
+    d = table(spark, sf_dir, "documents", "doc_id", F.col("source").alias("job_id"))
     _, rejected, _, _ = _document_run(spark, sf_dir)
     j = d.join(rejected.select("source_row_number", "reason"), F.col("doc_id") + 1 == F.col("source_row_number"))
     return j.groupBy("job_id", "reason").agg(F.count(F.lit(1)).alias("rows"))
@@ -187,7 +187,7 @@ def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     over the dimensions and the part-derived role hints."""
     skills, aliases = D.skills_df(spark), D.skill_aliases_df(spark)
     ra = D.role_aliases_df(spark)
-    hints = table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"))
+    hints = table(spark, sf_dir, "part", F.col("p_name").alias("alias"))
     inactive = aliases.join(skills.where(~F.col("is_active")).select("skill_id"), "skill_id")
     parts = [
         quality.alias_key_rule(aliases, "skill_aliases"),
@@ -213,7 +213,7 @@ def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q28: (order, part) pairs that occur on more than one line."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
     return dedup.duplicate_keys(li, ["l_orderkey", "l_partkey"])
 
 
@@ -240,7 +240,7 @@ def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q29: every distinct part-name hint as an alias candidate with its review
     state; candidates in the alias table carry its reviewed flag (P15)."""
-    cand = table(spark, sf_dir, "part").select(resolve.normalize_key("p_name").alias("normalized_alias")).distinct()
+    cand = table(spark, sf_dir, "part", resolve.normalize_key("p_name").alias("normalized_alias")).distinct()
     ra = D.role_aliases_df(spark).select("normalized_alias", "role_id", "reviewed")
     j = cand.join(F.broadcast(ra), "normalized_alias", "left")
     state = quality.review_state("reviewed", "role_id")
@@ -252,7 +252,7 @@ def alias_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_based_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q30: deterministic ids of (part, brand) pairs."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand")
     return p.select("p_partkey", "p_brand",
                     name_based_id(F.lit("part"), "p_partkey", "p_brand").alias("part_skill_id"))
 
@@ -264,9 +264,9 @@ def _purchases(ctx: PlanContext) -> DataFrame:
     quantity sums; built once per query and shared by profile, completed items
     and the roadmap's top-k bound."""
     def build():
-        li = table(ctx.spark, ctx.sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-        o = table(ctx.spark, ctx.sf_dir, "orders").select("o_orderkey", "o_custkey")
-        p = table(ctx.spark, ctx.sf_dir, "part").select("p_partkey", "p_brand")
+        li = table(ctx.spark, ctx.sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+        o = table(ctx.spark, ctx.sf_dir, "orders", "o_orderkey", "o_custkey")
+        p = table(ctx.spark, ctx.sf_dir, "part", "p_partkey", "p_brand")
         return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
                 .groupBy(F.col("o_custkey").alias("student_id"), F.col("l_partkey").alias("item_id"),
                          F.col("p_brand").alias("skill_id"))
@@ -278,10 +278,10 @@ def _student_inputs(ctx: PlanContext):
     bought = _purchases(ctx)
     profile = bought.groupBy("student_id", "skill_id").agg(
         F.least(F.sum("qty") / (F.lit(50.0) * F.sum("lines")), F.lit(1.0)).alias("depth"))
-    c = table(ctx.spark, ctx.sf_dir, "customer").select("c_custkey", "c_nationkey")
+    c = table(ctx.spark, ctx.sf_dir, "customer", "c_custkey", "c_nationkey")
     targets = c.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("role_id"))
     completed = bought.select("student_id", "item_id")
-    o = table(ctx.spark, ctx.sf_dir, "orders").select("o_custkey", "o_orderdate")
+    o = table(ctx.spark, ctx.sf_dir, "orders", "o_custkey", "o_orderdate")
     versions = o.groupBy(F.col("o_custkey").alias("student_id")).agg(
         F.date_format(F.max("o_orderdate"), "yyyyMMdd").alias("profile_version"))
     return targets, profile, completed, versions
@@ -318,7 +318,7 @@ def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, completed, _ = _student_inputs(ctx)
     pri = student.prioritized(_gaps(ctx))
     top = pri.where((F.col("priority") <= student.ROADMAP_TOP_GAPS) & (F.col("gap_score") > 0))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
     catalog = part.where(F.col("p_size") <= 45).select(
         F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"), F.col("p_size").alias("difficulty"))
     done = _purchases(ctx).join(catalog.select("item_id"), "item_id")
@@ -343,7 +343,7 @@ def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q34: part-name queries (three spellings) against role titles and aliases."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name")
     k = F.col("p_partkey") % 3
     q = p.select((F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit("!")))
                   .otherwise(F.regexp_replace("p_name", " ", "-"))).alias("query"))
@@ -361,7 +361,7 @@ def retention_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reingest_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from the cutoff on as ingest requests against earlier events as the ledger."""
-    e = table(spark, sf_dir, "events").select(
+    e = table(spark, sf_dir, "events", 
         F.col("user_id").alias("dataset_id"), F.col("event_type").alias("job_type"),
         F.sha2("props", 256).alias("file_hash"), F.col("event_id").alias("seq"), "ts")
     ledger = e.where(F.col("ts") < F.lit(LEDGER_CUTOFF))
@@ -371,6 +371,6 @@ def reingest_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest order per customer, as the latest-profile read."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return student.latest_by(o.withColumn("_ord", F.struct("o_orderdate", "o_orderkey")), ["o_custkey"], "_ord") \
         .drop("_ord")

@@ -62,7 +62,7 @@ def published_requirements_of(ctx: PlanContext) -> DataFrame:
         cum = per_run.withColumn("evidence_count", F.sum("skill_posting_count").over(w).cast("bigint"))
         return cum.where(F.col("evidence_count") >= EVIDENCE_THRESHOLD).select(
             "requirement_version", "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count")
-    return ctx.table("published-requirements", build)
+    return ctx.table("published-requirements", build, derived=True)
 
 
 def snapshots_for(ctx: PlanContext, pairs: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def published_snapshots_of(ctx: PlanContext) -> DataFrame:
         pairs = ctx.small("published-pairs", lambda: published_requirements_of(ctx).select(
             "requirement_version", "role_id", "skill_id"))
         return snapshots_for(ctx, pairs)
-    return ctx.table("published-snapshots", build)
+    return ctx.table("published-snapshots", build, derived=True)
 
 
 def published_signals_of(ctx: PlanContext) -> DataFrame:

@@ -42,7 +42,7 @@ def adapter_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4: the text normalisers on whole documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select(
         "doc_id",
         T.collapse_whitespace("text").alias("collapsed"),
@@ -55,7 +55,7 @@ def clean_text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5: title normaliser on part names prefixed with an abbreviation."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
     prefix = (F.when(F.col("p_size") % 4 == 0, F.lit("Sr."))
               .when(F.col("p_size") % 4 == 1, F.lit("jr"))
               .when(F.col("p_size") % 4 == 2, F.lit("Dev-"))
@@ -66,13 +66,13 @@ def title_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_token_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: skill-token normaliser on whole documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", T.normalize_skill_token("text").alias("skill_tokens"))
 
 
 def dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q7: one document per cleaned text (lowest doc_id), with the copy count."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     keyed = d.select(F.sha2(T.clean_text("text"), 256).alias("text_key"), "doc_id", "source")
     return dedup.first_per_key(keyed, ["text_key"], "doc_id", payload=["doc_id", "source"], count_as="n_copies")
 
@@ -91,7 +91,7 @@ def posting_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name")
     k = F.col("p_partkey") % 3
     hint = (F.when(k == 0, F.upper("p_name"))
             .when(k == 1, F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")))
@@ -112,7 +112,7 @@ def role_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
     skills = D.skills_df(spark)
     names = resolve.skill_name_lookup(skills)
     aliases = resolve.skill_alias_lookup(D.skill_aliases_df(spark), skills)

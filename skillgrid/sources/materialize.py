@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from skillgrid.session import ensure_checkpoint_dir
 
 BROADCAST_MAX_ROWS = 1_000_000
-# "auto" materialises a shared intermediate when Catalyst's size estimate of
-# its plan exceeds this many bytes; below it, recomputing is cheaper than a
-# write and a read.  Override with spark.conf skillgrid.materialize.min_bytes.
-MATERIALIZE_MIN_BYTES = 512 * 1024 * 1024
+# "auto" writes a shared intermediate once the bytes its plan reads exceed a
+# threshold; below it a recomputation is cheaper than a job plus a write and a
+# read.  A fact-sized intermediate (``table``) pays off early; a small derived
+# side (``small``) only when the data behind it is large.  Override with
+# spark.conf skillgrid.materialize.fact_min_bytes / derived_min_bytes.
+FACT_MIN_BYTES = 8 * 1024 * 1024
+DERIVED_MIN_BYTES = 256 * 1024 * 1024
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +62,9 @@ class PlanContext:
 
     ``skillgrid.materialize`` chooses what happens to them:
 
-    * ``auto`` (default) - written once and read back when Catalyst estimates
-      the plan above ``MATERIALIZE_MIN_BYTES``; otherwise kept lazy
+    * ``auto`` (default) - written once and read back when the bytes the plan
+      reads exceed ``FACT_MIN_BYTES`` (fact-sized ``table``) or
+      ``DERIVED_MIN_BYTES`` (``small``); otherwise kept lazy
     * ``true`` - always written under ``spark.checkpoint.dir``
     * ``false`` - always lazy (Spark recomputes per branch; AQE picks joins)
 
@@ -72,21 +76,22 @@ class PlanContext:
         self.spark = spark
         self.sf_dir = sf_dir
         self.mode = (materialize or spark.conf.get("skillgrid.materialize", "auto")).lower()
-        self.min_bytes = int(spark.conf.get("skillgrid.materialize.min_bytes", str(MATERIALIZE_MIN_BYTES)))
+        self.fact_min = int(spark.conf.get("skillgrid.materialize.fact_min_bytes", str(FACT_MIN_BYTES)))
+        self.derived_min = int(spark.conf.get("skillgrid.materialize.derived_min_bytes", str(DERIVED_MIN_BYTES)))
         self._tables: dict[str, DataFrame] = {}
         self._written: set[str] = set()
 
-    def _should_write(self, df: DataFrame) -> bool:
+    def _should_write(self, df: DataFrame, min_bytes: int) -> bool:
         if self.mode == "true":
             return True
         if self.mode == "false":
             return False
-        return estimated_bytes(df) >= self.min_bytes
+        return estimated_bytes(df) >= min_bytes
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame], *, derived: bool = False) -> DataFrame:
         if name not in self._tables:
             df = build()
-            if self._should_write(df):
+            if self._should_write(df, self.derived_min if derived else self.fact_min):
                 df = materialize(self.spark, df, name)
                 self._written.add(name)
             self._tables[name] = df
@@ -96,6 +101,6 @@ class PlanContext:
         """A small derived table, broadcast when its measured size allows."""
         key = f"{name}#b"
         if key not in self._tables:
-            t = self.table(name, build)
+            t = self.table(name, build, derived=True)
             self._tables[key] = checked_broadcast(t, max_rows) if name in self._written else t
         return self._tables[key]

@@ -23,8 +23,41 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *cols) -> DataFrame:
+    """Read one shared table, pruned to ``cols`` when given.
+
+    An input that arrives as fewer splits than the session has cores (one
+    small file with a single row group) is spread round-robin over the cores,
+    so the joins and partial aggregates behind the scan run in parallel.  A
+    large input already has many splits and is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if cols:
+        df = df.select(*cols)
+    return spread(df)
+
+
+SPREAD_MIN_ROWS = 100_000
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the cores when a sizeable input arrives as too few splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    rows, size = _scan_stats(df)
+    return df.repartition(cores) if rows >= SPREAD_MIN_ROWS or size >= SPREAD_MIN_BYTES else df
+
+
+def _scan_stats(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) estimates from the file listing and Parquet footers (no job)."""
+    try:
+        st = df._jdf.queryExecution().optimizedPlan().stats()
+        rows = int(str(st.rowCount().get())) if st.rowCount().isDefined() else 0
+        return rows, int(str(st.sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no statistics: treat as large
+        return 1 << 62, 1 << 62
 
 
 def mapped_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +66,10 @@ def mapped_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: job_posting_id, dataset_id, role_id, skill_id, normalized_depth,
     posted_at (date), period_month (date).
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand")
     posted = F.to_date("o_orderdate")
     return (
         li.join(o, li.l_orderkey == o.o_orderkey)
@@ -57,9 +90,8 @@ def mapped_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per posting (orders) with its role, dataset and month."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                              "o_orderdate", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     posted = F.to_date("o_orderdate")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("job_posting_id"),
@@ -78,7 +110,7 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source_row_number is ``doc_id + 1`` (documents are keyed densely from 0).
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     k = F.col("doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 365).cast("int"))
     posted = (
@@ -103,7 +135,7 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def foreign_postings(spark: SparkSession, sf_dir: str, *, with_url: bool = True) -> DataFrame:
     """Events laid out in the foreign posting layout (month-only and bad dates included)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     k = F.col("event_id")
     posted = (
         F.when(k % 10 == 1, F.lit("2024-13"))
