@@ -44,10 +44,16 @@ def requirements_of(ctx: PlanContext) -> DataFrame:
 
 
 def pairs_of(ctx: PlanContext) -> DataFrame:
-    """Pairs meeting the evidence threshold in the whole-table run; measured and
-    broadcast (bounded by roles x skills)."""
-    return ctx.small("required-pairs", lambda: requirements_of(ctx).where(
-        F.col("skill_posting_count") >= EVIDENCE_THRESHOLD).select("role_id", "skill_id"))
+    """Pairs meeting the evidence threshold in the whole-table run (bounded by
+    roles x skills).  The same pairs as the published requirement rows: a pair
+    with a non-null mean depth and enough postings; a role that has evidence
+    always has a positive total, so no per-role branch is needed."""
+    def build():
+        return (evidence(ctx).groupBy("role_id", "skill_id")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("depth_n").alias("depth_n"))
+                .where((F.col("n") >= EVIDENCE_THRESHOLD) & (F.col("depth_n") > 0))
+                .select("role_id", "skill_id"))
+    return ctx.small("required-pairs", build)
 
 
 def series_of(ctx: PlanContext) -> DataFrame:
