@@ -37,11 +37,12 @@ def _col(c: Column | str | float) -> Column:
 
 
 def clip(c: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """Clamp to [lo, hi]."""
     return F.least(F.greatest(_col(c), F.lit(float(lo))), F.lit(float(hi)))
 
 
 def round4(c: Column | str) -> Column:
-    """Half-up to 4 places, through an 8-place decimal.
+    """Half-up to 4 places, through an 8-place decimal.
 
     The intermediate decimal absorbs binary noise (0.48125 computed as
     0.48124999999999996 rounds to 0.4813), so the published digit depends on

@@ -46,7 +46,7 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace (Unicode, as Python's ``strip``)."""
+    """Remove leading and trailing whitespace (Unicode, as Python's ``strip``)."""
     return F.trim(_col(c), F.lit(WHITESPACE_CHARS))
 
 
@@ -63,7 +63,7 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def collapse_whitespace(c: Column | str) -> Column:
-    """Strip, then turn every whitespace run into one space.
+    """Strip, then turn every whitespace run into one space (F1).
 
     Every whitespace character becomes a space (a character map), then runs
     of spaces are squeezed: the same result as replacing runs of the Unicode
@@ -74,17 +74,17 @@ def collapse_whitespace(c: Column | str) -> Column:
 
 
 def strip_common_punctuation(c: Column | str) -> Column:
-    """Replace each ASCII punctuation mark with a space."""
+    """Replace each ASCII punctuation mark with a space (F2)."""
     return F.translate(_col(c), ASCII_PUNCTUATION, " " * len(ASCII_PUNCTUATION))
 
 
 def clean_text(c: Column | str) -> Column:
-    """Punctuation to spaces, collapse whitespace, lower case."""
+    """Punctuation to spaces, collapse whitespace, lower case."""
     return F.lower(collapse_whitespace(strip_common_punctuation(c)))
 
 
 def normalize_key(c: Column | str) -> Column:
-    """Alias key / role hint / signal key: collapse whitespace and lower case.
+    """Alias key / role hint / signal key: collapse whitespace and lower case.
 
     Punctuation is kept.
     """
@@ -92,11 +92,12 @@ def normalize_key(c: Column | str) -> Column:
 
 
 def normalize_role_hint_query(c: Column | str) -> Column:
+    """Free-text role query key: the same as clean_text."""
     return clean_text(c)
 
 
 def normalize_title(c: Column | str, token_map: dict[str, str] | None = None) -> Column:
-    """clean_text, then expand abbreviations token by token."""
+    """clean_text, then expand abbreviations token by token."""
     mapping = token_map or TITLE_TOKEN_MAP
     lookup = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
     tokens = F.split(clean_text(c), " ")
@@ -109,7 +110,7 @@ _DOTNET = "dotnetplaceholder"
 
 
 def normalize_skill_token(c: Column | str) -> Column:
-    """Like clean_text but keeps ``+ # .`` and glues ``c + +`` / ``c #``.
+    """Like clean_text but keeps ``+ # .`` and glues ``c + +`` / ``c #``.
 
     Word boundaries follow Unicode word characters, as in the reference.
     """

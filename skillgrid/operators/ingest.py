@@ -51,15 +51,20 @@ MONTH_SHAPE = r"^[0-9]{4}-[0-9]{2}$"
 SALARY_TYPE = "decimal(18,2)"
 
 
-def read_posting_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_posting_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Header CSV, every column a string, blank stays ``""``.
 
     ``source_row_number`` is the 1-based row within each file.  It is computed
     without a global sort: rows are numbered inside each input split, and the
     split offsets (one small row per split) are summed per file.
+
+    ``multi_line`` allows quoted newlines inside fields; such a file cannot be
+    split, so it is read by one task.  Large feeds without embedded newlines
+    should pass ``multi_line=False``: files then split across tasks and the
+    row numbers stay exact.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+           .option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
            .csv(path))
     cols = [c for c in raw.columns]
     df = raw.select(

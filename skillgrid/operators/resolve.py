@@ -202,7 +202,8 @@ def map_skills(postings: DataFrame, skills: DataFrame, aliases: DataFrame, *, po
 
 
 def hits_in_row_order(first_hits: DataFrame, *, posting: str) -> DataFrame:
-    """Order hits as the reference lists them (reporting edge only)."""
+    """Order hits as the reference lists them; ordering happens only at the
+    reporting edge, never inside an operator (W8)."""
     return first_hits.orderBy(posting, "signal_pos", "match_key")
 
 

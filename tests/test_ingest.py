@@ -111,3 +111,18 @@ def test_duplicate_keys(spark):
     except ValueError as e:
         assert "duplicate" in str(e)
     assert F is not None
+
+
+def test_row_numbers_exact_across_splits(spark, scratch):
+    # a single file read in many small splits still numbers rows 1..n in file order
+    body = [[str(i), "s", "t", f"c{i}", "l", "2026-05-01", "d", "u", ""] for i in range(1, 2001)]
+    path = write_csv(scratch, "big.csv", HEADER, body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = ingest.read_posting_csv(spark, path, multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        got = {int(r["external_id"]): r["source_row_number"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: i for i in range(1, 2001)}
