@@ -113,6 +113,11 @@ def one_current_per_month(manifest: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def allowed_values_rule(df: DataFrame, col: str, allowed: Iterable, table_name: str, rule_name: str) -> DataFrame:
+    """Rows whose value is outside a fixed set (D8: course weights 0.25/0.50/0.75/1.00)."""
+    return table_rules(df, table_name, {rule_name: F.col(col).isin(*allowed)})
+
+
 def review_state(reviewed: Column | str, target_id: Column | str) -> Column:
     """Alias review state: pending until reviewed; then approved with a target,
     dismissed without one (P15)."""

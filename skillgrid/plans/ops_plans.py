@@ -183,8 +183,9 @@ def table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimension rules: alias keys, duplicates, orphans, inactive targets
-    over the dimensions and the part-derived role hints."""
+    """Dimension rules: alias keys, duplicates, orphans, inactive targets,
+    allowed course weights (D7, D8, J12) over the dimensions, the part-derived
+    role hints and part-derived course weights ((p_size % 5) x 0.25)."""
     skills, aliases = D.skills_df(spark), D.skill_aliases_df(spark)
     ra = D.role_aliases_df(spark)
     hints = table(spark, sf_dir, "part", F.col("p_name").alias("alias"))
@@ -200,6 +201,9 @@ def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         inactive.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
             F.lit("alias_of_inactive_skill").alias("rule_name"), F.lit("skill_aliases").alias("table_name"),
             "violations"),
+        quality.allowed_values_rule(
+            table(spark, sf_dir, "part", (F.col("p_size") % 5 * F.lit(0.25)).alias("weight")),
+            "weight", quality.ALLOWED_COURSE_WEIGHTS, "course_skills", "course_weight_allowed"),
         hints.join(F.broadcast(ra.select("normalized_alias")),
                    resolve.normalize_key("alias") == F.col("normalized_alias"), "left_anti")
         .agg(F.countDistinct("alias").cast("bigint").alias("violations")).select(

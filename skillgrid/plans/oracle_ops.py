@@ -329,6 +329,9 @@ DIMENSION_AUDIT = "\nUNION ALL\n".join([
             "fk_roles"),
     f"SELECT 'alias_of_inactive_skill' AS rule_name, 'skill_aliases' AS table_name, CAST(count(*) AS BIGINT) AS violations "
     f"FROM {_AL} a JOIN {_SK} s ON a.skill_id = s.skill_id WHERE NOT s.is_active",
+    "SELECT 'course_weight_allowed' AS rule_name, 'course_skills' AS table_name, "
+    "CAST(count_if(NOT coalesce((p_size % 5) * 0.25::DOUBLE IN (0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE), "
+    "FALSE)) AS BIGINT) AS violations FROM part",
     f"SELECT 'hint_without_alias' AS rule_name, 'part' AS table_name, CAST(count(DISTINCT p_name) AS BIGINT) AS violations "
     f"FROM part WHERE NOT EXISTS (SELECT 1 FROM {_RA} r WHERE r.normalized_alias = {key('part.p_name')})",
 ])

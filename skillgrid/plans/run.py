@@ -106,7 +106,8 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
     staged = ingest.adapt_foreign(rows) if layout == "foreign" else ingest.validate_postings(rows)
     valid, rejected = ingest.split_valid(staged)
     if layout == "foreign":
-        rejected = rejected.join(rows, "source_row_number").select("source_row_number", *raw_cols, "reason")
+        rejected = rejected.select("source_row_number", "reason").join(rows, "source_row_number").select(
+            "source_row_number", *raw_cols, "reason")
     _append(ingest.quarantine_rows(rejected, job_id, raw_cols), root, "pipeline_rejected_rows", dry_run)
 
     norm = ingest.normalize_postings(ingest.to_raw_posting(valid))

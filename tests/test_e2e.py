@@ -86,3 +86,29 @@ def test_dry_run_writes_nothing(spark, scratch):
     r = run_ingestion(spark, valid, root, dry_run=True, **_dims(spark))
     assert r["role_skill_requirements_rows_published"] == 2
     assert not os.path.exists(root)
+
+
+def test_foreign_layout_run(spark, scratch):
+    root = os.path.join(scratch, "warehouse")
+    header = ["posting_id", "platform", "posted_date", "job_title", "company_name", "location",
+              "job_description", "job_url", "work_type"]
+    rows = [[f"js-{i}", "jobs", "2026-07", "Data Analyst", f"Firm {i}", "Cebu",
+             "python3" if i % 2 else "sql queries", f"https://jobs.example/js/{i}", ""] for i in range(12)]
+    rows.append(["js-bad", "jobs", "2026-13", "Data Analyst", "Firm X", "Cebu", "python3", "https://x", ""])
+    path = _write_any(scratch, "foreign.csv", header, rows)
+    r = run_ingestion(spark, path, root, layout="foreign", **_dims(spark))
+    assert r["rejected"] == [(13, "INVALID_SOURCE_DATE:posted_date")]
+    assert r["terminal_status"] == "partial" and r["rows_passing_validation"] == 12
+    reqs = spark.read.parquet(f"{root}/role_skill_requirements").collect()
+    assert sorted((x["skill_id"], x["evidence_count"]) for x in reqs) == [("K-PY", 6), ("K-SQL", 6)]
+    q = spark.read.parquet(f"{root}/pipeline_rejected_rows").first()
+    assert '"posted_date":"2026-13"' in q["raw_payload"]
+
+
+def _write_any(folder, name, header, rows):
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(header)
+        w.writerows(rows)
+    return path

@@ -98,3 +98,10 @@ def test_role_search(spark):
     assert got[("analyst", "R1")] == ("keyword", 0.8)
     assert got[("backend enginer", "R2")][0] in ("keyword", "fuzzy")
     assert not any(k[0] == "zzz" for k in got)
+
+
+def test_allowed_course_weights(spark):
+    df = spark.createDataFrame([(0.25,), (0.5,), (0.6,), (0.0,)], "weight double")
+    got = quality.allowed_values_rule(df, "weight", quality.ALLOWED_COURSE_WEIGHTS, "course_skills",
+                                      "course_weight_allowed").first()
+    assert got["violations"] == 2
