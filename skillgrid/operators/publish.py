@@ -182,6 +182,31 @@ def active_signals_by_role(signals_with_flag: DataFrame, role_id=None) -> DataFr
     return out if role_id is None else out.where(F.col("role_id") == F.lit(role_id))
 
 
+def register_views(spark: SparkSession, root: str) -> list[str]:
+    """Temp views over a published warehouse folder, so the monthly reads can be
+    written in SQL: ``role_requirement_versions`` (with derived flags),
+    ``current_monthly_role_requirements``, ``current_monthly_sdi_snapshots``,
+    ``current_monthly_skill_decay_signals`` and ``active_skill_decay_signals``
+    (R1-R3, S13).  Tables not published yet are skipped."""
+    manifest = read_manifest(spark, root)
+    manifest.createOrReplaceTempView("role_requirement_versions")
+    made = ["role_requirement_versions"]
+    for table_name, view in ((REQUIREMENTS, "current_monthly_role_requirements"),
+                             (SNAPSHOTS, "current_monthly_sdi_snapshots")):
+        t = read_table(spark, root, table_name)
+        if t is not None:
+            current_rows(t, manifest).createOrReplaceTempView(view)
+            made.append(view)
+    sig = read_table(spark, root, SIGNALS)
+    if sig is not None:
+        flagged = active_signals(sig, manifest)
+        flagged.where("is_active").createOrReplaceTempView("active_skill_decay_signals")
+        current_rows(flagged.where("is_active").drop("period_month"), manifest) \
+            .createOrReplaceTempView("current_monthly_skill_decay_signals")
+        made += ["active_skill_decay_signals", "current_monthly_skill_decay_signals"]
+    return made
+
+
 # ---------------------------------------------------------------- idempotent sinks
 
 def snapshot_publish_plan(incoming: DataFrame, stored: DataFrame, manifest: DataFrame, *,

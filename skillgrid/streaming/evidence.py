@@ -81,6 +81,20 @@ def first_event_per_key(stream: DataFrame, *, aggregate_id: str, event_type: str
              "_e.event_seq", "_e.available_at", "_e.payload", F.lit("pending").alias("status"), "attempts")
 
 
+def dedup_within_watermark(stream: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
+    """Drop repeats of a key that arrive within ``delay`` of each other.
+
+    For key sets that grow without bound: state per key is dropped once the
+    watermark passes, so memory stays bounded.  ``first_event_per_key`` is the
+    exact variant when the key set itself is bounded.
+    """
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(stream.schema[ts].dataType, TimestampNTZType):
+        # event time must be a TIMESTAMP; the session zone is pinned to UTC
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def due_events(stream: DataFrame, now, ts: str = "ts") -> DataFrame:
     """Stateless pick-up filter for due rows (T4)."""
     return stream.where(F.col(ts) <= F.lit(now))

@@ -112,3 +112,14 @@ def _write_any(folder, name, header, rows):
         w.writerow(header)
         w.writerows(rows)
     return path
+
+
+def test_sql_views_over_published_tables(spark, scratch):
+    from skillgrid.operators import publish
+    root = os.path.join(scratch, "warehouse")
+    run_ingestion(spark, _write(scratch, "valid_postings.csv", _rows("05")), root, **_dims(spark))
+    views = publish.register_views(spark, root)
+    assert "current_monthly_role_requirements" in views
+    got = spark.sql("SELECT skill_id, evidence_count FROM current_monthly_role_requirements ORDER BY skill_id").collect()
+    assert [(r[0], r[1]) for r in got] == [("K-PY", 5), ("K-SQL", 5)]
+    assert spark.sql("SELECT count(*) FROM current_monthly_sdi_snapshots").first()[0] == 2

@@ -44,3 +44,14 @@ def test_due_events_filter(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 2, 1))], "id int, ts timestamp")
     assert [r["id"] for r in S.due_events(df, dt.datetime(2024, 1, 15)).collect()] == [1]
     assert F is not None
+
+
+def test_dedup_within_watermark(spark):
+    events = table(spark, SF, "events")
+    doubled = events.unionByName(events)
+    folder = S.stage_files(doubled, S.scratch_folder(spark, "t-dup"), 2, "ts")
+    out, ckpt = S.scratch_folder(spark, "t-dup-out"), S.scratch_folder(spark, "t-dup-ckpt")
+    stream = S.dedup_within_watermark(S.file_stream(spark, folder, doubled.schema), ["event_id"], "ts", "30 days")
+    S.run_available_now(stream.select("event_id"), out, ckpt, "append")
+    got = spark.read.parquet(out)
+    assert got.count() == events.count() == got.select("event_id").distinct().count()
