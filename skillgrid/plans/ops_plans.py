@@ -192,12 +192,12 @@ def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     inactive = aliases.join(skills.where(~F.col("is_active")).select("skill_id"), "skill_id")
     parts = [
         quality.alias_key_rule(aliases, "skill_aliases"),
-        quality.alias_key_rule(ra.where(F.col("role_id").isNotNull()), "career_role_aliases"),
+        quality.alias_key_rule(ra.where(F.col("role_id").isNotNull()), "role_aliases"),
         quality.duplicate_rule(aliases, ["normalized_alias"], "skill_aliases"),
-        quality.duplicate_rule(ra, ["normalized_alias"], "career_role_aliases"),
+        quality.duplicate_rule(ra, ["normalized_alias"], "role_aliases"),
         quality.orphan_rule(aliases, ["skill_id"], skills, ["skill_id"], "skill_aliases", "fk_skills"),
         quality.orphan_rule(ra.where(F.col("role_id").isNotNull()), ["role_id"], D.roles_df(spark), ["role_id"],
-                            "career_role_aliases", "fk_roles"),
+                            "role_aliases", "fk_roles"),
         inactive.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
             F.lit("alias_of_inactive_skill").alias("rule_name"), F.lit("skill_aliases").alias("table_name"),
             "violations"),

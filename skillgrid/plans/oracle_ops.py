@@ -320,12 +320,12 @@ _RO = f"(SELECT * FROM {sql_values(TEST_ROLES, ['role_id', 'title'])})"
 
 DIMENSION_AUDIT = "\nUNION ALL\n".join([
     _rules("skill_aliases", _AL, {"alias_key_normalized": f"normalized_alias = {key('alias')}"}),
-    _rules("career_role_aliases", f"(SELECT * FROM {_RA} WHERE role_id IS NOT NULL)",
+    _rules("role_aliases", f"(SELECT * FROM {_RA} WHERE role_id IS NOT NULL)",
            {"alias_key_normalized": f"normalized_alias = {key('alias')}"}),
     _dup("skill_aliases", _AL, ["normalized_alias"]),
-    _dup("career_role_aliases", _RA, ["normalized_alias"]),
+    _dup("role_aliases", _RA, ["normalized_alias"]),
     _orphan("skill_aliases", _AL, "skill_id", _SK, "skill_id", "fk_skills"),
-    _orphan("career_role_aliases", f"(SELECT * FROM {_RA} WHERE role_id IS NOT NULL)", "role_id", _RO, "role_id",
+    _orphan("role_aliases", f"(SELECT * FROM {_RA} WHERE role_id IS NOT NULL)", "role_id", _RO, "role_id",
             "fk_roles"),
     f"SELECT 'alias_of_inactive_skill' AS rule_name, 'skill_aliases' AS table_name, CAST(count(*) AS BIGINT) AS violations "
     f"FROM {_AL} a JOIN {_SK} s ON a.skill_id = s.skill_id WHERE NOT s.is_active",
