@@ -19,7 +19,7 @@ guarded aliases use a look-around regex.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.functions.text import SIGNAL_DELIMITERS, normalize_key, strip_ws
@@ -205,9 +205,3 @@ def hits_in_row_order(first_hits: DataFrame, *, posting: str) -> DataFrame:
     """Order hits as the reference lists them; ordering happens only at the
     reporting edge, never inside an operator (W8)."""
     return first_hits.orderBy(posting, "signal_pos", "match_key")
-
-
-def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Newest row per key (window helper for small per-key histories)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -312,37 +312,14 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q33: top-3 gaps -> the three easiest active catalog items (parts of the
-    brand) the student has not bought yet (X5).
-
-    Exact without pairing every student with every item: for a gap, only the
-    first 3 + (items of that skill the student bought) catalog ranks can
-    qualify, so gaps are expanded to those ranks and equi-joined.
-    """
+    brand, active when p_size <= 45) the student has not bought yet (X5)."""
     ctx = PlanContext(spark, sf_dir)
     _, _, completed, _ = _student_inputs(ctx)
     pri = student.prioritized(_gaps(ctx))
-    top = pri.where((F.col("priority") <= student.ROADMAP_TOP_GAPS) & (F.col("gap_score") > 0))
-    part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
-    catalog = part.where(F.col("p_size") <= 45).select(
-        F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"), F.col("p_size").alias("difficulty"))
-    done = _purchases(ctx).join(catalog.select("item_id"), "item_id")
-    n_done = done.groupBy("student_id", "skill_id").agg(F.count(F.lit(1)).alias("n_done"))
-    # Deepest catalog rank any gap can reach: a scalar, so the per-skill ranking
-    # below is a top-k (a partial limit runs in each map task before the shuffle)
-    # instead of a full sort of a hot skill's items in one task.
-    depth = n_done.agg(F.max("n_done")).first()[0] or 0
-    k = ROADMAP_ITEMS_PER_GAP + int(depth)
-    ranked = catalog.withColumn("rank", F.row_number().over(
-        Window.partitionBy("skill_id").orderBy("difficulty", "item_id"))).where(F.col("rank") <= k)
-    reach = top.join(n_done, ["student_id", "skill_id"], "left").withColumn(
-        "rank", F.explode(F.sequence(F.lit(1), F.lit(ROADMAP_ITEMS_PER_GAP) + F.coalesce("n_done", F.lit(0)))))
-    cand = (reach.join(ranked, ["skill_id", "rank"])
-            .join(completed, ["student_id", "item_id"], "left_anti"))
-    w_gap = Window.partitionBy("student_id", "skill_id").orderBy("rank")
-    first = cand.withColumn("_k", F.row_number().over(w_gap)).where(F.col("_k") <= ROADMAP_ITEMS_PER_GAP)
-    w = Window.partitionBy("student_id", "role_id").orderBy("priority", "difficulty", "item_id")
-    return first.select("student_id", "role_id", "skill_id", "priority", "gap_score", "item_id", "difficulty",
-                        F.row_number().over(w).alias("step"), F.lit("todo").alias("status"))
+    catalog = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").select(
+        F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"),
+        F.col("p_size").alias("difficulty"), (F.col("p_size") <= 45).alias("is_active"))
+    return student.roadmap(pri, catalog, completed, per_gap=ROADMAP_ITEMS_PER_GAP)
 
 
 def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,16 @@ def test_allowed_course_weights(spark):
     got = quality.allowed_values_rule(df, "weight", quality.ALLOWED_COURSE_WEIGHTS, "course_skills",
                                       "course_weight_allowed").first()
     assert got["violations"] == 2
+
+
+def test_roadmap_skips_completed_and_reaches_deeper_ranks(spark):
+    pri = spark.createDataFrame([("u", "r", "a", 1, 0.4), ("u", "r", "b", 2, 0.2), ("u", "r", "c", 3, 0.0)],
+                                "student_id string, role_id string, skill_id string, priority int, gap_score double")
+    catalog = spark.createDataFrame(
+        [("a", "a1", 1, True), ("a", "a2", 2, True), ("a", "a3", 3, True), ("a", "a4", 4, True),
+         ("a", "a0", 0, False), ("b", "b1", 1, True), ("c", "c1", 1, True)],
+        "skill_id string, item_id string, difficulty int, is_active boolean")
+    done = spark.createDataFrame([("u", "a1"), ("u", "a3")], "student_id string, item_id string")
+    got = [(r["step"], r["item_id"]) for r in
+           student.roadmap(pri, catalog, done).orderBy("step").collect()]
+    assert got == [(1, "a2"), (2, "a4"), (3, "b1")]
