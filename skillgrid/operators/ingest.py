@@ -38,7 +38,6 @@ FOREIGN_OPTIONAL_CANDIDATES = {
 }
 MSG_NOT_STRING = "Input should be a valid string"
 MSG_NOT_DECIMAL = "Input should be a valid decimal"
-MSG_NOT_DATE = "Input should be a valid date"
 # --- end of fixed values ----------------------------------------------------
 
 # ISO date, or ISO date-time (trailing Z or numeric offset allowed) cut to its date.
@@ -47,7 +46,6 @@ DATETIME_SHAPE = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3])(:[0-5][0-9](:[0-5][0-9]([.][0-9]{1,6})?)?)?"
     r"(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?$"
 )
-MONTH_SHAPE = r"^[0-9]{4}-[0-9]{2}$"
 SALARY_TYPE = "decimal(18,2)"
 
 

@@ -73,9 +73,8 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
     dataset_id = hashlib.sha256(csv_path.encode()).hexdigest()
     prior_jobs = _read(spark, root, "pipeline_job_log").where("action = 'create'").count()
     job_id = f"job-{prior_jobs + 1:06d}"
-    _append(spark.createDataFrame([(dataset_id, csv_path, layout, "uploaded")],
-                                  "dataset_id string, path string, source string, status string"),
-            root, "datasets", dry_run)
+    files = spark.createDataFrame([(csv_path, layout)], "path string, source string")
+    _append(ops.register_datasets(files), root, "datasets", dry_run)
     _log(spark, root, job_id, dataset_id, "create", dry_run)
     _log(spark, root, job_id, dataset_id, "running", dry_run)
     try:
@@ -195,5 +194,6 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
 
 
 def valid_month(postings: DataFrame) -> dt.date:
-    """Month of the latest posting (A9), as a scalar."""
-    return postings.agg(F.trunc(F.max("posted_at"), "month")).first()[0]
+    """Month of the latest posting of the run's dataset (A9), as a scalar."""
+    one = postings.select(F.lit("run").alias("dataset_id"), "posted_at")
+    return demand.dataset_period_month(one).first()["period_month"]

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillgrid.functions.text import first_line
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -122,7 +124,7 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k + 1).alias("source_row_number"),
         k.cast("string").alias("external_id"),
         F.when(k % 7 == 1, F.lit("")).otherwise(F.col("source")).alias("source"),
-        F.when(k % 19 == 2, F.lit("!!!")).otherwise(F.substring_index("text", "\n", 1)).alias("title"),
+        F.when(k % 19 == 2, F.lit("!!!")).otherwise(first_line("text")).alias("title"),
         F.when(k % 13 == 4, F.lit("   ")).otherwise(F.concat(F.lit("publisher "), F.col("lang"))).alias("company"),
         F.col("lang").alias("location"),
         posted.alias("posted_at"),
