@@ -78,10 +78,10 @@ SELECT * FROM ledger
 
 LEDGER_RULE_VIOLATIONS = f"""
 WITH {_LEDGER.strip()}
-SELECT count_if((status IN ('complete', 'partial', 'failed')) <> (finished_at IS NOT NULL)) AS finished_at_rule,
-       count_if(output_version IS NOT NULL AND status NOT IN ('complete', 'partial')) AS output_version_rule,
-       count_if(finished_at < started_at) AS finished_after_started_rule,
-       count_if(status NOT IN ('pending', 'running', 'complete', 'partial', 'failed')) AS status_enum_rule
+SELECT CAST(count_if((status IN ('complete', 'partial', 'failed')) <> (finished_at IS NOT NULL)) AS BIGINT) AS finished_at_rule,
+       CAST(count_if(output_version IS NOT NULL AND status NOT IN ('complete', 'partial')) AS BIGINT) AS output_version_rule,
+       CAST(count_if(finished_at < started_at) AS BIGINT) AS finished_after_started_rule,
+       CAST(count_if(status NOT IN ('pending', 'running', 'complete', 'partial', 'failed')) AS BIGINT) AS status_enum_rule
 FROM ledger
 """
 
@@ -206,8 +206,8 @@ hs AS (
   FROM vh_first f JOIN d ON d.doc_id = f.doc_id GROUP BY d.job_id
 ),
 st AS (
-  SELECT d.job_id, count(*) AS rows_read, count_if(r.reason IS NOT NULL) AS rows_rejected,
-         count_if(r.reason IS NULL) AS rows_valid
+  SELECT d.job_id, count(*) AS rows_read, CAST(count_if(r.reason IS NOT NULL) AS BIGINT) AS rows_rejected,
+         CAST(count_if(r.reason IS NULL) AS BIGINT) AS rows_valid
   FROM d JOIN r ON d.doc_id + 1 = r.source_row_number GROUP BY d.job_id
 )
 SELECT st.job_id, rows_read, rows_rejected, rows_valid, coalesce(skill_hits, 0) AS skill_hits,
@@ -416,7 +416,7 @@ ver AS (SELECT o_custkey AS student_id, strftime(max(o_orderdate), '%Y%m%d') AS
         FROM orders GROUP BY o_custkey),
 rd AS (
   SELECT student_id, role_id, {R4("sum(coverage * demand_weight) / sum(demand_weight)")} AS readiness_score,
-         count(*) AS required_skills, count_if(raw_gap > 0) AS skills_with_gap
+         count(*) AS required_skills, CAST(count_if(raw_gap > 0) AS BIGINT) AS skills_with_gap
   FROM gaps GROUP BY student_id, role_id
 )
 SELECT rd.*, ver.profile_version,

@@ -187,7 +187,7 @@ lk AS (
   WHERE s.is_active AND a.nk <> ''
 ),
 raw AS (SELECT doc_id, regexp_split_to_array(text, '[,;\\n]+') AS parts FROM documents),
-sig0 AS (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS signal_pos FROM raw),
+sig0 AS (SELECT doc_id, unnest(parts) AS part, CAST(unnest(generate_series(0, len(parts) - 1)) AS INTEGER) AS signal_pos FROM raw),
 sig1 AS (SELECT doc_id, signal_pos, {strip_ws('part')} AS signal_text FROM sig0),
 s AS (SELECT doc_id, signal_pos, signal_text, {key('signal_text')} AS signal_key FROM sig1 WHERE signal_text <> ''),
 t12 AS (
