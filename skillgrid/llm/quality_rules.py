@@ -61,7 +61,7 @@ def bucket_log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUC
     return [math.log((g[i] + alpha) / total_g) - math.log((n[i] + alpha) / total_n) for i in range(buckets)]
 
 
-def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float = -0.35, min_words: int = 50,
+def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float = -0.04, min_words: int = 50,
                   max_repeat_pct: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (without text) with its signals, ``llr_score``, ``base_failed`` and ``kept``.
 
