@@ -4,7 +4,9 @@
 2. A randomised SVD of the TF-IDF passage matrix A, distributed: tasks form
    Y = A Omega and add up Z = A^T Y; the driver gets that one matrix of fixed
    size and takes the right singular vectors of A from it (the Nystrom form of
-   the randomised decomposition, so one pass is enough).
+   the randomised decomposition, so one pass is enough).  A word's weight is
+   its inverse frequency over the length of its column, so that the frequent
+   words of a language do not fill the whole latent space.
 3. Every window of every document is folded into the latent space and compared
    by cosine with the benchmark items of about its length.
 4. Candidates are checked on their words: longest common subsequence, and for
@@ -28,9 +30,10 @@ from skillgrid.llm.common import materialize
 from skillgrid.llm.wordhash import PUNCTUATION, WordHasher, small_batches
 
 DIMS = 1 << 14  # hashed vocabulary
-RANK, SKETCH = 32, 40  # latent dimensions; columns of the random test matrix
+RANK, SKETCH = 48, 48  # latent dimensions; columns of the random test matrix
 PASSAGE = 32  # words of a training passage
 STRIDE = 8  # words between window starts
+MARGIN = 6  # words added at both ends of a window when its words are compared
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 
 
@@ -38,7 +41,7 @@ BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 class Rules:
     """Decision limits."""
 
-    min_cosine: float = 0.40  # of a candidate, in the latent space
+    min_cosine: float = 0.60  # of a candidate, in the latent space
     copy_share: float = 0.80  # common subsequence / item words: a copy
     paraphrase_share: float = 0.60  # from here a paraphrase, if the answer agrees
     answer_part: float = 0.25  # of the item, at its end, is its answer
@@ -62,14 +65,18 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def passage_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Inverse passage frequency of each hashed word, over all passages of all documents."""
+    """Weight of each hashed word, from the passages of all documents that hold it.
+
+    The inverse passage frequency, divided by the (binary) length of the word's column.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, n = WordHasher(drop=PUNCTUATION), np.zeros(DIMS, np.int64), 0
         for _, _, texts in _texts(batches, 0):
             ids, first = hasher(texts)
             starts = _passages(first, PASSAGE)
             which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-            seen += np.bincount(np.unique(which * DIMS + _features(ids)) % DIMS, minlength=DIMS)
+            pairs = np.sort(which * DIMS + _features(ids))  # (passage, word), each counted once
+            seen += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % DIMS, minlength=DIMS)
             n += len(starts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS, dtype=np.int32)),
                                           pa.array(np.concatenate([[n], seen]))], ["f", "n"])
@@ -78,7 +85,7 @@ def passage_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarra
     count = np.zeros(DIMS + 1)
     for r in rows.collect():  # DIMS + 1 rows
         count[r.f + 1] = r.n
-    return np.log((1 + count[0]) / (1 + count[1:]))
+    return np.log((1 + count[0]) / (1 + count[1:])) / np.sqrt(1 + count[1:])
 
 
 def _test_matrix() -> np.ndarray:
@@ -88,9 +95,8 @@ def _test_matrix() -> np.ndarray:
 def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> np.ndarray:
     """DIMS x RANK map into the latent space, by a randomised SVD over all passages.
 
-    Columns are right singular vectors divided by their singular values, with
-    the inverse frequencies folded in, so a window's place is the plain sum
-    over its words.
+    Columns are right singular vectors with the word weights folded in, so a
+    window's place is the plain sum over its words.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(idf)  # DIMS numbers
@@ -129,10 +135,9 @@ def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> n
     good = value > max(value.max(), 0) * 1e-10
     if not good.any():
         return np.zeros((DIMS, RANK), np.float32)
-    u, s, _ = np.linalg.svd(z @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    u, s = u[:, :RANK], s[:RANK]
+    u, _, _ = np.linalg.svd(z @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
     out = np.zeros((DIMS, RANK))
-    out[:, :u.shape[1]] = u / np.maximum(s, s.max() * 1e-6)
+    out[:, :min(RANK, u.shape[1])] = u[:, :RANK]
     return (out * idf[:, None]).astype(np.float32)
 
 
@@ -183,6 +188,30 @@ def _masks(words: np.ndarray) -> tuple[dict[int, int], int]:
     return out, (1 << len(words)) - 1
 
 
+def _local_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: number of a hashed word within the item (the last column: not in it), and how often it occurs."""
+    wide = max(len(np.unique(_features(w))) for w in words) + 1
+    local, counts = np.full((len(words), DIMS), wide - 1, np.int16), np.zeros((len(words), wide), np.int64)
+    for i, w in enumerate(words):
+        f, n = np.unique(_features(w), return_counts=True)
+        local[i, f] = np.arange(len(f))
+        counts[i, :len(f)] = n
+    return local, counts
+
+
+def _words_in_common(f: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, local: np.ndarray,
+                     counts: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Size of the multiset intersection of each region's words with its item's, taken in blocks."""
+    out, wide = np.zeros(len(begin), np.int64), counts.shape[1]
+    for lo in range(0, len(begin), block):
+        b, e, i = begin[lo:lo + block], end[lo:lo + block], item[lo:lo + block]
+        row = np.repeat(np.arange(len(b)), e - b)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(e - b) - (e - b), e - b) + b[row]
+        seen = np.bincount(row * wide + local[i[row], f[pos]], minlength=len(b) * wide).reshape(-1, wide)
+        out[lo:lo + block] = np.minimum(seen, counts[i]).sum(axis=1)
+    return out
+
+
 def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, id_col: str, text_col: str) -> DataFrame:
     """One row per (document, item of this block) that is found, the best place of the pair.
 
@@ -196,9 +225,8 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
         hasher = WordHasher(drop=PUNCTUATION)
         masks = [_masks(w) for w in block.words]
         answers = [_masks(w[len(w) - max(1, round(len(w) * rules.answer_part)):]) for w in block.words]
-        member = np.zeros((len(block.words), DIMS), bool)
-        for i, w in enumerate(block.words):
-            member[i, _features(w)] = True
+        lengths = np.array([len(w) for w in block.words])
+        local, counts = _local_words(block.words)
         by_size = {s: np.flatnonzero(np.array(block.sizes) == s) for s in sorted(set(block.sizes))}
         for b, lo, texts in _texts(batches, 1):
             ids, first = hasher(texts)
@@ -213,37 +241,30 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
             ends = np.append(starts, len(ids))
             for size, which in by_size.items():
                 hi = np.minimum(np.arange(len(starts)) + size, last)
-                w = sums[hi] - sums[:-1]
-                w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-                for a in range(0, len(starts), 16384):  # windows in blocks: memory stays bounded
-                    at, item = np.nonzero(w[a:a + 16384].astype(np.float32) @ block.places[which].T.astype(np.float32)
-                                          >= rules.min_cosine)
-                    at, item = at + a, which[item]
-                    # words of the region that occur in the item bound the common subsequence from above
-                    margin = STRIDE
-                    begin = np.maximum(starts[at] - margin, first[owner[at]])
-                    end = np.minimum(ends[hi[at]] + margin, first[owner[at] + 1])
-                    need = np.array([len(x) for x in block.words])[item] * rules.paraphrase_share
-                    keep = end - begin >= need
-                    at, item, begin, end, need = at[keep], item[keep], begin[keep], end[keep], need[keep]
-                    shared_words = np.zeros(len(at), np.int64)
-                    for step in range(int((end - begin).max(initial=0))):
-                        pos = begin + step
-                        ok = pos < end
-                        shared_words[ok] += member[item[ok], f[pos[ok]]]
-                    for k in np.flatnonzero(shared_words >= need).tolist():
-                        i = int(item[k])
-                        region = ids[begin[k]:end[k]].tolist()
-                        share = common_subsequence(*masks[i], region) / len(block.words[i])
-                        if share < rules.paraphrase_share:
-                            continue
-                        answer = common_subsequence(*answers[i], region) / answers[i][1].bit_count()
-                        if share < rules.copy_share and answer < rules.answer_share:
-                            continue
-                        d = int(owner[at[k]])
-                        found = (share, answer, float(w[at[k]] @ block.places[i]), -int(begin[k] - first[d]))
-                        if found > best.get((d, i), (0.0,)):
-                            best[d, i] = found
+                w = (sums[hi] - sums[:-1]).astype(np.float32)
+                w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
+                cosine = w @ block.places[which].T
+                at, item = np.nonzero(cosine >= rules.min_cosine)
+                if not len(at):
+                    continue
+                near, item = cosine[at, item], which[item]
+                begin = np.maximum(starts[at] - MARGIN, first[owner[at]])
+                end = np.minimum(ends[hi[at]] + MARGIN, first[owner[at] + 1])
+                need = lengths[item] * rules.paraphrase_share
+                # the words in common, as multisets, bound the common subsequence from above
+                can = _words_in_common(f, begin, end, item, local, counts) >= need
+                for k in np.flatnonzero(can).tolist():
+                    i, region = int(item[k]), ids[begin[k]:end[k]].tolist()
+                    share = common_subsequence(*masks[i], region) / len(block.words[i])
+                    if share < rules.paraphrase_share:
+                        continue
+                    answer = common_subsequence(*answers[i], region) / answers[i][1].bit_count()
+                    if share < rules.copy_share and answer < rules.answer_share:
+                        continue
+                    d = int(owner[at[k]])
+                    found = (share, answer, float(near[k]), -int(begin[k] - first[d]))
+                    if found > best.get((d, i), (0.0,)):
+                        best[d, i] = found
             if best:
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays([

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import factorisation, line_dedup, quality_rules
+from skillgrid.llm import decontamination, factorisation, line_dedup, quality_rules, simhash
 from skillgrid.llm.common import crc_mod, read
 
 
@@ -15,6 +15,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the scores of the pair."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("share").alias("lcs_share"),
+                        F.col("answer").alias("answer_share"), "cosine", F.col("word").alias("first_word"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.simhash_components(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, max_bits=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals of every document and the likelihood-ratio verdict."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,4 +45,4 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_quality_rules, op10_quality_fm)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_simhash, op5_quality_rules, op10_quality_fm)}
