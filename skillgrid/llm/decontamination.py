@@ -33,7 +33,7 @@ DIMS = 1 << 14  # hashed vocabulary
 RANK, SKETCH = 48, 48  # latent dimensions; columns of the random test matrix
 PASSAGE = 32  # words of a training passage
 STRIDE = 8  # words between window starts
-MARGIN = 6  # words added at both ends of a window when its words are compared
+MARGIN = 6  # words added at both ends of a window when its words are compared; less than a stride
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 
 
@@ -41,7 +41,7 @@ BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 class Rules:
     """Decision limits."""
 
-    min_cosine: float = 0.60  # of a candidate, in the latent space
+    min_cosine: float = 0.45  # of a candidate, in the latent space
     copy_share: float = 0.80  # common subsequence / item words: a copy
     paraphrase_share: float = 0.60  # from here a paraphrase, if the answer agrees
     answer_part: float = 0.25  # of the item, at its end, is its answer
@@ -188,6 +188,13 @@ def _masks(words: np.ndarray) -> tuple[dict[int, int], int]:
     return out, (1 << len(words)) - 1
 
 
+def _signs(f: np.ndarray) -> np.ndarray:
+    """One of 256 bits for each hashed word, as four 64-bit numbers."""
+    out = np.zeros((len(f), 4), np.uint64)
+    out[np.arange(len(f)), (f >> 6) & 3] = np.uint64(1) << (f & 63).astype(np.uint64)
+    return out
+
+
 def _local_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each item: number of a hashed word within the item (the last column: not in it), and how often it occurs."""
     wide = max(len(np.unique(_features(w))) for w in words) + 1
@@ -227,6 +234,7 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
         answers = [_masks(w[len(w) - max(1, round(len(w) * rules.answer_part)):]) for w in block.words]
         lengths = np.array([len(w) for w in block.words])
         local, counts = _local_words(block.words)
+        wanted = np.stack([np.bitwise_or.reduce(_signs(_features(w)), axis=0) for w in block.words])
         by_size = {s: np.flatnonzero(np.array(block.sizes) == s) for s in sorted(set(block.sizes))}
         for b, lo, texts in _texts(batches, 1):
             ids, first = hasher(texts)
@@ -238,6 +246,7 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
             last = np.searchsorted(starts, first[owner + 1])  # strides before the end of the text
             sums = np.zeros((len(starts) + 1, place.shape[1]))
             np.cumsum(np.add.reduceat(place[f], starts, axis=0), axis=0, out=sums[1:])
+            signs = np.bitwise_or.reduceat(_signs(f), starts, axis=0)
             ends = np.append(starts, len(ids))
             for size, which in by_size.items():
                 hi = np.minimum(np.arange(len(starts)) + size, last)
@@ -247,6 +256,14 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
                 at, item = np.nonzero(cosine >= rules.min_cosine)
                 if not len(at):
                     continue
+                # bits of the item's words that no word of the region sets: so many words are missing at least
+                around = signs.copy()
+                for step in range(-1, size + 1):
+                    lo_, hi_ = max(0, -step), min(len(starts), len(starts) - step)
+                    around[lo_:hi_] |= signs[lo_ + step:hi_ + step]
+                miss = np.bitwise_count(wanted[which[item]] & ~around[at]).sum(axis=1, dtype=np.int64)
+                can = miss <= lengths[which[item]] * (1 - rules.paraphrase_share)
+                at, item = at[can], item[can]
                 near, item = cosine[at, item], which[item]
                 begin = np.maximum(starts[at] - MARGIN, first[owner[at]])
                 end = np.minimum(ends[hi[at]] + MARGIN, first[owner[at] + 1])
