@@ -8,7 +8,9 @@
    its inverse frequency over the length of its column, so that the frequent
    words of a language do not fill the whole latent space.
 3. Every window of every document is folded into the latent space and compared
-   by cosine with the benchmark items of about its length.
+   by cosine with the benchmark items of about its length: with those that it
+   would cover, and with those that it would lie inside of (a passage among
+   words of another language is found by the latter).
 4. Candidates are checked on their words: longest common subsequence, and for
    paraphrases also the item's answer part.
 
@@ -33,7 +35,7 @@ DIMS = 1 << 14  # hashed vocabulary
 RANK, SKETCH = 48, 48  # latent dimensions; columns of the random test matrix
 PASSAGE = 32  # words of a training passage
 STRIDE = 8  # words between window starts
-MARGIN = 6  # words added at both ends of a window when its words are compared; less than a stride
+MARGIN = 4  # words allowed beyond an item's own length when words are compared
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 
 
@@ -147,7 +149,7 @@ class Items:
 
     numbers: list
     words: list = field(default_factory=list)  # ids of each item's words
-    sizes: list = field(default_factory=list)  # window size in strides
+    windows: dict = field(default_factory=dict)  # strides of a window: the items sought by it
     places: np.ndarray | None = None
 
     @classmethod
@@ -155,19 +157,30 @@ class Items:
         ids, first = WordHasher(drop=PUNCTUATION)([t for _, t in rows])
         spans = [(n, ids[a:b]) for (n, _), a, b in zip(rows, first[:-1], first[1:]) if b > a]
         out = cls([n for n, _ in spans], [w for _, w in spans])
-        out.sizes = [_window(len(w)) for w in out.words]
+        for i, w in enumerate(out.words):
+            for size in _windows(len(w)):
+                out.windows.setdefault(size, []).append(i)
         if spans:
             p = np.stack([latent[_features(w)].sum(axis=0) for w in out.words])
             out.places = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
         return out
 
 
-def _window(n_words: int) -> int:
-    """Strides of the window an item is looked for in: its length, one more stride, in steps of about a third."""
+def _windows(n_words: int) -> set[int]:
+    """Strides of the windows an item is sought by.
+
+    The larger covers the item wherever it starts, in steps of about a third;
+    the smaller lies wholly inside it.
+    """
     need, size = -(-n_words // STRIDE), 1
     while size < need:
         size = max(size + 1, size * 4 // 3)
-    return size + (1 if n_words > STRIDE else 0)
+    return {size + (1 if n_words > STRIDE else 0), max(1, (n_words - STRIDE + 1) // STRIDE)}
+
+
+def _margin(n_words: int, size: int) -> int:
+    """Words around a window that can belong to the item."""
+    return max(0, n_words - size * STRIDE) + MARGIN
 
 
 def common_subsequence(masks: dict[int, int], full: int, words: list[int]) -> int:
@@ -235,7 +248,6 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
         lengths = np.array([len(w) for w in block.words])
         local, counts = _local_words(block.words)
         wanted = np.stack([np.bitwise_or.reduce(_signs(_features(w)), axis=0) for w in block.words])
-        by_size = {s: np.flatnonzero(np.array(block.sizes) == s) for s in sorted(set(block.sizes))}
         for b, lo, texts in _texts(batches, 1):
             ids, first = hasher(texts)
             if not len(ids):
@@ -248,7 +260,10 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
             np.cumsum(np.add.reduceat(place[f], starts, axis=0), axis=0, out=sums[1:])
             signs = np.bitwise_or.reduceat(_signs(f), starts, axis=0)
             ends = np.append(starts, len(ids))
-            for size, which in by_size.items():
+            for size, group in block.windows.items():
+                which = np.array(group)
+                margin = np.array([_margin(n, size) for n in lengths])
+                reach = -(-int(margin[which].max()) // STRIDE)
                 hi = np.minimum(np.arange(len(starts)) + size, last)
                 w = (sums[hi] - sums[:-1]).astype(np.float32)
                 w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
@@ -258,15 +273,15 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
                     continue
                 # bits of the item's words that no word of the region sets: so many words are missing at least
                 around = signs.copy()
-                for step in range(-1, size + 1):
+                for step in range(-reach, size + reach):
                     lo_, hi_ = max(0, -step), min(len(starts), len(starts) - step)
                     around[lo_:hi_] |= signs[lo_ + step:hi_ + step]
                 miss = np.bitwise_count(wanted[which[item]] & ~around[at]).sum(axis=1, dtype=np.int64)
                 can = miss <= lengths[which[item]] * (1 - rules.paraphrase_share)
                 at, item = at[can], item[can]
                 near, item = cosine[at, item], which[item]
-                begin = np.maximum(starts[at] - MARGIN, first[owner[at]])
-                end = np.minimum(ends[hi[at]] + MARGIN, first[owner[at] + 1])
+                begin = np.maximum(starts[at] - margin[item], first[owner[at]])
+                end = np.minimum(ends[hi[at]] + margin[item], first[owner[at] + 1])
                 need = lengths[item] * rules.paraphrase_share
                 # the words in common, as multisets, bound the common subsequence from above
                 can = _words_in_common(f, begin, end, item, local, counts) >= need
