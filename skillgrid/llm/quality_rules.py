@@ -43,11 +43,12 @@ def bucket_log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUC
     """log(p_trusted / p_corpus) per bucket, both with add-``alpha`` smoothing.
 
     ``trusted`` has the ids of the trusted documents.  The counts cover every
-    document; only ``buckets`` sums come to the driver.
+    document; only ``buckets`` sums come to the driver.  The join shuffles at
+    every size: the ids grow with the input, so they are never broadcast.
     """
     ids = trusted.select(F.col(f"`{id_col}`").alias("t_id")).where(F.col("t_id").isNotNull()).distinct()
     flagged = docs.select(F.col(f"`{id_col}`").alias("d_id"), text_of(text_col).alias("body")).join(
-        ids, F.col("d_id") == F.col("t_id"), "left")
+        ids.hint("shuffle_hash"), F.col("d_id") == F.col("t_id"), "left")
     grams = flagged.select(F.col("t_id").isNotNull().alias("good"), words_of(F.col("body")).alias("w")).select(
         "good", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
     counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"),
