@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontamination, factorisation, line_dedup, quality_rules, simhash
+from skillgrid.llm import decontamination, factorisation, line_dedup, pseudonyms, quality_rules, simhash, warc
 from skillgrid.llm.common import crc_mod, read
 
 
@@ -37,6 +37,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, ratios)
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture history of the pages, from archives written and read back.  Pages have no
+    capture time, so page n counts as captured n seconds after the start of 2024."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    second = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1704067200)
+    return warc.archive_and_index(pages, time=second).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp",
+        "range", "place")
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="corpus-release-1")
+
+
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -45,4 +61,4 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_simhash, op5_quality_rules, op10_quality_fm)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_simhash, op5_quality_rules, op8_warc_index, op9_pseudonyms, op10_quality_fm)}
