@@ -59,10 +59,10 @@ def _passages(first: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([np.arange(a, b, size) for a, b in zip(first[:-1], first[1:])] or [np.zeros(0, np.int64)])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int):
+def _texts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20):
     for b in batches:
         texts = b.column(column).to_pylist()
-        for lo, hi in small_batches(texts):
+        for lo, hi in small_batches(texts, limit):
             yield b, lo, texts[lo:hi]
 
 
@@ -108,7 +108,7 @@ def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> n
         weight = shared.value
         omega = (_test_matrix() * weight[:, None]).astype(np.float32)
         hasher, z = WordHasher(drop=PUNCTUATION), np.zeros((DIMS, SKETCH))
-        for _, _, texts in _texts(batches, 0):
+        for _, _, texts in _texts(batches, 0, 1 << 21):
             ids, first = hasher(texts)
             if not len(ids):
                 continue
@@ -256,8 +256,9 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
             f, starts = _features(ids), _passages(first, STRIDE)
             owner = np.searchsorted(first, starts, side="right") - 1
             last = np.searchsorted(starts, first[owner + 1])  # strides before the end of the text
-            sums = np.zeros((len(starts) + 1, place.shape[1]))
+            sums = np.zeros((len(starts) + 1, place.shape[1]), np.float32)
             np.cumsum(np.add.reduceat(place[f], starts, axis=0), axis=0, out=sums[1:])
+            near_end = last - np.arange(len(starts))  # strides from here to the end of the text
             signs = np.bitwise_or.reduceat(_signs(f), starts, axis=0)
             ends = np.append(starts, len(ids))
             for size, group in block.windows.items():
@@ -265,7 +266,11 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
                 margin = np.array([_margin(n, size) for n in lengths])
                 reach = -(-int(margin[which].max()) // STRIDE)
                 hi = np.minimum(np.arange(len(starts)) + size, last)
-                w = (sums[hi] - sums[:-1]).astype(np.float32)
+                w = np.empty((len(starts), sums.shape[1]), np.float32)
+                if len(starts) > size:
+                    np.subtract(sums[size:], sums[:-size], out=w[:len(starts) - size + 1])
+                short = np.flatnonzero(near_end < size)  # windows cut by the end of the text
+                w[short] = sums[hi[short]] - sums[short]
                 w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
                 cosine = w @ block.places[which].T
                 at, item = np.nonzero(cosine >= rules.min_cosine)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontamination, factorisation, line_dedup, pseudonyms, quality_rules, simhash, warc
+from skillgrid.llm import decontamination, factorisation, line_dedup, mixing, pseudonyms, quality_rules, simhash, warc
 from skillgrid.llm.common import crc_mod, read
 
 
@@ -29,6 +29,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document, for equal token weights of the sources."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, read(spark, sf_dir, "labels"), keep=["doc_id", "source"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals of every document and the likelihood-ratio verdict."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,4 +67,6 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_simhash, op5_quality_rules, op8_warc_index, op9_pseudonyms, op10_quality_fm)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op8_warc_index, op9_pseudonyms,
+    op10_quality_fm)}
