@@ -126,38 +126,50 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
     ``targets`` are domain weights (missing: 0).  Without ``budget`` (tokens of
     the whole mix), it is the smallest at which no domain has to shrink.
-    Starting from rate 1, each step is ``r_i <- max(0, r_i - sum_d p_id (E_d - T_d) / S_d)``
+    Starting from rate 1, each step is ``r_i <- max(0, r_i - h sum_d p_id (E_d - T_d) / S_d)``
     with the natural totals S: the gradient of the weighted squares in the
-    metric of the tokens, whose curvature is at most 1.
+    metric of the tokens, whose curvature is at most 1.  The step length h is
+    the spectral (Barzilai-Borwein) one, at least 1.
     """
     spark, k = members.sparkSession, len(domains)
     weight = sum(max(0.0, targets.get(d, 0.0)) for d in domains)
     if not k or weight <= 0:
         return members.withColumn("rate", F.lit(1.0)), [0.0] * k
     share = [max(0.0, targets.get(d, 0.0)) / weight for d in domains]
-    state = members.select("rk", "rows", "tokens", *[F.col("p")[i].alias(f"p{i}") for i in range(k)],
-                           F.lit(1.0).alias("rate"))
+    state = members.withColumn("rate", F.lit(1.0))
+
+    def with_rate(history: list[list[float]]) -> DataFrame:
+        """``state`` after the steps of ``history``, which is one literal, so that each step has the same plan."""
+        if not history:
+            return state
+        steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
+        rate = F.aggregate(steps, F.col("rate"), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(
+            F.zip_with("p", g, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)))
+        return state.withColumn("rate", rate)
 
     def totals(df: DataFrame) -> list[float]:
-        mass = F.col("rows") * F.col("tokens") * F.col("rate")
-        return [x or 0.0 for x in df.agg(*[F.sum(mass * F.col(f"p{i}")) for i in range(k)]).first()]
+        mass = df.select("p", (F.col("rows") * F.col("tokens") * F.col("rate")).alias("m"))
+        return [x or 0.0 for x in mass.agg(*[F.sum(F.col("m") * F.col("p")[i]) for i in range(k)]).first()]
 
     natural = totals(state)
     scale = budget if budget is not None else max((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
     goal = [scale * s for s in share]
-    now = natural
-    for step in range(1, max_steps + 1):
+    now, history, length, last = natural, [], 1.0, None
+    for _ in range(max_steps):
         error = [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(now, goal, natural)]
         if max(map(abs, error)) <= tolerance:
             break
-        slope = sum((F.col(f"p{i}") * F.lit(error[i]) for i in range(k)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
-        if step % steps_per_table == 0:
-            state = materialize(spark, state, "rates")
-        before, now = now, totals(state)
-        if max(abs(a - b) / n for a, b, n in zip(before, now, natural) if n > 0) <= tolerance / 10:
+        if last is not None:  # spectral step length, from what the last step changed
+            moved = sum(n * a * (a - b) for n, a, b in zip(natural, last, error))
+            length = min(100.0, max(1.0, length * sum(n * a * a for n, a in zip(natural, last)) / moved)) if moved > 0 else 1.0
+        if len(history) == steps_per_table:
+            state, history = materialize(spark, with_rate(history), "rates"), []
+        history.append([length * x for x in error])
+        last = error
+        before, now = now, totals(with_rate(history))
+        if max((abs(a - b) / n for a, b, n in zip(before, now, natural) if n > 0), default=0.0) <= tolerance / 10:
             break  # as near as these memberships allow
-    return state.select("rk", "rows", "tokens", "rate"), now
+    return with_rate(history).select("rk", "rows", "tokens", "rate"), now
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None,
