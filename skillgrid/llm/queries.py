@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontamination, factorisation, line_dedup, mixing, pseudonyms, quality_rules, simhash, warc
+from skillgrid.llm import decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, warc
 from skillgrid.llm.common import crc_mod, read
 
 
@@ -43,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, ratios)
 
 
+def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz and base log10 probabilities of every document."""
+    return katz.katz_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), folds=10).withColumnRenamed("id", "doc_id")
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture history of the pages, from archives written and read back.  Pages have no
     capture time, so page n counts as captured n seconds after the start of 2024."""
@@ -68,5 +73,5 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op8_warc_index, op9_pseudonyms,
-    op10_quality_fm)}
+    op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op7_katz_lm, op8_warc_index,
+    op9_pseudonyms, op10_quality_fm)}
