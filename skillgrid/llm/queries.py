@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, warc
+from skillgrid.llm import (
+    decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, suffixes, warc,
+)
 from skillgrid.llm.common import crc_mod, read
 
 
@@ -43,6 +45,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, ratios)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document covered by 400-byte strings that also start elsewhere are removed."""
+    out = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), span=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz and base log10 probabilities of every document."""
     return katz.katz_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), folds=10).withColumnRenamed("id", "doc_id")
@@ -73,5 +81,5 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op7_katz_lm, op8_warc_index,
-    op9_pseudonyms, op10_quality_fm)}
+    op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_katz_lm,
+    op8_warc_index, op9_pseudonyms, op10_quality_fm)}
