@@ -104,26 +104,19 @@ def normalize_title(c: Column | str, token_map: dict[str, str] | None = None) ->
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at(lookup, t), t)), " ")
 
 
-_CPP = "cplusplusplaceholder"
-_CSHARP = "csharpplaceholder"
-_DOTNET = "dotnetplaceholder"
+# A skill token of lower-cased text with single spaces: "c" with two pluses or
+# a hash, which may stand apart; ".net" not inside a word; else a run of
+# characters that are neither spaces nor dropped punctuation, up to such a name.
+_SKILL_NAME = r"\bc ?\+ ?\+|\bc ?#|(?<!\w)\.net\b"
+_DROPPED = "".join("\\" + ch for ch in SKILL_TOKEN_PUNCTUATION)
+SKILL_TOKEN = f"(?U)(?:{_SKILL_NAME})|(?:(?!{_SKILL_NAME})[^ {_DROPPED}])+"
 
 
 def normalize_skill_token(c: Column | str) -> Column:
-    """Like clean_text but keeps ``+ # .`` and glues ``c + +`` / ``c #``.
-
-    Word boundaries follow Unicode word characters, as in the reference.
-    """
-    x = F.lower(collapse_whitespace(c))
-    x = F.regexp_replace(x, r"(?U)\bc\s*\+\s*\+", " " + _CPP + " ")
-    x = F.regexp_replace(x, r"(?U)\bc\s*#", " " + _CSHARP + " ")
-    x = F.regexp_replace(x, r"(?U)(?<!\w)\.net\b", " " + _DOTNET + " ")
-    x = collapse_whitespace(
-        F.translate(x, SKILL_TOKEN_PUNCTUATION, " " * len(SKILL_TOKEN_PUNCTUATION))
-    )
-    x = F.regexp_replace(x, _CPP, "c++")
-    x = F.regexp_replace(x, _CSHARP, "c#")
-    return F.regexp_replace(x, _DOTNET, ".net")
+    """Skill tokens joined by single spaces; ``+ # .`` are kept, ``c + +`` and
+    ``c #`` are glued (F7).  Word boundaries follow Unicode word characters."""
+    tokens = F.regexp_extract_all(F.lower(collapse_whitespace(c)), F.lit(SKILL_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.replace(t, F.lit(" "), F.lit(""))), " ")
 
 
 def first_line(c: Column | str) -> Column:

@@ -111,13 +111,13 @@ _SKILL_PUNCT = r"""[!"$%&'()*,\-/:;<=>?@\[\\\]^_`{|}~]"""
 
 
 def _skill_token(x: str) -> str:
+    """The rule on the text as a whole: the glued names are set apart by spaces, then the dropped
+    punctuation (which none of them contains) becomes spaces."""
     s = f"lower({collapse(x)})"
-    s = f"regexp_replace({s}, {q('(^|' + _NW + r')c *\+ *\+')}, {q(r'\1 cplusplusplaceholder ')}, 'g')"
-    s = f"regexp_replace({s}, {q('(^|' + _NW + ')c *#')}, {q(r'\1 csharpplaceholder ')}, 'g')"
-    s = f"regexp_replace({s}, {q('(^|' + _NW + r')\.net(' + _NW + '|$)')}, {q(r'\1 dotnetplaceholder \2')}, 'g')"
-    s = collapse(f"regexp_replace({s}, {q(_SKILL_PUNCT)}, ' ', 'g')")
-    return (f"replace(replace(replace({s}, 'cplusplusplaceholder', 'c++'), 'csharpplaceholder', 'c#'), "
-            f"'dotnetplaceholder', '.net')")
+    for found, name in (((r'c ?\+ ?\+'), "c++"), ("c ?#", "c#")):
+        s = f"regexp_replace({s}, {q('(^|' + _NW + ')' + found)}, {q(r'\1 ' + name + ' ')}, 'g')"
+    s = f"regexp_replace({s}, {q('(^|' + _NW + r')\.net(' + _NW + '|$)')}, {q(r'\1 .net \2')}, 'g')"
+    return collapse(f"regexp_replace({s}, {q(_SKILL_PUNCT)}, ' ', 'g')")
 
 
 SKILL_TOKEN_TEXT = f"""
