@@ -42,13 +42,20 @@ def clip(c: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def round4(c: Column | str) -> Column:
-    """Half-up to 4 places, through an 8-place decimal.
+    """Half-up to 4 places, through an 12-place decimal.
 
-    The intermediate decimal absorbs binary noise (0.48125 computed as
-    0.48124999999999996 rounds to 0.4813), so the published digit depends on
-    the value, not on how an engine turns a double into decimal text.
+    For values that are doubles already; the intermediate decimal absorbs
+    binary noise (0.48125 computed as 0.48124999999999996 rounds to 0.4813).
+    Ratios of whole numbers are rounded exactly by ``ratio4`` instead.
     """
-    return F.round(_col(c).cast("decimal(24,8)"), PERSISTED_PRECISION).cast("double")
+    return F.round(_col(c).cast("decimal(24,12)"), PERSISTED_PRECISION).cast("double")
+
+
+def ratio4(num: Column | str, den: Column | str) -> Column:
+    """num / den for whole numbers >= 0 and den > 0, rounded half-up to 4 places once, in whole-number arithmetic."""
+    n, d = _col(num).cast("decimal(28,0)"), _col(den).cast("decimal(28,0)")
+    units = F.call_function("div", n * F.lit(20000).cast("decimal(6,0)") + d, d * F.lit(2).cast("decimal(1,0)"))
+    return units / F.lit(10000.0)
 
 
 def clip_round(c: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -58,12 +65,11 @@ def clip_round(c: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
 def safe_rate(num: Column | str, den: Column | str) -> Column:
     """num/den rounded to 4 places; a non-positive denominator gives 0."""
     n, d = _col(num), _col(den)
-    return F.when(d <= 0, F.lit(0.0)).otherwise(round4(n.cast("double") / d.cast("double")))
+    return F.when(d <= 0, F.lit(0.0)).otherwise(ratio4(n, d))
 
 
 def demand_weight(skill_count: Column | str, role_total: Column | str) -> Column:
-    share = _col(skill_count).cast("double") / _col(role_total).cast("double")
-    return clip_round(F.greatest(F.lit(DEMAND_WEIGHT_FLOOR), share), DEMAND_WEIGHT_FLOOR, 1.0)
+    return clip(ratio4(skill_count, role_total), DEMAND_WEIGHT_FLOOR, 1.0)
 
 
 def recency_numerator(days: Column | str, window_days: int = DEFAULT_WINDOW_DAYS) -> Column:

@@ -221,7 +221,9 @@ def adapt_foreign(df: DataFrame) -> DataFrame:
             contract.append(F.when(v.isNotNull() & v.try_cast(SALARY_TYPE).isNull(),
                                    F.lit(f"CANONICAL_VALIDATION:{field}:{MSG_NOT_DECIMAL}")))
         joined = F.concat_ws(";", *contract)
-        reason = F.coalesce(*ordered_checks, F.when(joined != F.lit(""), joined))
+        empty = [F.when(clean_text(staged[c]) == F.lit(""), F.lit(f"EMPTY_AFTER_NORMALIZATION:{c}"))
+                 for c in ("source", "title", "company")]
+        reason = F.coalesce(*ordered_checks, F.when(joined != F.lit(""), joined), *empty)
     canon = [staged.get(c, F.lit(None).cast("string")).alias(c) for c in REQUIRED_COLUMNS + OPTIONAL_COLUMNS]
     extra = [F.col("source_row_number")] if "source_row_number" in present else []
     return df.select(*extra, *canon, reason.alias("reason"))

@@ -48,7 +48,7 @@ def ledger_state(log: DataFrame, *, job: str = "job_id", ts: str = "ts", seq: st
     is_fail = F.col(action) == "failed"
     first = after.groupBy(job).agg(
         F.min(F.when(is_run, order)).alias("_r"),
-        F.min_by(F.struct(F.col(ts).alias("at"), error_text(message, ERROR_MESSAGE_MAX).alias("msg")),
+        F.min_by(F.struct(F.col(ts).alias("at"), F.col(seq).alias("seq"), error_text(message, ERROR_MESSAGE_MAX).alias("msg")),
                  F.when(is_fail, order)).alias("_f"),
         F.count(F.when(is_run, F.lit(1))).alias("running_calls"),
     )
@@ -60,15 +60,16 @@ def ledger_state(log: DataFrame, *, job: str = "job_id", ts: str = "ts", seq: st
                 F.min_by(F.struct(F.col(ts).alias("at"), F.col(rejected).alias("rej"),
                                   F.col(output_version).alias("ver"), F.col(seq).alias("seq")), order).alias("_k")))
     s = progressed.join(done, job, "left")
-    fail_first = F.col("_f").isNotNull() & (F.col("_k").isNull() | (F.col("_f.at") < F.col("_k.at")))
+    fail_first = F.col("_f").isNotNull() & (
+        F.col("_k").isNull() | (F.struct("_f.at", "_f.seq") < F.struct("_k.at", "_k.seq")))
     complete_first = F.col("_k").isNotNull() & ~fail_first
     status = (F.when(complete_first, F.when(F.col("_k.rej") > 0, F.lit("partial")).otherwise(F.lit("complete")))
               .when(fail_first, F.lit("failed"))
               .when(F.col("_r").isNotNull(), F.lit("running"))
               .otherwise(F.lit("pending")))
     finished = F.when(complete_first, F.col("_k.at")).when(fail_first, F.col("_f.at"))
-    started = F.when(F.col("_r").isNotNull() & (~fail_first | (F.col("_r")[ts] < F.col("_f.at"))),
-                     F.col("_r")[ts])
+    started = F.when(F.col("_r").isNotNull() & (
+        ~fail_first | (F.struct(F.col("_r")[ts], F.col("_r")[seq]) < F.struct("_f.at", "_f.seq"))), F.col("_r")[ts])
     return s.select(
         job,
         status.alias("status"),

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillgrid.functions.scores import EVIDENCE_THRESHOLD, clip_round, demand_weight
+from skillgrid.functions.scores import EVIDENCE_THRESHOLD, clip, demand_weight, ratio4
 
-# Depths are summed as whole micro-units (depth x 10^6, a bigint): exact,
-# order-independent and on Spark's fast long arithmetic (a wide decimal sum
-# would fall back to BigDecimal).  Depths carry at most 6 decimal places.
-DEPTH_UNITS = 1_000_000
+# Depths (at most 1) are summed as whole units of 10^-9, a bigint: independent
+# of order and on Spark's fast long arithmetic (a wide decimal sum would fall
+# back to BigDecimal).  The unit is far below the 4 places that are published.
+DEPTH_UNITS = 1_000_000_000
 
 
 def posting_skill_evidence(mapped: DataFrame, *, by: tuple[str, ...] = (),
@@ -25,7 +25,7 @@ def posting_skill_evidence(mapped: DataFrame, *, by: tuple[str, ...] = (),
                            skill: str = "skill_id", depth: str = "normalized_depth",
                            posted_at: str | None = "posted_at") -> DataFrame:
     """Collapse hits to one row per (by, role, posting, skill): exact depth sums
-    (micro-units), depth count and the posting date.  Partial aggregation runs map-side, so a
+    (in units), depth count and the posting date.  Partial aggregation runs map-side, so a
     posting with many lines for one skill is reduced before the shuffle."""
     units = F.round(F.col(depth) * F.lit(float(DEPTH_UNITS))).cast("bigint")
     aggs = [F.sum(units).alias("depth_sum"), F.count(depth).alias("depth_n")]
@@ -68,13 +68,13 @@ def requirements_from_evidence(ev: DataFrame, *, by: tuple[str, ...] = (), role_
         F.sum("depth_n").alias("depth_n"),
         F.count(F.lit(1)).alias("skill_posting_count"),
     )
-    mean_depth = F.col("depth_sum").cast("double") / (F.col("depth_n").cast("double") * F.lit(float(DEPTH_UNITS)))
+    mean_depth = ratio4("depth_sum", F.col("depth_n").cast("decimal(18,0)") * F.lit(DEPTH_UNITS).cast("decimal(10,0)"))
     return (
         pairs.join(totals.where(F.col("role_total") > 0), [*by, role], "inner")
         .where(F.col("depth_n") > 0)
         .select(
             *by, role, skill,
-            clip_round(mean_depth).alias("required_depth"),
+            clip(mean_depth).alias("required_depth"),
             F.col("skill_posting_count"),
             F.col("role_total").cast("bigint").alias("role_total"),
             demand_weight("skill_posting_count", "role_total").alias("demand_weight"),

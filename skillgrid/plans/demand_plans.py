@@ -53,7 +53,7 @@ def pairs_of(ctx: PlanContext) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"), F.sum("depth_n").alias("depth_n"))
                 .where((F.col("n") >= EVIDENCE_THRESHOLD) & (F.col("depth_n") > 0))
                 .select("role_id", "skill_id"))
-    return ctx.small("required-pairs", build)
+    return ctx.derived("required-pairs", build)
 
 
 def series_of(ctx: PlanContext) -> DataFrame:

@@ -16,7 +16,6 @@ from skillgrid.sources.tables import document_postings, table
 
 OUTBOX_NOW = dt.datetime(2024, 1, 10)
 LEDGER_CUTOFF = dt.datetime(2024, 1, 15)
-ROADMAP_ITEMS_PER_GAP = 3
 
 
 # ---------------------------------------------------------------- ledger / outbox
@@ -265,8 +264,7 @@ def name_based_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _purchases(ctx: PlanContext) -> DataFrame:
     """One row per (student, part) bought, with the part's brand (skill) and
-    quantity sums; built once per query and shared by profile, completed items
-    and the roadmap's top-k bound."""
+    quantity sums; built once per query and shared by profile and completed items."""
     def build():
         li = table(ctx.spark, ctx.sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
         o = table(ctx.spark, ctx.sf_dir, "orders", "o_orderkey", "o_custkey")
@@ -283,7 +281,8 @@ def _student_inputs(ctx: PlanContext):
     profile = bought.groupBy("student_id", "skill_id").agg(
         F.least(F.sum("qty") / (F.lit(50.0) * F.sum("lines")), F.lit(1.0)).alias("depth"))
     c = table(ctx.spark, ctx.sf_dir, "customer", "c_custkey", "c_nationkey")
-    targets = c.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("role_id"))
+    targets = c.select(F.col("c_custkey").alias("student_id"), F.explode(F.array(
+        F.col("c_nationkey"), ((F.col("c_nationkey") + 7) % 25).cast(c.schema["c_nationkey"].dataType))).alias("role_id"))
     completed = bought.select("student_id", "item_id")
     o = table(ctx.spark, ctx.sf_dir, "orders", "o_custkey", "o_orderdate")
     versions = o.groupBy(F.col("o_custkey").alias("student_id")).agg(
@@ -311,15 +310,15 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q33: top-3 gaps -> the three easiest active catalog items (parts of the
-    brand, active when p_size <= 45) the student has not bought yet (X5)."""
+    """Q33: top-3 gaps -> the active catalog items (parts of the brand, active
+    when p_size <= 45) the student has not bought yet (X5)."""
     ctx = PlanContext(spark, sf_dir)
     _, _, completed, _ = _student_inputs(ctx)
     pri = student.prioritized(_gaps(ctx))
     catalog = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").select(
         F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"),
         F.col("p_size").alias("difficulty"), (F.col("p_size") <= 45).alias("is_active"))
-    return student.roadmap(pri, catalog, completed, per_gap=ROADMAP_ITEMS_PER_GAP)
+    return student.roadmap(pri, catalog, completed)
 
 
 def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,19 @@ CLIP = "least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
 
 
 def R4(x: str) -> str:
-    """Half-up to 4 places through an 8-place decimal (same rule as the Spark side)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(24,8)), 4) AS DOUBLE)"
+    """Half-up to 4 places of a double, through a 12-place decimal."""
+    return f"CAST(round(CAST({x} AS DECIMAL(24,12)), 4) AS DOUBLE)"
+
+
+def RATIO4(num: str, den: str) -> str:
+    """num / den of whole numbers, half-up to 4 places, by whole-number division."""
+    return f"(CAST((CAST({num} AS HUGEINT) * 20000 + ({den})) // (2 * ({den})) AS DOUBLE) / 10000.0::DOUBLE)"
 
 REQUIREMENTS = f"""
 WITH {MAPPED.strip()},
 ev AS (
   SELECT role_id, job_posting_id, skill_id,
-         sum(CAST(round(normalized_depth * 1000000.0::DOUBLE) AS BIGINT)) AS depth_sum, count(normalized_depth) AS depth_n
+         sum(CAST(round(normalized_depth * 1000000000.0::DOUBLE) AS BIGINT)) AS depth_sum, count(normalized_depth) AS depth_n
   FROM m GROUP BY role_id, job_posting_id, skill_id
 ),
 tot AS (SELECT role_id, count(DISTINCT job_posting_id) AS role_total FROM ev GROUP BY role_id),
@@ -35,9 +40,9 @@ pairs AS (
   FROM ev GROUP BY role_id, skill_id
 )
 SELECT p.role_id, p.skill_id,
-       {R4(CLIP.format(x="CAST(p.depth_sum AS DOUBLE) / (CAST(p.depth_n AS DOUBLE) * 1000000.0::DOUBLE)"))} AS required_depth,
+       {CLIP.format(x=RATIO4("p.depth_sum", "CAST(p.depth_n AS HUGEINT) * 1000000000"))} AS required_depth,
        p.skill_posting_count, t.role_total,
-       {R4("least(greatest(greatest(0.1::DOUBLE, CAST(p.skill_posting_count AS DOUBLE) / CAST(t.role_total AS DOUBLE)), 0.1::DOUBLE), 1.0::DOUBLE)")} AS demand_weight
+       least(greatest({RATIO4("p.skill_posting_count", "t.role_total")}, 0.1::DOUBLE), 1.0::DOUBLE) AS demand_weight
 FROM pairs p JOIN tot t ON p.role_id = t.role_id
 WHERE t.role_total > 0 AND p.depth_n > 0
 """

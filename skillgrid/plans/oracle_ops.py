@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skillgrid.operators.ops import ERROR_MESSAGE_MAX
 from skillgrid.plans import oracle_demand, oracle_publish
-from skillgrid.plans.oracle_demand import R4
+from skillgrid.plans.oracle_demand import R4, RATIO4
 from skillgrid.plans.sqlfrag import blank, clean, document_postings_cte, key, q, reason_case, strip_ws
 from skillgrid.sources.dimensions import (
     TEST_ROLE_ALIASES, TEST_ROLES, TEST_SKILL_ALIASES, TEST_SKILLS, sql_values,
@@ -37,22 +37,23 @@ ru AS (
 ),
 nrun AS (SELECT job_id, count(*) AS running_calls FROM af WHERE action = 'running' GROUP BY job_id),
 fa AS (
-  SELECT job_id, ts AS f_ts, substr({strip_ws('message')}, 1, {ERROR_MESSAGE_MAX}) AS f_msg FROM (
+  SELECT job_id, ts AS f_ts, seq AS f_seq, substr({strip_ws('message')}, 1, {ERROR_MESSAGE_MAX}) AS f_msg FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS rn FROM af WHERE action = 'failed')
   WHERE rn = 1
 ),
 co AS (
-  SELECT job_id, k_ts, k_rej, k_ver FROM (
-    SELECT l.job_id, l.ts AS k_ts, l.rejected_rows AS k_rej, l.output_version AS k_ver,
+  SELECT job_id, k_ts, k_seq, k_rej, k_ver FROM (
+    SELECT l.job_id, l.ts AS k_ts, l.seq AS k_seq, l.rejected_rows AS k_rej, l.output_version AS k_ver,
            row_number() OVER (PARTITION BY l.job_id ORDER BY l.ts, l.seq) AS rn
     FROM log l JOIN ru ON l.job_id = ru.job_id
     WHERE l.action = 'complete' AND (l.ts > ru.r_ts OR (l.ts = ru.r_ts AND l.seq > ru.r_seq)))
   WHERE rn = 1
 ),
 s0 AS (
-  SELECT cr.job_id, cr.c_ts, ru.r_ts, fa.f_ts, fa.f_msg, co.k_ts, co.k_rej, co.k_ver,
+  SELECT cr.job_id, cr.c_ts, ru.r_ts, ru.r_seq, fa.f_ts, fa.f_seq, fa.f_msg, co.k_ts, co.k_rej, co.k_ver,
          coalesce(nrun.running_calls, 0) AS running_calls,
-         coalesce(fa.f_ts IS NOT NULL AND (co.k_ts IS NULL OR fa.f_ts < co.k_ts), FALSE) AS fail_first
+         coalesce(fa.f_ts IS NOT NULL AND (co.k_ts IS NULL OR fa.f_ts < co.k_ts
+                                           OR (fa.f_ts = co.k_ts AND fa.f_seq < co.k_seq)), FALSE) AS fail_first
   FROM cr LEFT JOIN ru ON cr.job_id = ru.job_id LEFT JOIN fa ON cr.job_id = fa.job_id
   LEFT JOIN co ON cr.job_id = co.job_id LEFT JOIN nrun ON cr.job_id = nrun.job_id
 ),
@@ -62,7 +63,7 @@ ledger AS (
          CASE WHEN co_first THEN (CASE WHEN k_rej > 0 THEN 'partial' ELSE 'complete' END)
               WHEN fail_first THEN 'failed' WHEN r_ts IS NOT NULL THEN 'running' ELSE 'pending' END AS status,
          c_ts AS created_at,
-         CASE WHEN r_ts IS NOT NULL AND (NOT fail_first OR r_ts < f_ts) THEN r_ts END AS started_at,
+         CASE WHEN r_ts IS NOT NULL AND (NOT fail_first OR r_ts < f_ts OR (r_ts = f_ts AND r_seq < f_seq)) THEN r_ts END AS started_at,
          CASE WHEN co_first THEN k_ts WHEN fail_first THEN f_ts END AS finished_at,
          CAST(CASE WHEN co_first THEN k_rej ELSE 0 END AS BIGINT) AS rejected_rows,
          CAST(CASE WHEN co_first THEN k_ver END AS INTEGER) AS output_version,
@@ -156,7 +157,7 @@ _MATCHED_HITS = _classified(
 
 
 def _rate(num: str, den: str) -> str:
-    return f"CASE WHEN {den} <= 0 THEN 0.0::DOUBLE ELSE {R4(f'CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE)')} END"
+    return f"CASE WHEN {den} <= 0 THEN 0.0::DOUBLE ELSE {RATIO4(num, den)} END"
 
 
 RUN_QUALITY_REPORT = f"""
@@ -385,9 +386,9 @@ profile AS (
 ),
 req AS (SELECT * FROM ({oracle_demand.REQUIREMENTS}) WHERE required_depth > 0),
 g0 AS (
-  SELECT c.c_custkey AS student_id, c.c_nationkey AS role_id, req.skill_id, req.required_depth, req.demand_weight,
+  SELECT c.c_custkey AS student_id, req.role_id, req.skill_id, req.required_depth, req.demand_weight,
          coalesce(pr.depth, 0.0::DOUBLE) AS have
-  FROM customer c JOIN req ON req.role_id = c.c_nationkey
+  FROM customer c JOIN req ON req.role_id = c.c_nationkey OR req.role_id = (c.c_nationkey + 7) % 25
   LEFT JOIN profile pr ON pr.student_id = c.c_custkey AND pr.skill_id = req.skill_id
 ),
 gaps AS (
@@ -430,17 +431,12 @@ WITH {_STUDENT.strip()},
 top AS (SELECT * FROM pri WHERE priority <= 3 AND gap_score > 0),
 catalog AS (SELECT p_brand AS skill_id, p_partkey AS item_id, p_size AS difficulty FROM part WHERE p_size <= 45),
 done AS (SELECT DISTINCT o_custkey AS student_id, l_partkey AS item_id FROM bought),
-cand AS (
-  SELECT t.student_id, t.role_id, t.skill_id, t.priority, t.gap_score, c.item_id, c.difficulty,
-         row_number() OVER (PARTITION BY t.student_id, t.skill_id ORDER BY c.difficulty, c.item_id) AS k
-  FROM top t JOIN catalog c ON c.skill_id = t.skill_id
-  WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.student_id = t.student_id AND d.item_id = c.item_id)
+mine AS (
+  SELECT t.student_id, t.role_id, t.skill_id, t.priority, t.gap_score, c.item_id, c.difficulty
+  FROM top t JOIN catalog c USING (skill_id)
 )
-SELECT student_id, role_id, skill_id, priority, gap_score, item_id, difficulty,
-       CAST(row_number() OVER (PARTITION BY student_id, role_id ORDER BY priority, difficulty, item_id) AS INTEGER)
-         AS step,
-       'todo' AS status
-FROM cand WHERE k <= 3
+SELECT m.*, 'todo' AS status FROM mine m LEFT JOIN done d ON d.student_id = m.student_id AND d.item_id = m.item_id
+WHERE d.item_id IS NULL
 """
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skillgrid.plans.oracle_demand import CLIP, MAPPED, R4
+from skillgrid.plans.oracle_demand import CLIP, MAPPED, R4, RATIO4
 
 _MANIFEST = """
 posts AS (
@@ -28,7 +28,7 @@ mm AS (
 ),
 ev AS (
   SELECT requirement_version, role_id, job_posting_id, skill_id,
-         sum(CAST(round(normalized_depth * 1000000.0::DOUBLE) AS BIGINT)) AS depth_sum, count(normalized_depth) AS depth_n
+         sum(CAST(round(normalized_depth * 1000000000.0::DOUBLE) AS BIGINT)) AS depth_sum, count(normalized_depth) AS depth_n
   FROM mm GROUP BY ALL
 ),
 tot AS (SELECT requirement_version, role_id, count(DISTINCT job_posting_id) AS role_total FROM ev GROUP BY ALL),
@@ -38,8 +38,8 @@ prs AS (
 ),
 rr AS (
   SELECT p.requirement_version, p.role_id, p.skill_id,
-         {R4(CLIP.format(x="CAST(p.ds AS DOUBLE) / (CAST(p.dn AS DOUBLE) * 1000000.0::DOUBLE)"))} AS required_depth,
-         {R4("least(greatest(greatest(0.1::DOUBLE, CAST(p.cnt AS DOUBLE) / CAST(t.role_total AS DOUBLE)), 0.1::DOUBLE), 1.0::DOUBLE)")} AS demand_weight,
+         {CLIP.format(x=RATIO4("p.ds", "CAST(p.dn AS HUGEINT) * 1000000000"))} AS required_depth,
+         least(greatest({RATIO4("p.cnt", "t.role_total")}, 0.1::DOUBLE), 1.0::DOUBLE) AS demand_weight,
          p.cnt
   FROM prs p JOIN tot t ON p.requirement_version = t.requirement_version AND p.role_id = t.role_id
   WHERE t.role_total > 0 AND p.dn > 0

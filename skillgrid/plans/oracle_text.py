@@ -39,7 +39,7 @@ fp AS (
          CASE WHEN event_id % 10 = 1 THEN '2024-13' WHEN event_id % 10 = 2 THEN 'bad-date'
               WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END AS posted_date,
          'job ' || event_type AS job_title,
-         CASE WHEN event_id % 9 = 4 THEN ' ' ELSE 'user ' || CAST(user_id AS VARCHAR) END AS company_name,
+         CASE WHEN event_id % 9 = 4 THEN ' ' WHEN event_id % 9 = 5 THEN '!?!' ELSE 'user ' || CAST(user_id AS VARCHAR) END AS company_name,
          'remote' AS location, props AS job_description,
          CASE WHEN event_id % 4 = 0 THEN 'full time' ELSE '' END AS work_type,
          CASE WHEN event_id % 6 = 5 THEN '12x' ELSE '1000' END AS salary_min{url}
@@ -73,7 +73,8 @@ SELECT source_row_number, posting_id AS external_id, platform AS source, strftim
        job_title AS title, company_name AS company,
        CASE WHEN NOT {blank('work_type')} THEN work_type END AS employment_type,
        CASE WHEN NOT {blank('salary_min')} THEN salary_min END AS salary_min,
-       coalesce(CASE WHEN d IS NULL THEN 'INVALID_SOURCE_DATE:posted_date' END, {_contract()}) AS reason
+       coalesce(CASE WHEN d IS NULL THEN 'INVALID_SOURCE_DATE:posted_date' END, {_contract()},
+                CASE WHEN company_name = '!?!' THEN 'EMPTY_AFTER_NORMALIZATION:company' END) AS reason
 FROM fd
 """
 
@@ -223,7 +224,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, skill_id ORDER BY signal
 WHERE rn = 1
 """
 
-UNRESOLVED_SIGNALS_TOP = f"""
+UNRESOLVED_SIGNALS = f"""
 WITH {CLASSIFIED_CTES.strip()},
 g AS (
   SELECT signal_key, count(*) AS n, min(doc_id) AS first_doc_id FROM unresolved GROUP BY signal_key
@@ -231,7 +232,11 @@ g AS (
 SELECT g.signal_key, g.n, g.first_doc_id,
        (SELECT min(u.signal_pos) FROM unresolved u WHERE u.signal_key = g.signal_key AND u.doc_id = g.first_doc_id)
          AS first_signal_pos
-FROM g ORDER BY n DESC, first_doc_id, first_signal_pos, signal_key LIMIT 20
+FROM g
+"""
+
+UNRESOLVED_SIGNALS_TOP = f"""
+{UNRESOLVED_SIGNALS.strip()} ORDER BY n DESC, first_doc_id, first_signal_pos, signal_key LIMIT 20
 """
 
 QUERIES = {
@@ -247,6 +252,7 @@ QUERIES = {
     "role_resolution": ROLE_RESOLUTION,
     "role_unmatched": ROLE_UNMATCHED,
     "skill_match_tiers": SKILL_MATCH_TIERS,
+    "unresolved_signals": UNRESOLVED_SIGNALS,
     "unresolved_signals_top": UNRESOLVED_SIGNALS_TOP,
 }
 

@@ -44,7 +44,7 @@ def manifest_of(ctx: PlanContext) -> DataFrame:
             F.trunc(F.max("posted_at"), "month").alias("period_month"))
         return publish.allocate_versions(runs.withColumnRenamed("run_dataset", "dataset_id"),
                                          order=["period_month", "status"])
-    return ctx.small("manifest", build)
+    return ctx.derived("manifest", build)
 
 
 def versioned_evidence(ctx: PlanContext) -> DataFrame:
@@ -62,7 +62,7 @@ def published_requirements_of(ctx: PlanContext) -> DataFrame:
         cum = per_run.withColumn("evidence_count", F.sum("skill_posting_count").over(w).cast("bigint"))
         return cum.where(F.col("evidence_count") >= EVIDENCE_THRESHOLD).select(
             "requirement_version", "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count")
-    return ctx.table("published-requirements", build, derived=True)
+    return ctx.derived("published-requirements", build)
 
 
 def snapshots_for(ctx: PlanContext, pairs: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def snapshots_for(ctx: PlanContext, pairs: DataFrame) -> DataFrame:
 
 def published_snapshots_of(ctx: PlanContext) -> DataFrame:
     def build():
-        pairs = ctx.small("published-pairs", lambda: published_requirements_of(ctx).select(
+        pairs = ctx.derived("published-pairs", lambda: published_requirements_of(ctx).select(
             "requirement_version", "role_id", "skill_id"))
         return snapshots_for(ctx, pairs)
-    return ctx.table("published-snapshots", build, derived=True)
+    return ctx.derived("published-snapshots", build)
 
 
 def published_signals_of(ctx: PlanContext) -> DataFrame:

@@ -125,13 +125,18 @@ def skill_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.first_hit_per_skill(hits, posting="doc_id")
 
 
-def unresolved_signals_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q10: the most frequent unresolved signals (a top-k report)."""
+def unresolved_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: every unresolved signal with its count and first place."""
     un = resolve.unresolved_signals(_classified_documents(spark, sf_dir))
     g = un.groupBy("signal_key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct("doc_id", "signal_pos"), F.struct("doc_id", "signal_pos")).alias("_f"))
-    return (g.select("signal_key", "n", F.col("_f.doc_id").alias("first_doc_id"),
-                     F.col("_f.signal_pos").alias("first_signal_pos"))
+    return g.select("signal_key", "n", F.col("_f.doc_id").alias("first_doc_id"),
+                    F.col("_f.signal_pos").alias("first_signal_pos"))
+
+
+def unresolved_signals_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent unresolved signals (a top-k report)."""
+    return (unresolved_signals(spark, sf_dir)
             .orderBy(F.col("n").desc(), "first_doc_id", "first_signal_pos", "signal_key")
             .limit(UNRESOLVED_TOP))

@@ -1,4 +1,4 @@
-"""Materialised intermediates and size-checked broadcasts.
+"""Materialised intermediates.
 
 ``materialize`` writes a frame as Parquet under the shared checkpoint folder
 (``spark.checkpoint.dir``) and reads it back: lineage is cut, the result
@@ -6,9 +6,9 @@ survives executor loss, and later readers get column pruning and predicate
 pushdown on it.  ``PlanContext`` memoises such tables for the duration of one
 query build, so a fact used by several branches is computed and shuffled once.
 
-``checked_broadcast`` broadcasts a derived side only after its row count has
-been measured on the materialised table; above the bound the ordinary shuffle
-join is kept.
+The plan is the same at every size: a shared fact is always written, a small
+derived side never is, and joins with it are left to Spark, which broadcasts
+it only if its measured size allows.
 """
 
 from __future__ import annotations
@@ -17,19 +17,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skillgrid.session import ensure_checkpoint_dir
 
-BROADCAST_MAX_ROWS = 1_000_000
-# "auto" writes a shared intermediate once the bytes its plan reads exceed a
-# threshold; below it a recomputation is cheaper than a job plus a write and a
-# read.  A fact-sized intermediate (``table``) pays off early; a small derived
-# side (``small``) only when the data behind it is large.  Override with
-# spark.conf skillgrid.materialize.fact_min_bytes / derived_min_bytes.
-FACT_MIN_BYTES = 8 * 1024 * 1024
-DERIVED_MIN_BYTES = 256 * 1024 * 1024
-
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
@@ -37,70 +27,22 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes the plan reads: the summed size estimates of its leaf scans (file
-    sizes; no job runs).  Join estimates without table statistics multiply
-    sizes, so the inputs are the steadier proxy for an intermediate's size."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        return total
-    except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
-        return 1 << 62
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint when ``df`` (already materialised) has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 class PlanContext:
-    """Per-query memo of shared intermediates.
-
-    ``skillgrid.materialize`` chooses what happens to them:
+    """Per-query memo of shared intermediates."""
 
-    * ``auto`` (default) - written once and read back when the bytes the plan
-      reads exceed ``FACT_MIN_BYTES`` (fact-sized ``table``) or
-      ``DERIVED_MIN_BYTES`` (``small``); otherwise kept lazy
-    * ``true`` - always written under ``spark.checkpoint.dir``
-    * ``false`` - always lazy (Spark recomputes per branch; AQE picks joins)
-
-    Small derived sides are broadcast only after a measured row count when
-    written; lazy ones are left to AQE's runtime size check.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.mode = (materialize or spark.conf.get("skillgrid.materialize", "auto")).lower()
-        self.fact_min = int(spark.conf.get("skillgrid.materialize.fact_min_bytes", str(FACT_MIN_BYTES)))
-        self.derived_min = int(spark.conf.get("skillgrid.materialize.derived_min_bytes", str(DERIVED_MIN_BYTES)))
         self._tables: dict[str, DataFrame] = {}
-        self._written: set[str] = set()
-
-    def _should_write(self, df: DataFrame, min_bytes: int) -> bool:
-        if self.mode == "true":
-            return True
-        if self.mode == "false":
-            return False
-        return estimated_bytes(df) >= min_bytes
 
-    def table(self, name: str, build: Callable[[], DataFrame], *, derived: bool = False) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A shared fact: written once, read by every branch."""
         if name not in self._tables:
-            df = build()
-            if self._should_write(df, self.derived_min if derived else self.fact_min):
-                df = materialize(self.spark, df, name)
-                self._written.add(name)
-            self._tables[name] = df
+            self._tables[name] = materialize(self.spark, build(), name)
         return self._tables[name]
 
-    def small(self, name: str, build: Callable[[], DataFrame], max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-        """A small derived table, broadcast when its measured size allows."""
-        key = f"{name}#b"
-        if key not in self._tables:
-            t = self.table(name, build, derived=True)
-            self._tables[key] = checked_broadcast(t, max_rows) if name in self._written else t
-        return self._tables[key]
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame derived from shared facts: kept lazy."""
+        if name not in self._tables:
+            self._tables[name] = build()
+        return self._tables[name]

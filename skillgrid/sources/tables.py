@@ -26,40 +26,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols) -> DataFrame:
-    """Read one shared table, pruned to ``cols`` when given.
-
-    An input that arrives as fewer splits than the session has cores (one
-    small file with a single row group) is spread round-robin over the cores,
-    so the joins and partial aggregates behind the scan run in parallel.  A
-    large input already has many splits and is left alone.
-    """
+    """Read one shared table, pruned to ``cols`` when given."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if cols:
-        df = df.select(*cols)
-    return spread(df)
-
-
-SPREAD_MIN_ROWS = 100_000
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin over the cores when a sizeable input arrives as too few splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    rows, size = _scan_stats(df)
-    return df.repartition(cores) if rows >= SPREAD_MIN_ROWS or size >= SPREAD_MIN_BYTES else df
-
-
-def _scan_stats(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) estimates from the file listing and Parquet footers (no job)."""
-    try:
-        st = df._jdf.queryExecution().optimizedPlan().stats()
-        rows = int(str(st.rowCount().get())) if st.rowCount().isDefined() else 0
-        return rows, int(str(st.sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no statistics: treat as large
-        return 1 << 62, 1 << 62
+    return df.select(*cols) if cols else df
 
 
 def mapped_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +120,7 @@ def foreign_postings(spark: SparkSession, sf_dir: str, *, with_url: bool = True)
         F.col("event_type").alias("platform"),
         posted.alias("posted_date"),
         F.concat(F.lit("job "), F.col("event_type")).alias("job_title"),
-        F.when(k % 9 == 4, F.lit(" ")).otherwise(
+        F.when(k % 9 == 4, F.lit(" ")).when(k % 9 == 5, F.lit("!?!")).otherwise(
             F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("company_name"),
         F.lit("remote").alias("location"),
         F.col("props").alias("job_description"),

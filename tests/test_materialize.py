@@ -1,30 +1,18 @@
-from pyspark.sql import functions as F
-
-from skillgrid.sources.materialize import PlanContext, checked_broadcast, estimated_bytes, materialize
-from skillgrid.sources.tables import mapped_fact
+from skillgrid.sources.materialize import PlanContext
+from skillgrid.sources.tables import mapped_fact, table
 from tests.conftest import SF
 
 
-def _has_broadcast_hint(df):
-    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_checked_broadcast_respects_bound(spark):
-    df = materialize(spark, spark.range(10).withColumn("v", F.col("id") * 2), "t-small")
-    assert _has_broadcast_hint(checked_broadcast(df, max_rows=100))
-    assert not _has_broadcast_hint(checked_broadcast(df, max_rows=5))
-
-
-def test_materialize_modes_give_same_rows(spark):
+def test_shared_fact_is_written_and_derived_side_is_lazy(spark):
+    ctx = PlanContext(spark, SF)
     build = lambda: mapped_fact(spark, SF).groupBy("role_id").count()
-    lazy = PlanContext(spark, SF, materialize="false").table("t", build)
-    written = PlanContext(spark, SF, materialize="true").table("t", build)
+    written, lazy = ctx.table("t", build), ctx.derived("d", build)
     assert sorted(lazy.collect()) == sorted(written.collect())
-    assert "parquet" in written._jdf.queryExecution().analyzed().toString().lower()
+    assert ctx.table("t", build) is written and ctx.derived("d", build) is lazy
+    assert "Relation" in written._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" not in written._jdf.queryExecution().analyzed().toString()
 
 
-def test_auto_mode_uses_input_size(spark):
-    ctx = PlanContext(spark, SF, materialize="auto")
-    df = mapped_fact(spark, SF)
-    assert 0 < estimated_bytes(df) < ctx.fact_min  # sf0.001 inputs stay lazy
-    assert ctx.table("fact", lambda: df) is df
+def test_table_adds_no_exchange(spark):
+    df = table(spark, SF, "lineitem", "l_orderkey")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

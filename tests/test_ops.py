@@ -115,6 +115,34 @@ def test_roadmap_skips_completed_and_reaches_deeper_ranks(spark):
          ("a", "a0", 0, False), ("b", "b1", 1, True), ("c", "c1", 1, True)],
         "skill_id string, item_id string, difficulty int, is_active boolean")
     done = spark.createDataFrame([("u", "a1"), ("u", "a3")], "student_id string, item_id string")
-    got = [(r["step"], r["item_id"]) for r in
-           student.roadmap(pri, catalog, done).orderBy("step").collect()]
-    assert got == [(1, "a2"), (2, "a4"), (3, "b1")]
+    got = [r["item_id"] for r in
+           student.roadmap(pri, catalog, done).orderBy("priority", "difficulty", "item_id").collect()]
+    assert got == ["a2", "a4", "b1"]
+
+
+def test_roadmap_of_two_roles_has_all_items_for_each(spark):
+    pri = spark.createDataFrame([("u", "r1", "a", 1, 0.4), ("u", "r2", "a", 1, 0.3)],
+                                "student_id string, role_id string, skill_id string, priority int, gap_score double")
+    catalog = spark.createDataFrame([("a", f"i{n}", n, True) for n in range(6)],
+                                    "skill_id string, item_id string, difficulty int, is_active boolean")
+    none = spark.createDataFrame([], "student_id string, item_id string")
+    got = student.roadmap(pri, catalog, none).groupBy("role_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [("r1", 6), ("r2", 6)]
+
+
+def test_ratio_is_rounded_once(spark):
+    from skillgrid.functions.scores import ratio4, safe_rate
+    df = spark.createDataFrame([(9157, 12507), (1, 8), (0, 3), (1, 3)], "n long, d long")
+    assert [r[0] for r in df.select(ratio4("n", "d")).collect()] == [0.7321, 0.125, 0.0, 0.3333]
+    assert df.select(safe_rate("n", "d")).first()[0] == 0.7321
+
+
+def test_ledger_tie_on_time_is_decided_by_sequence(spark):
+    import datetime as dt
+    t = [dt.datetime(2024, 1, 1, 0, m) for m in range(3)]
+    log = spark.createDataFrame(
+        [("j", t[0], 1, "create", 0, None, None), ("j", t[1], 2, "running", 0, None, None),
+         ("j", t[2], 3, "failed", 0, None, "boom"), ("j", t[2], 4, "complete", 0, 7, None)],
+        "job_id string, ts timestamp, seq long, action string, rejected_rows long, output_version int, message string")
+    row = ops.ledger_state(log).first()
+    assert row["status"] == "failed" and row["error_message"] == "boom"
