@@ -3,7 +3,8 @@
 Writing: pages with equal payloads are found by digest; one is stored as a
 response, the others as revisits.  A record is one text row, written with the
 WARC record end as line separator, so every part file is an archive and any
-file system that Spark reaches will do.
+file system that Spark reaches will do.  A file is gzip-compressed as a whole;
+offsets in the index count uncompressed bytes.
 
 Reading: each archive is parsed into index lines (URL key, timestamp, ...),
 sorted within the archive: a run.  Runs are cut at common split keys and
@@ -13,6 +14,7 @@ exchanged; each key range merges its pieces of all runs with a loser tree.
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -88,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, *, time: Column, id_col: str = "
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
     (rows.select(F.concat(head, F.lit(END), block).alias("value")).write.mode("overwrite")
-     .option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path))
+     .option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def url_key(url: str) -> str:
@@ -193,7 +195,9 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for archive, content in zip(b.column(0), b.column(1)):
                 name = archive.as_py().rpartition("/")[2]
-                lines = sorted(index_line(name, *r) for r in records(content.as_buffer().to_pybytes()))
+                raw = content.as_buffer().to_pybytes()
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                lines = sorted(index_line(name, *r) for r in records(raw))
                 for lo in range(0, len(lines), PIECE):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([name]), pa.array([lo], pa.int64()),
