@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ LINEAGE = "role_requirement_version_datasets"
 REQUIREMENTS = "role_skill_requirements"
 SNAPSHOTS = "sdi_snapshots"
 SIGNALS = "skill_decay_signals"
+JOB_LOG = "pipeline_job_log"
+JOB = "pipeline_job_id"
 
 
 # ---------------------------------------------------------------- versions
@@ -78,40 +81,68 @@ def lineage_rows(version: int, dataset_id: str, extra_dataset_ids: list[str] | N
 
 
 def publish_requirements(spark: SparkSession, root: str, requirements: DataFrame, *, dataset_id: str,
-                         period_month: dt.date, extra_dataset_ids: list[str] | None = None) -> int:
+                         period_month: dt.date, extra_dataset_ids: list[str] | None = None,
+                         job_id: str | None = None) -> int:
     """Publish one requirement version under ``root`` (K6).
 
-    Rows and lineage are written first, the manifest row last.  Single writer.
+    Rows and lineage are written first, the manifest row last; each goes to a
+    folder of its version with overwrite, so a version that a failed publish
+    left half-written is replaced when its number is used again.  With
+    ``job_id`` the version is visible only once that job is complete.  Single
+    writer.
     """
     if period_month != period_month.replace(day=1):
         raise ValueError("period_month must be the first day of a month")
-    manifest = read_table(spark, root, MANIFEST)
-    version, revision = (1, 1) if manifest is None else next_version(manifest, period_month)
-    (requirements.withColumn("requirement_version", F.lit(version))
-     .write.mode("append").partitionBy("requirement_version").parquet(f"{root}/{REQUIREMENTS}"))
+    version, revision = next_version(read_manifest(spark, root), period_month)
+    (requirements.drop("requirement_version").write.mode("overwrite")
+     .parquet(f"{root}/{REQUIREMENTS}/requirement_version={version}"))
     spark.createDataFrame(lineage_rows(version, dataset_id, extra_dataset_ids),
                           "requirement_version int, dataset_id string, lineage_position int") \
-        .write.mode("append").parquet(f"{root}/{LINEAGE}")
-    spark.createDataFrame([(version, dataset_id, period_month, revision)],
-                          "version int, dataset_id string, period_month date, period_revision int") \
-        .write.mode("append").parquet(f"{root}/{MANIFEST}")
+        .drop("requirement_version").write.mode("overwrite").parquet(f"{root}/{LINEAGE}/requirement_version={version}")
+    spark.createDataFrame([(dataset_id, period_month, revision, job_id)],
+                          "dataset_id string, period_month date, period_revision int, pipeline_job_id string") \
+        .write.mode("overwrite").parquet(f"{root}/{MANIFEST}/version={version}")
     return version
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    import os
-    path = f"{root}/{name}"
-    if path.startswith("/") and not os.path.exists(path):
-        return None
-    return spark.read.parquet(path)
+    """A stored table, or None if it does not exist; works on any path that Spark reads."""
+    try:
+        return spark.read.parquet(f"{root}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    m = read_table(spark, root, MANIFEST)
-    if m is None:
-        return spark.createDataFrame([], "version int, dataset_id string, period_month date, "
-                                         "period_revision int, is_current boolean")
-    return derive_current(m.drop("period_revision"))
+def of_complete_jobs(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Rows of jobs whose ledger says complete, and rows written outside of any job.
+
+    A job's rows, in whatever tables, become visible together by the one
+    ledger row that completes it; those of a failed job never do.
+    """
+    if JOB not in rows.columns:
+        return rows
+    log = read_table(spark, root, JOB_LOG)
+    outside = rows.where(F.col(JOB).isNull())
+    if log is None:
+        return outside
+    done = log.where("action = 'complete'").select(F.col("job_id").alias(JOB)).distinct()
+    return rows.join(done, JOB, "left_semi").select(*rows.columns).unionByName(outside)
+
+
+def read_visible(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    t = read_table(spark, root, name)
+    return None if t is None else of_complete_jobs(spark, root, t)
+
+
+def read_manifest(spark: SparkSession, root: str, own: tuple | None = None) -> DataFrame:
+    """Visible versions; ``own`` = (version, dataset_id, period_month) adds a run's unfinished one."""
+    m = read_visible(spark, root, MANIFEST)
+    rows = spark.createDataFrame([own] if own else [], "version int, dataset_id string, period_month date")
+    if m is not None:
+        rows = m.select("version", "dataset_id", "period_month").unionByName(rows)
+    return derive_current(rows)
 
 
 # ---------------------------------------------------------------- lineage
@@ -193,11 +224,11 @@ def register_views(spark: SparkSession, root: str) -> list[str]:
     made = ["role_requirement_versions"]
     for table_name, view in ((REQUIREMENTS, "current_monthly_role_requirements"),
                              (SNAPSHOTS, "current_monthly_sdi_snapshots")):
-        t = read_table(spark, root, table_name)
+        t = read_visible(spark, root, table_name)
         if t is not None:
             current_rows(t, manifest).createOrReplaceTempView(view)
             made.append(view)
-    sig = read_table(spark, root, SIGNALS)
+    sig = read_visible(spark, root, SIGNALS)
     if sig is not None:
         flagged = active_signals(sig, manifest)
         flagged.where("is_active").createOrReplaceTempView("active_skill_decay_signals")

@@ -5,20 +5,24 @@ CSV -> validate / adapt -> quarantine -> normalise -> dedup -> role resolution
 -> requirement version -> demand snapshots -> decay signals -> ledger, outbox,
 report.
 
-Every step is a DataFrame job that appends to a table under ``root``; the
-driver only moves scalars (counts, the new version number).  A dry run
-(``dry_run=True``) computes everything and writes nothing.
+A run is all or nothing.  Every step writes rows of its job under ``root``;
+they become visible together, by the ledger row that completes the job, and
+those of a failed run never do.  The driver only moves scalars (counts, the
+new version number).  A dry run (``dry_run=True``) computes everything, by the
+same reads and checks, and writes nothing there.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
+from skillgrid.sources.materialize import materialize
 from skillgrid.operators import dedup, demand, ingest, ops, publish, quality, requirements, resolve, trend
 
 DEFAULT_DEPTH = 0.8
@@ -39,14 +43,24 @@ _SCHEMAS = {
 }
 
 
+_LEDGER_TABLES = ("pipeline_job_log", "app_events", "datasets")
+
+
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    t = publish.read_table(spark, root, name)
+    read = publish.read_table if name in _LEDGER_TABLES else publish.read_visible
+    t = read(spark, root, name)
     return t if t is not None else spark.createDataFrame([], _SCHEMAS[name])
 
 
-def _append(df: DataFrame, root: str, name: str, dry_run: bool) -> None:
-    if not dry_run:
-        df.write.mode("append").parquet(f"{root}/{name}")
+def _append(df: DataFrame, root: str, name: str, dry_run: bool, job_id: str | None = None,
+            by: tuple[str, ...] = ()) -> None:
+    if dry_run:
+        return
+    if job_id is not None:
+        df = df.withColumn(publish.JOB, F.lit(job_id))
+        by = (*by, publish.JOB)
+    w = df.write.mode("append")
+    (w.partitionBy(*by) if by else w).parquet(f"{root}/{name}")
 
 
 def _log(spark: SparkSession, root: str, job_id: str, dataset_id: str, action: str, dry_run: bool,
@@ -71,8 +85,7 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
                   depth: float = DEFAULT_DEPTH, threshold: int = EVIDENCE_THRESHOLD, dry_run: bool = False) -> dict:
     """Run one dataset file through the whole chain; returns the run report as a dict."""
     dataset_id = hashlib.sha256(csv_path.encode()).hexdigest()
-    prior_jobs = _read(spark, root, "pipeline_job_log").where("action = 'create'").count()
-    job_id = f"job-{prior_jobs + 1:06d}"
+    job_id = f"job-{uuid.uuid4().hex}"
     files = spark.createDataFrame([(csv_path, layout)], "path string, source string")
     _append(ops.register_datasets(files), root, "datasets", dry_run)
     _log(spark, root, job_id, dataset_id, "create", dry_run)
@@ -100,14 +113,14 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
 
 def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, role_aliases, layout,
          period_month, depth, threshold, dry_run) -> dict:
-    rows = ingest.read_posting_csv(spark, csv_path).cache()
+    rows = materialize(spark, ingest.read_posting_csv(spark, csv_path), "run-rows")
     raw_cols = [c for c in rows.columns if c not in ("source_row_number", "source_file")]
     staged = ingest.adapt_foreign(rows) if layout == "foreign" else ingest.validate_postings(rows)
     valid, rejected = ingest.split_valid(staged)
     if layout == "foreign":
         rejected = rejected.select("source_row_number", "reason").join(rows, "source_row_number").select(
             "source_row_number", *raw_cols, "reason")
-    _append(ingest.quarantine_rows(rejected, job_id, raw_cols), root, "pipeline_rejected_rows", dry_run)
+    _append(ingest.quarantine_rows(rejected, job_id, raw_cols), root, "pipeline_rejected_rows", dry_run, job_id)
 
     norm = ingest.normalize_postings(ingest.to_raw_posting(valid))
     survivors = dedup.dedup_postings(norm)
@@ -116,65 +129,63 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
     with_hint = survivors.join(hints, "external_id", "left").withColumn(
         "role_hint", F.coalesce(F.when(F.col("source_role_hint") != "", F.col("source_role_hint")),
                                 F.col("normalized_role_hint")))
-    resolved = resolve.resolve_roles(with_hint, role_aliases).cache()
+    resolved = materialize(spark, resolve.resolve_roles(with_hint, role_aliases), "run-resolved")
     matched = resolved.where(F.col("role_id").isNotNull()).select(
         F.col("normalized_source").alias("source"), F.col("normalized_title").alias("title"),
         F.col("normalized_company").alias("company"), "posted_at", "role_id", "external_id", "description")
 
     keys = ["source", "title", "company", "posted_at"]
     stored = _read(spark, root, "job_postings")
-    # Frames read from a table this run appends to are checkpointed first: an
-    # append refreshes every cached plan over that path, and a recomputation
-    # would then see this run's own rows.
-    got = publish.insert_or_get(matched, stored, keys=keys).checkpoint()
+    # the run's own rows are not visible to its reads: its job is not complete yet
+    got = materialize(spark, publish.insert_or_get(matched, stored, keys=keys), "run-postings")
     if got.where("role_mismatch").limit(1).count() > 0:
         raise RuntimeError("a stored posting has a different role")
     _append(got.where("inserted").select(*keys, "role_id", "external_id", "posting_id",
-                                         F.lit(dataset_id).alias("dataset_id")), root, "job_postings", dry_run)
+                                         F.lit(dataset_id).alias("dataset_id")), root, "job_postings", dry_run, job_id)
 
     hits, _ = resolve.map_skills(got, skills, skill_aliases, posting="posting_id", text="description")
-    mapped = (hits.join(got.select("posting_id", "role_id", "posted_at"), "posting_id")
-              .select("posting_id", "role_id", "skill_id", F.lit(float(depth)).alias("normalized_depth"),
-                      "posted_at")).cache()
+    mapped = materialize(spark, hits.join(got.select("posting_id", "role_id", "posted_at"), "posting_id")
+                         .select("posting_id", "role_id", "skill_id", F.lit(float(depth)).alias("normalized_depth"),
+                                 "posted_at"), "run-skills")
     _append(publish.new_rows(mapped.drop("posted_at"), _read(spark, root, "job_posting_skills"),
-                             ["posting_id", "role_id", "skill_id"]), root, "job_posting_skills", dry_run)
+                             ["posting_id", "role_id", "skill_id"]), root, "job_posting_skills", dry_run, job_id)
 
     role_totals = got.groupBy("role_id").agg(F.countDistinct("posting_id").alias("role_total"))
     per_run = requirements.aggregate_role_requirements(mapped, role_totals=role_totals, posting="posting_id")
     current = per_run.select("role_id", "skill_id", F.col("skill_posting_count").alias("evidence_count"))
-    evidence = requirements.evidence_against_prior(current, _read(spark, root, "pipeline_skill_evidence_summary"),
-                                                   threshold=threshold).checkpoint()
-    _append(evidence.select(F.lit(dataset_id).alias("dataset_id"), F.lit(job_id).alias("pipeline_job_id"),
-                            "role_id", "skill_id", "evidence_count", "threshold_met"),
-            root, "pipeline_skill_evidence_summary", dry_run)
-    to_publish = requirements.publishable(per_run, evidence, threshold=threshold).select(
-        "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count").cache()
+    evidence = materialize(spark, requirements.evidence_against_prior(
+        current, _read(spark, root, "pipeline_skill_evidence_summary"), threshold=threshold), "run-evidence")
+    _append(evidence.select(F.lit(dataset_id).alias("dataset_id"), "role_id", "skill_id", "evidence_count",
+                            "threshold_met"), root, "pipeline_skill_evidence_summary", dry_run, job_id)
+    to_publish = materialize(spark, requirements.publishable(per_run, evidence, threshold=threshold).select(
+        "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count"), "run-requirements")
     quality.assert_rules(quality.publish_rules(to_publish, "role_skill_requirements"))
 
     month = period_month or valid_month(norm)
     if dry_run:
-        version = 1
+        version = publish.next_version(publish.read_manifest(spark, root), month)[0]
     else:
-        version = publish.publish_requirements(spark, root, to_publish, dataset_id=dataset_id, period_month=month)
+        version = publish.publish_requirements(spark, root, to_publish, dataset_id=dataset_id, period_month=month,
+                                               job_id=job_id)
 
     pairs = to_publish.select("role_id", "skill_id")
     inputs = demand.demand_inputs(mapped, pairs, posting="posting_id")
-    sdi = demand.compute_demand_index(inputs, month, posting="posting_id").select(
+    sdi = materialize(spark, demand.compute_demand_index(inputs, month, posting="posting_id").select(
         "role_id", "skill_id", "demand_index", F.lit(month).alias("snapshot_date"),
-        F.lit(version).alias("requirement_version")).checkpoint()
-    manifest = publish.read_manifest(spark, root)
-    stored_snap = _read(spark, root, "sdi_snapshots")
-    plan = publish.snapshot_publish_plan(sdi, stored_snap, manifest).checkpoint()
-    if not dry_run:
-        publish.assert_publishable(plan)
-    _append(sdi.join(plan.where("publish_status = 'new'").select("role_id", "skill_id"), ["role_id", "skill_id"],
-                     "left_semi"), root, "sdi_snapshots", dry_run)
-
-    history = trend.snapshot_history(_read(spark, root, "sdi_snapshots") if not dry_run else sdi, sdi)
+        F.lit(version).alias("requirement_version")), "run-snapshots")
+    manifest = publish.read_manifest(spark, root, own=(version, dataset_id, month))
+    stored_snap = _read(spark, root, "sdi_snapshots").select(*sdi.columns)
+    plan = materialize(spark, publish.snapshot_publish_plan(sdi, stored_snap, manifest), "run-publish-plan")
+    publish.assert_publishable(plan)
+    fresh = sdi.join(plan.where("publish_status = 'new'").select("role_id", "skill_id"), ["role_id", "skill_id"],
+                     "left_semi").select(*sdi.columns)
+    _append(fresh, root, "sdi_snapshots", dry_run, job_id, by=("requirement_version",))
+
+    history = trend.snapshot_history(stored_snap.unionByName(fresh), sdi)
     signals = trend.detect_decay(history).select(
         "role_id", "skill_id", "decay_rate", "confidence", "detected_at",
         F.lit(version).alias("requirement_version"))
-    _append(signals, root, "skill_decay_signals", dry_run)
+    _append(signals, root, "skill_decay_signals", dry_run, job_id, by=("requirement_version",))
 
     counters = (ops.stage_counter(staged, "read", F.col("reason").isNull())
                 .unionByName(ops.stage_counter(resolved, "deduplicated", F.col("role_id").isNotNull()))
@@ -187,8 +198,8 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
         pairs_meeting_threshold=evidence.where("threshold_met").count(),
         sdi_snapshots_rows_published=sdi.count(),
         skill_decay_signals_rows_published=signals.count(),
-        rejected=[(r["row_number"], r["reason"]) for r in
-                  ingest.quarantine_rows(rejected, job_id, raw_cols).orderBy("row_number").limit(20).collect()],
+        # by reason, a bounded list; the rows themselves are in the quarantine table
+        rejected={r["reason"]: r["count"] for r in rejected.groupBy("reason").count().collect()},
     )
     return report
 

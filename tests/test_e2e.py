@@ -3,6 +3,8 @@
 import csv
 import os
 
+import pytest
+
 from skillgrid.plans.run import run_ingestion
 
 HEADER = ["external_id", "source", "title", "company", "location", "posted_at", "description", "url"]
@@ -57,7 +59,7 @@ def test_two_runs(spark, scratch):
     r2 = run_ingestion(spark, mixed, root, **_dims(spark))
     assert r2["terminal_status"] == "partial" and r2["output_version"] == 2
     assert r2["rows_passing_validation"] == 10
-    assert r2["rejected"] == [(11, "EMPTY_REQUIRED_FIELD:company"), (12, "EMPTY_REQUIRED_FIELD:url")]
+    assert r2["rejected"] == {"EMPTY_REQUIRED_FIELD:company": 1, "EMPTY_REQUIRED_FIELD:url": 1}
     reqs = spark.read.parquet(f"{root}/role_skill_requirements").where("requirement_version = 2")
     assert sorted((r["skill_id"], r["evidence_count"]) for r in reqs.collect()) == [("K-PY", 10), ("K-SQL", 10)]
     from skillgrid.operators import publish
@@ -97,7 +99,7 @@ def test_foreign_layout_run(spark, scratch):
     rows.append(["js-bad", "jobs", "2026-13", "Data Analyst", "Firm X", "Cebu", "python3", "https://x", ""])
     path = _write_any(scratch, "foreign.csv", header, rows)
     r = run_ingestion(spark, path, root, layout="foreign", **_dims(spark))
-    assert r["rejected"] == [(13, "INVALID_SOURCE_DATE:posted_date")]
+    assert r["rejected"] == {"INVALID_SOURCE_DATE:posted_date": 1}
     assert r["terminal_status"] == "partial" and r["rows_passing_validation"] == 12
     reqs = spark.read.parquet(f"{root}/role_skill_requirements").collect()
     assert sorted((x["skill_id"], x["evidence_count"]) for x in reqs) == [("K-PY", 6), ("K-SQL", 6)]
@@ -123,3 +125,43 @@ def test_sql_views_over_published_tables(spark, scratch):
     got = spark.sql("SELECT skill_id, evidence_count FROM current_monthly_role_requirements ORDER BY skill_id").collect()
     assert [(r[0], r[1]) for r in got] == [("K-PY", 5), ("K-SQL", 5)]
     assert spark.sql("SELECT count(*) FROM current_monthly_sdi_snapshots").first()[0] == 2
+
+
+FAIL_AT = ["materialize", "publish_requirements", "detect_decay"]
+
+
+@pytest.mark.parametrize("step", FAIL_AT)
+def test_failed_run_leaves_nothing_visible(spark, scratch, monkeypatch, step):
+    """A run that fails at any step and is repeated gives what one clean run gives."""
+    from skillgrid.operators import ops, publish, trend
+    from skillgrid.plans import run as run_module
+    few = [r[:6] + ["python3" if i < 3 else "sql queries", r[7]] for i, r in enumerate(_rows("05"))]
+    path = _write(scratch, "few.csv", few)
+    root = "file:" + os.path.join(scratch, "warehouse")  # a root that only Spark resolves
+    home = {"materialize": run_module, "run_report": ops, "detect_decay": trend}.get(step, publish)
+    real, calls = getattr(home, step), []
+
+    def broken(*args, **kwargs):
+        calls.append(1)
+        if step != "materialize" or len(calls) == 6:  # after the evidence was written
+            if step == "publish_requirements":
+                real(*args, **kwargs)
+            raise RuntimeError("planned failure")
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as m:
+        m.setattr(home, step, broken)
+        with pytest.raises(RuntimeError, match="planned failure"):
+            run_ingestion(spark, path, root, **_dims(spark))
+    assert publish.read_manifest(spark, root).count() == 0
+    dry = run_ingestion(spark, path, root, dry_run=True, **_dims(spark))
+    live = run_ingestion(spark, path, root, **_dims(spark))
+    same = [k for k in live if k not in ("job_id", "report_id")]
+    assert {k: dry[k] for k in same} == {k: live[k] for k in same}
+    assert live["output_version"] == 1 and live["role_skill_requirements_rows_published"] == 1
+    reqs = publish.read_visible(spark, root, publish.REQUIREMENTS).collect()
+    assert [(r["skill_id"], r["evidence_count"]) for r in reqs] == [("K-SQL", 7)]
+    evidence = publish.read_visible(spark, root, "pipeline_skill_evidence_summary").collect()
+    assert sorted((r["skill_id"], r["evidence_count"]) for r in evidence) == [("K-PY", 3), ("K-SQL", 7)]
+    assert publish.read_visible(spark, root, "job_postings").count() == 10
+    assert publish.read_visible(spark, root, publish.SNAPSHOTS).count() == 1
