@@ -130,7 +130,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     Starting from rate 1, each step is ``r_i <- max(0, r_i - h sum_d p_id (E_d - T_d) / S_d)``
     with the natural totals S: the gradient of the weighted squares in the
     metric of the tokens, whose curvature is at most 1.  The step length h is
-    the spectral (Barzilai-Borwein) one, at least 1.
+    the spectral (Barzilai-Borwein) one, at least 1; a longer step that does
+    not lower the squares is taken back.
     """
     spark, k = members.sparkSession, len(domains)
     weight = sum(max(0.0, targets.get(d, 0.0)) for d in domains)
@@ -155,21 +156,32 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     natural = totals(state)
     scale = budget if budget is not None else max((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
     goal = [scale * s for s in share]
-    now, history, length, last = natural, [], 1.0, None
+    def errors(total: list[float]) -> list[float]:
+        return [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(total, goal, natural)]
+
+    def loss(error: list[float]) -> float:
+        return sum(n * x * x for n, x in zip(natural, error))
+
+    now, error, history, length = natural, errors(natural), [], 1.0
     for _ in range(max_steps):
-        error = [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(now, goal, natural)]
         if max(map(abs, error)) <= tolerance:
             break
-        if last is not None:  # spectral step length, from what the last step changed
-            moved = sum(n * a * (a - b) for n, a, b in zip(natural, last, error))
-            length = min(100.0, max(1.0, length * sum(n * a * a for n, a in zip(natural, last)) / moved)) if moved > 0 else 1.0
         if len(history) == steps_per_table:
             state, history = materialize(spark, with_rate(history), "rates"), []
         history.append([length * x for x in error])
-        last = error
-        before, now = now, totals(with_rate(history))
-        if max((abs(a - b) / n for a, b, n in zip(before, now, natural) if n > 0), default=0.0) <= tolerance / 10:
+        after = totals(with_rate(history))
+        new = errors(after)
+        gain = loss(error) - loss(new)
+        if gain < 0 and length > 1:  # too long a step: take it back and go on with a safe one
+            history.pop()
+            length = 1.0
+            continue
+        small = gain <= 1e-6 * loss(error)
+        if small and length == 1:
             break  # as near as these memberships allow
+        moved = sum(n * x * (x - y) for n, x, y in zip(natural, error, new))
+        length = 1.0 if small or moved <= 0 else min(16.0, max(1.0, length * loss(error) / moved))
+        now, error = after, new
     return with_rate(history).select("rk", "rows", "tokens", "rate"), now
 
 
