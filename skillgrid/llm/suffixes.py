@@ -33,8 +33,8 @@ from skillgrid.llm.wordhash import _INV, _MULT, _mix, _powers, small_batches
 
 SPAN = 400
 GRAM = 96
-RUN_BYTES = 24 << 20  # of the contexts in one sorted run
-RANGE_SUFFIXES = 50_000  # aimed at, for one merge
+RUN_BYTES = 8 << 20  # of the contexts in one sorted run
+RANGE_SUFFIXES = 20_000  # aimed at, for one merge
 CELLS = 1 << 22  # of the class matrix held at once
 
 
