@@ -76,7 +76,7 @@ def read_posting_csv(spark: SparkSession, path: str, *, multi_line: bool = True)
     offsets = blocks.select("_file", "_block", "_min_mid",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     return (
-        df.join(F.broadcast(offsets), ["_file", "_block"])
+        df.join(offsets, ["_file", "_block"])
         .select(*[F.col(f"`{c}`") for c in cols],
                 (F.col("_offset") + F.col("_mid") - F.col("_min_mid") + 1).alias("source_row_number"),
                 F.col("_file").alias("source_file"))

@@ -106,7 +106,7 @@ def resolve_roles(postings: DataFrame, role_aliases: DataFrame, *, hint: str = "
     """Add ``role_key`` and ``role_id`` (null when no alias matches)."""
     lookup = role_alias_lookup(role_aliases)
     return (postings.withColumn("role_key", normalize_key(hint))
-            .join(F.broadcast(lookup), "role_key", "left"))
+            .join(lookup, "role_key", "left"))
 
 
 def unmatched_examples(resolved: DataFrame, *, hint: str = "role_hint", order: str = "source_row_number",
@@ -134,6 +134,40 @@ def extract_signals(postings: DataFrame, *, posting: str, text: str) -> DataFram
             .withColumn("signal_key", normalize_key("signal_text")))
 
 
+GRAM = 4
+
+
+def contained_aliases(keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Tier-3 matches (signal_key, t3_alias, t3_skill, t3_name) of distinct signal keys.
+
+    Candidates come from equi-joins: on the first token, for a guarded alias
+    (which starts and ends at token bounds), and on up to ``GRAM`` characters
+    of the longest token for the others (which may lie inside a token); the
+    containment and the guard are then checked on them.  An alias without any
+    token character matches nothing.
+    """
+    k = F.col("signal_key")
+    tokens = keys.select("signal_key", F.explode(F.array_distinct(F.split(k, NON_TOKEN_RUN))).alias("_tok")).where("_tok <> ''")
+    places = tokens.select("signal_key", "_tok", F.explode(F.sequence(F.lit(1), F.length("_tok"))).alias("_at"))
+    grams = places.select("signal_key", F.explode(F.array(
+        *[F.substring("_tok", F.col("_at"), F.lit(n)) for n in range(1, GRAM + 1)])).alias("_piece"))
+    parts = F.filter(F.split("normalized_alias", NON_TOKEN_RUN), lambda t: t != "")
+    first = F.get(parts, F.lit(0))
+    longest = F.get(F.array_sort(F.transform(parts, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0))["t"]
+    t3 = aliases.select(
+        first.alias("_tok"), F.substring(longest, 1, GRAM).alias("_piece"),
+        F.col("normalized_alias").alias("t3_alias"), F.col("skill_id").alias("t3_skill"),
+        F.col("skill_name").alias("t3_name"), F.col("requires_boundary").alias("t3_guard"),
+        F.col("single_run").alias("t3_single"), F.col("pattern").alias("t3_pattern"))
+    whole, inside = t3.where("t3_guard").drop("_piece"), t3.where("not t3_guard").drop("_tok")
+    found = tokens.join(whole, "_tok").drop("_tok").unionByName(grams.join(inside, "_piece").drop("_piece"))
+    hit = F.contains(k, F.col("t3_alias")) & (
+        ~F.col("t3_guard")
+        | (F.col("t3_single") & F.array_contains(F.split(k, NON_TOKEN_RUN), F.col("t3_alias")))
+        | (~F.col("t3_single") & F.regexp_like(k, F.col("t3_pattern"))))
+    return found.where(hit).select("signal_key", "t3_alias", "t3_skill", "t3_name").distinct()
+
+
 def classify_signals(signals: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Tiered match of every signal.
 
@@ -141,25 +175,13 @@ def classify_signals(signals: DataFrame, names: DataFrame, aliases: DataFrame) -
     ``skill_id`` and ``match_type``.  ``match_key`` is the name or alias that
     matched (tier-3 hits are ordered by it).
     """
-    t1 = F.broadcast(names.select(F.col("name_key").alias("signal_key"),
-                                  F.col("skill_id").alias("t1_skill"), F.col("skill_name").alias("t1_name")))
-    t2 = F.broadcast(aliases.select(F.col("normalized_alias").alias("signal_key"),
-                                    F.col("skill_id").alias("t2_skill"), F.col("skill_name").alias("t2_name")))
-    staged = (signals.join(t1, "signal_key", "left").join(t2, "signal_key", "left")
-              .withColumn("_open", F.col("t1_skill").isNull() & F.col("t2_skill").isNull())
-              .withColumn("_tokens", F.when(F.col("_open"), F.split("signal_key", NON_TOKEN_RUN))))
-    t3 = F.broadcast(aliases.select(
-        F.col("normalized_alias").alias("t3_alias"), F.col("skill_id").alias("t3_skill"),
-        F.col("skill_name").alias("t3_name"), F.col("requires_boundary").alias("t3_guard"),
-        F.col("single_run").alias("t3_single"), F.col("pattern").alias("t3_pattern")))
-    # Every tier-3 match contains the alias as a substring, so that cheap test
-    # runs first; the token lookup and the regex run only on pairs that pass.
-    hit = F.col("_open") & F.contains(F.col("signal_key"), F.col("t3_alias")) & (
-        ~F.col("t3_guard")
-        | (F.col("t3_single") & F.array_contains(F.col("_tokens"), F.col("t3_alias")))
-        | (~F.col("t3_single") & F.regexp_like(F.col("signal_key"), F.col("t3_pattern")))
-    )
-    joined = staged.join(t3, hit, "left")
+    t1 = names.select(F.col("name_key").alias("signal_key"),
+                      F.col("skill_id").alias("t1_skill"), F.col("skill_name").alias("t1_name"))
+    t2 = aliases.select(F.col("normalized_alias").alias("signal_key"),
+                        F.col("skill_id").alias("t2_skill"), F.col("skill_name").alias("t2_name"))
+    staged = signals.join(t1, "signal_key", "left").join(t2, "signal_key", "left")
+    still_open = staged.where(F.col("t1_skill").isNull() & F.col("t2_skill").isNull()).select("signal_key").distinct()
+    joined = staged.join(contained_aliases(still_open, aliases), "signal_key", "left")
     keep = [c for c in signals.columns]
     return joined.select(
         *keep,

@@ -203,7 +203,7 @@ def dimension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.allowed_values_rule(
             table(spark, sf_dir, "part", (F.col("p_size") % 5 * F.lit(0.25)).alias("weight")),
             "weight", quality.ALLOWED_COURSE_WEIGHTS, "course_skills", "course_weight_allowed"),
-        hints.join(F.broadcast(ra.select("normalized_alias")),
+        hints.join(ra.select("normalized_alias"),
                    resolve.normalize_key("alias") == F.col("normalized_alias"), "left_anti")
         .agg(F.countDistinct("alias").cast("bigint").alias("violations")).select(
             F.lit("hint_without_alias").alias("rule_name"), F.lit("part").alias("table_name"), "violations"),
@@ -245,7 +245,7 @@ def alias_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state; candidates in the alias table carry its reviewed flag (P15)."""
     cand = table(spark, sf_dir, "part", resolve.normalize_key("p_name").alias("normalized_alias")).distinct()
     ra = D.role_aliases_df(spark).select("normalized_alias", "role_id", "reviewed")
-    j = cand.join(F.broadcast(ra), "normalized_alias", "left")
+    j = cand.join(ra, "normalized_alias", "left")
     state = quality.review_state("reviewed", "role_id")
     action = F.when(state == "approved", F.lit("approve")).when(state == "dismissed", F.lit("dismiss"))
     return j.select("normalized_alias", "role_id", F.coalesce("reviewed", F.lit(False)).alias("reviewed"),

@@ -90,3 +90,27 @@ def test_role_hint_candidates(spark):
                                  "source_row_number int, external_id string, role_normalized string, role string, title string")
     got = {r["external_id"]: r["source_role_hint"] for r in resolve.role_hints(rows).collect()}
     assert got == {"e1": "Chef", "e2": "T3"}
+
+
+def test_contained_alias_candidates_are_complete(spark):
+    """The equi-joins find what a check of every pair finds."""
+    import itertools
+    import random
+    rng = random.Random(6)
+    parts = ["x", "go", "c++", "java", "script", "-", " ", ".", "node.js", "é", "react", "ab"]
+    make = lambda n: "".join(rng.choice(parts) for _ in range(rng.randrange(1, n))).strip()
+    names = sorted({a for a in (" ".join(make(4).split()) for _ in range(60)) if a})
+    skills = spark.createDataFrame([(f"k{i}", f"skill {i}", True) for i in range(len(names))],
+                                   "skill_id string, name string, is_active boolean")
+    aliases = spark.createDataFrame([(a, f"k{i}", a) for i, a in enumerate(names)],
+                                    "alias string, skill_id string, normalized_alias string")
+    lookup = resolve.skill_alias_lookup(aliases, skills)
+    keys = spark.createDataFrame([(k,) for k in sorted({" ".join(make(8).split()) for _ in range(200)})], "signal_key string")
+    got = {(r.signal_key, r.t3_alias) for r in resolve.contained_aliases(keys, lookup).collect()}
+    want = set()
+    import re
+    for k, a in itertools.product([r[0] for r in keys.collect()], lookup.collect()):
+        if a.normalized_alias in k and re.search(f"[{resolve.TOKEN_CHARS}]", a.normalized_alias) and (
+                not a.requires_boundary or re.search(a.pattern, k)):
+            want.add((k, a.normalized_alias))
+    assert got == want and len(want) > 50
