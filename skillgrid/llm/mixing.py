@@ -16,10 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.common import WORD, ascii_lower, materialize, row_key, text_of
+from skillgrid.llm.common import WORD, materialize, row_key, text_of
 
 LETTERS = "acdehinorstu"  # the most frequent of the languages written in Latin letters; each costs a pass over the text
-KINDS = len(LETTERS) + 4  # letters, upper-case letters, digits, bytes beyond ASCII, other characters
+KINDS = len(LETTERS) + 4  # these lower-case letters, upper-case letters, digits, bytes beyond ASCII, other characters
 META_BUCKETS = 512
 MAX_TRAIN = 20_000
 MAX_DOMAINS = 256
@@ -35,14 +35,13 @@ def _with_counts(docs: DataFrame, meta: list[Column], text_col: str, **keep: Col
         return F.char_length(col) - F.char_length(F.replace(F.col(col), F.lit(char), F.lit("")))
 
     fields = F.array(*[F.pmod(F.xxhash64(F.lit(i), m), F.lit(META_BUCKETS)).cast("int") for i, m in enumerate(meta)])
-    s0 = docs.select(*[c.alias(k) for k, c in keep.items()], fields.alias("fields"), text.alias("body"),
-                     ascii_lower(text).alias("low"))
+    s0 = docs.select(*[c.alias(k) for k, c in keep.items()], fields.alias("fields"), text.alias("body"))
     s1 = s0.select(*keep, "fields", F.regexp_count("body", F.lit(WORD)).cast("long").alias("tokens"), n.alias("n"),
                    (n - F.char_length(F.regexp_replace("body", "[A-Z]+", ""))).alias("upper"),
                    (n - F.char_length(F.regexp_replace("body", "[0-9]+", ""))).alias("digits"),
                    (F.octet_length("body") - n).alias("beyond"),
-                   F.array(*[times("low", c) for c in LETTERS]).alias("letters"))
-    other = F.greatest(F.col("n") - F.col("digits") - F.col("beyond") - F.aggregate(
+                   F.array(*[times("body", c) for c in LETTERS]).alias("letters"))
+    other = F.greatest(F.col("n") - F.col("upper") - F.col("digits") - F.col("beyond") - F.aggregate(
         "letters", F.lit(0), lambda a, x: a + x), F.lit(0))
     return s1.select(*keep, "fields", "tokens", F.concat(
         "letters", F.array("upper", "digits", "beyond", other)).alias("chars"))
