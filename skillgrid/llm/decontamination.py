@@ -102,7 +102,7 @@ def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> n
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(idf)  # DIMS numbers
-    parts = 64
+    cols = [f"z{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
@@ -120,18 +120,16 @@ def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> n
             at = np.flatnonzero(np.diff(sorted_f, prepend=-1))
             z[sorted_f[at]] += np.add.reduceat(y[which[order]], at, axis=0)
         z *= weight[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)),
-                                          pa.array([p.tobytes() for p in np.split(z, parts)], pa.binary())], ["part", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)),
+                                          *(pa.array(np.ascontiguousarray(c)) for c in z.T)], ["f", *cols])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_buffer()) for v in table.column("z"))
-        return pa.table({"part": table.column("part")[:1], "z": pa.array([total.tobytes()], pa.binary())})
-
-    rows = (docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "part int, z binary")
-            .groupBy("part").applyInArrow(add, "part int, z binary").orderBy("part").collect())  # 64 rows of fixed size
-    if not rows:
+    # tasks' matrices are added row by row, so no reducer holds more than its running sums
+    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "f int, " + ", ".join(f"{c} double" for c in cols))
+    table = rows.groupBy("f").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()  # DIMS rows
+    if not table.num_rows:
         return np.zeros((DIMS, RANK), np.float32)
-    z = np.concatenate([np.frombuffer(r.z).reshape(-1, SKETCH) for r in rows])
+    z = np.zeros((DIMS, SKETCH))
+    z[table.column("f").to_numpy()] = np.stack([table.column(c).to_numpy() for c in cols], axis=1)
     core = _test_matrix().astype(np.float64).T @ z  # Omega^T (A^T A) Omega
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(), 0) * 1e-10
