@@ -1,5 +1,6 @@
-"""Streaming query plans (Q31): the events table lands as four files and is
-processed one file per micro-batch; the result tables are read back."""
+"""Streaming query plans (Q31): the input lands as files of bounded row count, in
+its own partitioning, and is processed one file per micro-batch; the result
+tables are read back."""
 
 from __future__ import annotations
 
@@ -10,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from skillgrid.sources.tables import document_postings, table
 from skillgrid.streaming import evidence as S
 
-N_FILES = 4
+ROWS_PER_FILE = 2000
 
 
 def _landed_events(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     events = table(spark, sf_dir, "events")
-    folder = S.stage_files(events, S.scratch_folder(spark, "landing-events"), N_FILES, "ts")
+    folder = S.stage_files(events, S.scratch_folder(spark, "landing-events"), ROWS_PER_FILE)
     return folder, events.schema
 
 
 def evidence_threshold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q31: running evidence per (user, event type) over four micro-batches."""
+    """Q31: running evidence per (user, event type) over micro-batches."""
     folder, schema = _landed_events(spark, sf_dir)
     out = S.scratch_folder(spark, "evidence-out")
     stream = S.running_evidence(S.file_stream(spark, folder, schema), ["user_id", "event_type"])
@@ -41,7 +42,7 @@ def outbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document postings ingested as a stream; quarantined rows read back."""
     rows = document_postings(spark, sf_dir)
-    folder = S.stage_files(rows, S.scratch_folder(spark, "landing-docs"), N_FILES, "source_row_number")
+    folder = S.stage_files(rows, S.scratch_folder(spark, "landing-docs"), ROWS_PER_FILE)
     quarantine, valid = S.scratch_folder(spark, "quarantine"), S.scratch_folder(spark, "valid")
     S.ingest_stream(S.file_stream(spark, folder, rows.schema), quarantine, valid,
                     S.scratch_folder(spark, "ingest-ckpt"))

@@ -31,9 +31,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_files(df: DataFrame, folder: str, n_files: int, order_col: str) -> str:
-    """Write ``df`` as ``n_files`` range-partitioned Parquet files (a landing folder)."""
-    df.repartitionByRange(n_files, order_col).write.mode("overwrite").parquet(folder)
+def stage_files(df: DataFrame, folder: str, rows_per_file: int) -> str:
+    """Write ``df`` as Parquet files of at most ``rows_per_file`` rows (a landing
+    folder); the number of files follows the input, and nothing is shuffled."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(folder)
     return folder
 
 
