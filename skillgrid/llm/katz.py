@@ -6,7 +6,7 @@ normalised exactly, so that its probabilities add up to 1:
     P(w | h) = d(c) c(h, w) / c(h)        if the pair was seen in training
              = a(h) P(w)                  otherwise, with P(w) from the words
 
-Texts are cut once into blocks of two million tokens, kept as word numbers in
+Texts are cut once into blocks of about a million tokens, kept as word numbers in
 a table that is bucketed by block.  Each block asks for the counts of its
 distinct words and pairs only; requests go to hash partitions, which add up the
 training counts of all blocks and answer each block in its own order.  So the
@@ -33,7 +33,7 @@ from skillgrid.llm.common import crc_mod, materialize
 from skillgrid.llm.wordhash import WordHasher, small_batches
 from skillgrid.session import ensure_checkpoint_dir
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 BUCKETS = 64  # of the block table
 DISCOUNTED = 5  # counts up to this are discounted
 END, START = np.uint64(1), np.uint64(2)  # ids of the end of a text, and of the context before its first word
