@@ -29,7 +29,7 @@ def test_outbox_stream_equals_batch(spark):
 
 def test_stream_runs_several_batches_and_is_idempotent_per_batch(spark):
     events = table(spark, SF, "events")
-    folder = S.stage_files(events, S.scratch_folder(spark, "t-landing"), 700)
+    folder = S.stage_files(events, S.scratch_folder(spark, "t-landing"), 300)
     out, ckpt = S.scratch_folder(spark, "t-out"), S.scratch_folder(spark, "t-ckpt")
     stream = S.running_evidence(S.file_stream(spark, folder, events.schema), ["event_type"])
     batches = S.run_available_now(stream, out, ckpt)
@@ -49,7 +49,7 @@ def test_due_events_filter(spark):
 def test_dedup_within_watermark(spark):
     events = table(spark, SF, "events")
     doubled = events.unionByName(events)
-    folder = S.stage_files(doubled, S.scratch_folder(spark, "t-dup"), 700)
+    folder = S.stage_files(doubled, S.scratch_folder(spark, "t-dup"), 300)
     out, ckpt = S.scratch_folder(spark, "t-dup-out"), S.scratch_folder(spark, "t-dup-ckpt")
     stream = S.dedup_within_watermark(S.file_stream(spark, folder, doubled.schema), ["event_id"], "ts", "30 days")
     S.run_available_now(stream.select("event_id"), out, ckpt, "append")
