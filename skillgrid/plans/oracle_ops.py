@@ -388,7 +388,7 @@ req AS (SELECT * FROM ({oracle_demand.REQUIREMENTS}) WHERE required_depth > 0),
 g0 AS (
   SELECT c.c_custkey AS student_id, req.role_id, req.skill_id, req.required_depth, req.demand_weight,
          coalesce(pr.depth, 0.0::DOUBLE) AS have
-  FROM customer c JOIN req ON req.role_id = c.c_nationkey OR req.role_id = (c.c_nationkey + 7) % 25
+  FROM customer c JOIN req ON req.role_id = c.c_nationkey OR (c.c_custkey % 8 = 0 AND req.role_id = (c.c_nationkey + 7) % 25)
   LEFT JOIN profile pr ON pr.student_id = c.c_custkey AND pr.skill_id = req.skill_id
 ),
 gaps AS (
