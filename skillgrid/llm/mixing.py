@@ -1,7 +1,9 @@
 """Mixing a corpus to target domain weights, in DataFrame functions only.
 
 A classifier, fitted on the documents of the label table, gives each document
-a soft membership in the domains.  Document rates r >= 0 are then fitted by
+a soft membership in the domains, from the hashed words of its whole text and
+its metadata; the stated domain is what it is taught, never what it is shown.
+Document rates r >= 0 are then fitted by
 projected gradient steps so that the expected domain totals
 ``E_d = sum_i r_i tokens_i p_id`` meet the targets ``T_d`` in least squares,
 each domain's error taken relative to its size.  A step needs the totals only:
@@ -12,44 +14,43 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm.common import WORD, materialize, row_key, text_of
 
-LETTERS = "acdehinorstu"  # the most frequent of the languages written in Latin letters; each costs a pass over the text
-KINDS = len(LETTERS) + 4  # these lower-case letters, upper-case letters, digits, bytes beyond ASCII, other characters
-META_BUCKETS = 512
+BUCKETS = 8192  # hashed words and metadata values
 MAX_TRAIN = 20_000
 MAX_DOMAINS = 256
-TEXT_WEIGHT = 16  # characters' worth of evidence that a text gives, whatever its length
+HELD_OUT = 5  # every so many training documents only tell the weight of the words
+WEIGHTS = (*(2.0 ** -i for i in range(13)), 0.0)  # tried for the words; 1 is plain naive Bayes
 
 
-def _with_counts(docs: DataFrame, meta: list[Column], text_col: str, **keep: Column) -> DataFrame:
-    """``keep`` with ``tokens``, ``chars`` (counts of the kinds of characters) and ``fields`` (metadata buckets)."""
-    text = text_of(text_col)
-    n = F.char_length("body")
+def _with_features(docs: DataFrame, text_col: str, meta_cols: tuple[str, ...], **keep: Column) -> DataFrame:
+    """``keep`` with ``tokens`` and ``f``, the bucket of each word of the text and of each metadata value.
+
+    A missing value is a value of its own.
+    """
+    meta = [F.pmod(F.xxhash64(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit(BUCKETS))
+            for c in meta_cols if c in docs.columns]
+    fields = F.array(*meta).cast("array<int>")
+    s0 = docs.select(*[c.alias(k) for k, c in keep.items()], fields.alias("fields"),
+                     F.regexp_extract_all(text_of(text_col), F.lit(f"({WORD})"), 1).alias("w"))
+    words = F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return s0.select(*keep, F.size("w").cast("long").alias("tokens"), F.concat(words, "fields").alias("f"))
 
-    def times(col: str, char: str) -> Column:
-        return F.char_length(col) - F.char_length(F.replace(F.col(col), F.lit(char), F.lit("")))
 
-    fields = F.array(*[F.pmod(F.xxhash64(F.lit(i), m), F.lit(META_BUCKETS)).cast("int") for i, m in enumerate(meta)])
-    s0 = docs.select(*[c.alias(k) for k, c in keep.items()], fields.alias("fields"), text.alias("body"))
-    s1 = s0.select(*keep, "fields", F.regexp_count("body", F.lit(WORD)).cast("long").alias("tokens"), n.alias("n"),
-                   (n - F.char_length(F.regexp_replace("body", "[A-Z]+", ""))).alias("upper"),
-                   (n - F.char_length(F.regexp_replace("body", "[0-9]+", ""))).alias("digits"),
-                   (F.octet_length("body") - n).alias("beyond"),
-                   F.array(*[times("body", c) for c in LETTERS]).alias("letters"))
-    other = F.greatest(F.col("n") - F.col("upper") - F.col("digits") - F.col("beyond") - F.aggregate(
-        "letters", F.lit(0), lambda a, x: a + x), F.lit(0))
-    return s1.select(*keep, "fields", "tokens", F.concat(
-        "letters", F.array("upper", "digits", "beyond", other)).alias("chars"))
+def _logits(model: list[list[float]]) -> Column:
+    """Per domain the prior plus the weights of the features ``f``."""
+    # (domains x features) numbers as one literal
+    table = F.from_json(F.lit(json.dumps([[round(x, 6) for x in m] for m in model])), "array<array<double>>")
 
+    def sums(f: Column) -> Column:
+        return F.transform(table, lambda m: F.aggregate(f, F.get(m, F.lit(0)), lambda a, i: a + F.get(m, i + 1)))
 
-def _meta(docs: DataFrame, domain_col: str, meta_cols: tuple[str, ...]) -> list[Column]:
-    """The stated domain and other metadata; a missing value is a value of its own."""
-    return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (domain_col, *meta_cols) if c in docs.columns]
+    return F.transform(F.array("f"), sums)[0]  # bound once, else the words are hashed again for each domain
 
 
 def domains_of(docs: DataFrame, domain_col: str = "source") -> list[str]:
@@ -61,35 +62,81 @@ def domains_of(docs: DataFrame, domain_col: str = "source") -> list[str]:
     return sorted(found)
 
 
+def _model(docs_in: dict, counts: dict, domains: list[str], alpha: float, weight: float = 1.0) -> list[list[float]]:
+    """Per domain the log prior, then ``weight`` times the log ratio of each bucket to all domains together.
+
+    A domain's multinomial is smoothed towards that of all, so what it has not been seen with says little.
+    """
+    n, mass = sum(docs_in.get(d, 0) for d in domains) + alpha * len(domains), alpha * BUCKETS
+    every = [alpha] * BUCKETS
+    for d in domains:
+        for i, c in counts.get(d, {}).items():
+            every[i] += c
+    total = sum(every)
+    out = []
+    for d in domains:
+        mine = counts.get(d, {})
+        size = sum(mine.values()) + mass
+        out.append([math.log((docs_in.get(d, 0) + alpha) / n)] + [
+            weight * (math.log((mine.get(i, 0) + mass * x / total) / size) - math.log(x / total))
+            for i, x in enumerate(every)])
+    return out
+
+
+def _word_weight(held: list[tuple[int, list[float]]], priors: list[float]) -> float:
+    """That of ``WEIGHTS`` under which the held-out documents (domain, logits) are likeliest; without any, the first."""
+    def fit(weight: float) -> float:
+        total = 0.0
+        for d, z in held:
+            x = [p + weight * (v - p) for p, v in zip(priors, z)]
+            top = max(x)
+            total += x[d] - top - math.log(sum(math.exp(v - top) for v in x))
+        return total
+
+    return max(WEIGHTS, key=fit)
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], *, max_train: int = MAX_TRAIN, alpha: float = 0.5,
                 id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source",
                 meta_cols: tuple[str, ...] = ("lang",)) -> list[list[float]]:
-    """Naive Bayes model: per domain the log prior, then log-likelihoods of character kinds and metadata buckets.
+    """Naive Bayes model: per domain the log prior, then a weight for each bucket of words and metadata.
 
     Learned from the documents of the label table with a stated domain, at
     most ``max_train`` of them (a documented bound; the ids of smallest hash).
-    One row for each domain comes to the driver.
+    Words of one text are not independent, so their sum is tempered by one
+    factor, the one that makes documents held out of the counts likeliest: 0
+    if the words do not tell the domains apart.  The counts (domains x buckets)
+    and the logits of the held-out documents come to the driver.
     """
+    spark = docs.sparkSession
     ids = (labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id")).distinct()
            .orderBy(F.xxhash64("t_id"), "t_id").limit(max_train))
-    meta = _meta(docs, domain_col, meta_cols)
     mine = docs.join(F.broadcast(ids), docs[id_col] == F.col("t_id"), "left_semi").where(
         F.col(f"`{domain_col}`").cast("string").isin(domains))
-    rows = _with_counts(mine, meta, text_col, domain=F.col(f"`{domain_col}`").cast("string"))
-    seen = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[
-        F.sum(F.col("chars")[i].cast("long")).alias(f"c{i}") for i in range(KINDS)]).collect()
-    held = rows.select("domain", F.explode("fields").alias("f")).groupBy("domain", "f").count().collect()
-    docs_in = {r["domain"]: r["n"] for r in seen}
-    chars = {r["domain"]: [r[f"c{i}"] for i in range(KINDS)] for r in seen}
-    fields = {(r["domain"], r["f"]): r["count"] for r in held}
-    n = sum(docs_in.values()) + alpha * len(domains)
-    out = []
-    for d in domains:
-        c, m = chars.get(d, [0] * KINDS), [fields.get((d, f), 0) for f in range(META_BUCKETS)]
-        out.append([math.log((docs_in.get(d, 0) + alpha) / n)]
-                   + [math.log((x + alpha) / (sum(c) + alpha * KINDS)) for x in c]
-                   + [math.log((x + alpha) / (sum(m) + alpha * META_BUCKETS)) for x in m])
-    return out
+    # equal texts are on one side, else the held-out ones would be known
+    side = F.pmod(F.xxhash64(F.lit("side"), text_of(text_col)), F.lit(HELD_OUT)) == 0
+    shown = tuple(c for c in meta_cols if c != domain_col)
+    rows = materialize(spark, _with_features(mine, text_col, shown, domain=F.col(f"`{domain_col}`").cast("string"),
+                                             held=side), "domain_features")
+    docs_in: dict = {}
+    counts: dict = {}
+    for r in rows.groupBy("held", "domain").count().collect():
+        docs_in.setdefault(r["held"], {})[r["domain"]] = r["count"]
+    table = rows.select("held", "domain", F.explode("f").alias("f")).groupBy("held", "domain", "f").agg(
+        F.count(F.lit(1)).alias("n")).toArrow()
+    for held, domain, f, times in zip(*(table.column(c).to_pylist() for c in ("held", "domain", "f", "n"))):
+        counts.setdefault(held, {}).setdefault(domain, {})[f] = times
+    seen = _model(docs_in.get(False, {}), counts.get(False, {}), domains, alpha)
+    place = {d: i for i, d in enumerate(domains)}
+    held = [(place[r["domain"]], r["z"]) for r in rows.where("held").select(
+        "domain", _logits(seen).alias("z")).collect()] if domains else []
+    weight = _word_weight(held, [m[0] for m in seen])
+
+    def both(part: dict, d: str) -> Counter:
+        return Counter(part.get(False, {}).get(d, {})) + Counter(part.get(True, {}).get(d, {}))
+
+    return _model({d: sum(docs_in.get(h, {}).get(d, 0) for h in (False, True)) for d in domains},
+                  {d: both(counts, d) for d in domains}, domains, alpha, weight)
 
 
 def memberships(docs: DataFrame, model: list[list[float]], *, id_col: str = "doc_id", text_col: str = "text",
@@ -97,21 +144,10 @@ def memberships(docs: DataFrame, model: list[list[float]], *, id_col: str = "doc
     """(rk, rows, tokens, p): membership of each distinct document row, ``p`` an array in domain order.
 
     ``rows`` is how often the row occurs, ``tokens`` the words of one copy.
-    The text speaks with the weight of ``TEXT_WEIGHT`` characters, so that long
-    texts stay soft members too.
+    Every word of the text counts; the stated domain in ``domain_col`` does not.
     """
-    rows = _with_counts(docs, _meta(docs, domain_col, meta_cols), text_col, rk=row_key(id_col, text_col))
-    # (domains x features) numbers as one literal
-    table = F.from_json(F.lit(json.dumps(model)), "array<array<double>>")
-    weight = F.lit(float(TEXT_WEIGHT)) / F.greatest(F.aggregate("chars", F.lit(0), lambda a, x: a + x), F.lit(1))
-
-    def logit(m: Column) -> Column:
-        text = F.aggregate(F.zip_with("chars", F.slice(m, 2, KINDS), lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
-        meta = F.aggregate("fields", F.lit(0.0), lambda a, f: a + F.get(m, f + 1 + KINDS))
-        return F.get(m, F.lit(0)) + F.col("weight") * text + meta
-
-    z = rows.select("rk", "tokens", "chars", "fields", weight.alias("weight")).select(
-        "rk", "tokens", F.transform(table, logit).alias("z"))
+    rows = _with_features(docs, text_col, tuple(c for c in meta_cols if c != domain_col), rk=row_key(id_col, text_col))
+    z = rows.select("rk", "tokens", _logits(model).alias("z"))
     e = z.select("rk", "tokens", "z", F.array_max("z").alias("top")).select(
         "rk", "tokens", F.transform("z", lambda x: F.exp(x - F.col("top"))).alias("e"))
     norm = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
@@ -203,7 +239,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None
     names = dict(id_col=id_col, text_col=text_col, domain_col=domain_col)
     model = fit_domains(docs, labels, domains, **names)
     if not domains:
-        model = [[0.0] * (1 + KINDS + META_BUCKETS)]
+        model = [[0.0] * (1 + BUCKETS)]
     members = materialize(spark, memberships(docs, model, **names), "memberships")
     rates, _ = fit_rates(members, domains, targets or {d: 1.0 for d in domains}, budget=budget)
     u = F.pmod(F.xxhash64("rk"), F.lit(1 << 20)) / float(1 << 20)

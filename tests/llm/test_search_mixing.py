@@ -124,3 +124,29 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
     alone = docs.withColumn("source", docs.source.substr(9, 9)).selectExpr("doc_id", "text", "cast(null as string) source", "lang")
     assert {r.rate for r in mixing.mix(alone, labels).collect()} == {1.0}
+
+
+def test_memberships_follow_the_words_not_the_stated_source(spark):
+    rng = random.Random(4)
+    words = {d: [f"{d}{i}" for i in range(60)] for d in "ab"}
+    common = [f"c{i}" for i in range(60)]
+    text = lambda d: " ".join(rng.choice(words[d] if rng.random() < 0.3 else common) for _ in range(80))
+    # the words that tell come after any number of others
+    rows = [(i, " ".join(rng.choices(common, k=200)) + " " + text("ab"[i % 2]), "ab"[i % 2], "en") for i in range(200)]
+    rows += [(300 + i, text("ab"[i % 2]), "ba"[i % 2], "en") for i in range(20)]  # stated source contradicts the words
+    rows += [(400 + i, text("ab"[i % 2]), None, "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    model = mixing.fit_domains(docs, labels, ["a", "b"])
+    p = {bytes(r.rk): r.p for r in mixing.memberships(docs, model).collect()}
+    keys = docs.select("doc_id", mixing.row_key("doc_id", "text").alias("rk")).collect()
+    for r in keys:
+        assert p[bytes(r.rk)][r.doc_id % 2] > 0.9
+
+
+def test_words_that_tell_nothing_move_no_membership(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(150)), "ab"[rng.randrange(2)], "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = mixing.fit_domains(docs, docs.select("doc_id"), ["a", "b"])
+    assert all(0.3 < x < 0.7 for r in mixing.memberships(docs, model).collect() for x in r.p)
