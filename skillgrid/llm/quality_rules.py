@@ -4,7 +4,10 @@ Words and word pairs are hashed into a fixed number of buckets.  Two
 multinomials are counted over them, one on the trusted documents and one on
 the whole corpus.  A document's score is the sum over its n-grams of
 ``log p_trusted - log p_corpus``, divided by the number of n-grams; it is kept
-if the score reaches a fixed threshold (no random draw).
+if the score reaches the threshold of its group (no random draw).  The trusted
+multinomial is smoothed towards that of the corpus, so an n-gram too rare to be
+expected among the trusted ones says next to nothing.  The thresholds are
+quantiles of trusted documents scored without their own half of the counts.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from skillgrid.llm.common import WORD, text_of
 
 BUCKETS = 16384
 SYMBOLS = "[#*$%&|<>]"
+PRIOR = 10.0  # trusted occurrences of a bucket, as many as the corpus lets expect, taken as seen before counting
+LOST = 0.01  # share of the trusted documents of a group that may fall below its threshold
+MIN_TRUSTED = 20  # trusted documents of a group from which it has a threshold
 
 
 def words_of(text: Column) -> Column:
@@ -38,32 +44,96 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
+def _ids(trusted: DataFrame, id_col: str) -> DataFrame:
+    return trusted.select(F.col(f"`{id_col}`").alias("t_id")).where(F.col("t_id").isNotNull()).distinct()
+
+
+def _half(body: Column) -> Column:
+    """0 or 1, the same for equal texts."""
+    return F.pmod(F.xxhash64(F.lit("half"), body), F.lit(2)).cast("int")
+
+
+def _flagged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(body, half): the half of trusted documents, null for others.
+
+    The join shuffles at every size: the ids grow with the input, so they are never broadcast.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("d_id"), text_of(text_col).alias("body")).join(
+        _ids(trusted, id_col).hint("shuffle_hash"), F.col("d_id") == F.col("t_id"), "left")
+    return rows.select("body", F.when(F.col("t_id").isNotNull(), _half(F.col("body"))).alias("half"))
+
+
+def _counts(flagged: DataFrame, buckets: int) -> tuple[list[int], list[list[int]]]:
+    """Occurrences of each bucket in all documents, and in each half of the trusted ones."""
+    grams = flagged.select("half", words_of(F.col("body")).alias("w")).select(
+        "half", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
+    counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *[
+        F.coalesce(F.sum((F.col("half") == h).cast("long")), F.lit(0)).alias(f"g{h}") for h in range(2)]).collect()
+    n, g = [0] * buckets, [[0] * buckets, [0] * buckets]
+    for r in counted:
+        n[r.b], g[0][r.b], g[1][r.b] = r.n, r.g0, r.g1
+    return n, g
+
+
+def _log_ratios(n: list[int], g: list[int], alpha: float) -> list[float]:
+    """log(p_trusted / p_corpus): trusted over expected occurrences, ``PRIOR`` added to both."""
+    total_n, total_g = sum(n) + alpha * len(n), sum(g)
+    if not total_g:
+        return [0.0] * len(n)
+    return [math.log((y + PRIOR) / (total_g * (x + alpha) / total_n + PRIOR)) for x, y in zip(n, g)]
+
+
 def bucket_log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, alpha: float = 1.0,
                       id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """log(p_trusted / p_corpus) per bucket, both with add-``alpha`` smoothing.
+    """log(p_trusted / p_corpus) per bucket.
 
     ``trusted`` has the ids of the trusted documents.  The counts cover every
-    document; only ``buckets`` sums come to the driver.  The join shuffles at
-    every size: the ids grow with the input, so they are never broadcast.
+    document; only ``buckets`` sums come to the driver.
     """
-    ids = trusted.select(F.col(f"`{id_col}`").alias("t_id")).where(F.col("t_id").isNotNull()).distinct()
-    flagged = docs.select(F.col(f"`{id_col}`").alias("d_id"), text_of(text_col).alias("body")).join(
-        ids.hint("shuffle_hash"), F.col("d_id") == F.col("t_id"), "left")
-    grams = flagged.select(F.col("t_id").isNotNull().alias("good"), words_of(F.col("body")).alias("w")).select(
-        "good", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
-    counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"),
-                                     F.sum(F.col("good").cast("long")).alias("g")).collect()
-    n, g = [0] * buckets, [0] * buckets
-    for r in counted:
-        n[r.b], g[r.b] = r.n, r.g
-    total_n, total_g = sum(n) + alpha * buckets, sum(g) + alpha * buckets
-    if not sum(g):
-        return [0.0] * buckets
-    return [math.log((g[i] + alpha) / total_g) - math.log((n[i] + alpha) / total_n) for i in range(buckets)]
+    n, g = _counts(_flagged(docs, trusted, id_col, text_col), buckets)
+    return _log_ratios(n, [x + y for x, y in zip(*g)], alpha)
 
 
-def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float = -0.04, min_words: int = 50,
-                  max_repeat_pct: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, alpha: float = 1.0, lost: float = LOST,
+          min_words: int = 50, min_trusted: int = MIN_TRUSTED, id_col: str = "doc_id", text_col: str = "text",
+          group_col: str = "lang") -> tuple[list[float], dict[str, float]]:
+    """Log ratios of all trusted documents, and a threshold for each group.
+
+    A trusted document is scored by the counts of the other half, as a new one
+    would be; the threshold is the ``lost`` quantile of its group, so it moves
+    with the size of the table and the share of labels as the scores do.  A
+    group of fewer than ``min_trusted`` trusted documents gets none: the counts
+    do not tell what is normal there.
+    """
+    group = F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("")) if group_col in docs.columns else F.lit("")
+    n, g = _counts(_flagged(docs, trusted, id_col, text_col), buckets)
+    other = [_table(_log_ratios(n, g[1 - h], alpha)) for h in range(2)]
+    body = text_of(text_col)
+    mine = docs.select(F.col(f"`{id_col}`").alias("d_id"), group.alias("group"), _half(body).alias("half"),
+                       words_of(body).alias("w")).where(F.size("w") >= min_words)
+    # every document is scored where it lies, so that this pass shuffles no text
+    scored = mine.select("d_id", "group", F.when(F.col("half") == 0, _score(F.col("w"), other[0], buckets)).otherwise(
+        _score(F.col("w"), other[1], buckets)).alias("score")).join(
+        _ids(trusted, id_col).hint("shuffle_hash"), F.col("d_id") == F.col("t_id"), "left_semi")
+    found = scored.groupBy("group").agg(F.count(F.lit(1)).alias("n"),
+                                        F.percentile_approx("score", lost, 10_000).alias("least")).collect()
+    return (_log_ratios(n, [x + y for x, y in zip(*g)], alpha),
+            {r["group"]: r["least"] for r in found if r["n"] >= min_trusted})
+
+
+def _table(log_ratios: list[float]) -> Column:
+    return F.split(F.lit(json.dumps(log_ratios)[1:-1]), ", ").cast("array<double>")
+
+
+def _score(w: Column, table: Column, buckets: int) -> Column:
+    n = F.size(w)
+    total = F.aggregate(ngram_buckets(w, buckets), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    return F.when(n == 0, 0.0).otherwise(total / F.greatest(2 * n - 1, F.lit(1)))
+
+
+def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float | dict[str, float] = -0.04,
+                  min_words: int = 50, max_repeat_pct: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                  group_col: str = "lang") -> DataFrame:
     """``docs`` (without text) with its signals, ``llr_score``, ``base_failed`` and ``kept``.
 
     * ``n_words``, ``word_chars`` (code points in words), ``n_symbols``
@@ -72,7 +142,9 @@ def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float
     * ``base_failed``: under ``min_words`` words, or more than
       ``max_repeat_pct`` percent of them repeated
 
-    A null or empty text has no words, so it fails; its score is 0.
+    ``min_score`` is one threshold, or one for each value of ``group_col``; a
+    group without threshold is judged by the base rules only.  A null or empty
+    text has no words, so it fails; its score is 0.
     """
     buckets = len(log_ratios)
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -80,8 +152,6 @@ def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float
     s1 = s0.select("row", "body", words_of(F.col("body")).alias("w"))
     w, n = F.col("w"), F.size("w")
     windows = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    table = F.split(F.lit(json.dumps(log_ratios)[1:-1]), ", ").cast("array<double>")
-    total = F.aggregate(ngram_buckets(w, buckets), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     lines = F.filter(F.split("body", "\n"), lambda line: line.rlike(WORD))
     s2 = s1.select(
         "row", n.cast("long").alias("n_words"),
@@ -90,7 +160,7 @@ def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long")
         .alias("n_dup_lines"),
         F.transform(windows, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).alias("h"),
-        F.when(n == 0, 0.0).otherwise(total / F.greatest(2 * n - 1, F.lit(1))).alias("llr_score"))
+        _score(w, _table(log_ratios), buckets).alias("llr_score"))
     # windows found twice or more: equal neighbours in sorted order
     s3 = s2.select("*", F.sort_array("h").alias("s"))
     m = F.greatest(F.size("s") - 1, F.lit(0))
@@ -104,8 +174,14 @@ def quality_rules(docs: DataFrame, log_ratios: list[float], *, min_score: float
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_score")
     names = [c for c in docs.columns if c != text_col and c not in (*out, "base_failed", "kept")]
+    if isinstance(min_score, dict):
+        mine = F.coalesce(F.col("row")[group_col].cast("string"), F.lit("")) if group_col in docs.columns else F.lit("")
+        limits = F.from_json(F.lit(json.dumps(min_score)), "map<string,double>")
+        enough = F.col("llr_score") >= F.coalesce(F.try_element_at(limits, mine), F.lit(float("-inf")))
+    else:
+        enough = F.col("llr_score") >= min_score
     return s5.select(*[F.col("row")[c].alias(c) for c in names], *out, failed.alias("base_failed"),
-                     (~failed & (F.col("llr_score") >= min_score)).alias("kept"))
+                     (~failed & enough).alias("kept"))
 
 
 def _covered(h: Column, twice: Column) -> Column:

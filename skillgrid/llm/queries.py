@@ -39,10 +39,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals of every document and the likelihood-ratio verdict."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    ratios = quality_rules.bucket_log_ratios(docs, good)
-    return quality_rules.quality_rules(docs, ratios)
+    ratios, limits = quality_rules.learn(docs, good)
+    return quality_rules.quality_rules(docs, ratios, min_score=limits).drop("lang")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

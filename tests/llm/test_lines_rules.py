@@ -103,3 +103,23 @@ def test_registered_digest(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = plain_lines([r.text for r in rows], 10)
     assert got == {r.doc_id: hashlib.sha256(w[2].encode()).hexdigest() for r, w in zip(rows, want)}
+
+
+@pytest.mark.parametrize("n_docs", [400, 1000])
+def test_held_out_good_documents_are_kept_in_every_language(spark, n_docs):
+    """Half of the good labels are left out of the counts; at two sizes, nearly all of them stay."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id < {n_docs}").select("doc_id", "text", "lang").cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(f"doc_id < {n_docs}")
+    good = [r.doc_id for r in labels.where("quality = 1").select("doc_id").collect()]
+    seen = {i for i in good if xxhash.xxh64_intdigest(str(i).encode()) % 2}
+    trusted = spark.createDataFrame([(i,) for i in seen], "doc_id long")
+    ratios, limits = quality_rules.learn(docs, trusted)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, ratios, min_score=limits).collect()}
+    for lang in sorted({r.lang for r in got.values()}):
+        fresh = [got[i] for i in good if i not in seen and got[i].lang == lang and not got[i].base_failed]
+        assert sum(not r.kept for r in fresh) <= 1 + 0.1 * len(fresh), (lang, len(fresh))
+    bad = [got[r.doc_id] for r in labels.where("quality = 0").collect()]
+    caught = [not r.kept for r in bad if r.lang in limits]
+    assert sum(caught) >= 0.8 * len(caught)
+    docs.unpersist()
