@@ -6,9 +6,9 @@ their anchors at the same place, so it is enough to sort the suffixes at
 anchors, and of these only those whose k-gram occurs elsewhere.
 
 * Map: each task sorts its suffixes into runs, front-codes them (the length of
-  the prefix shared with the previous one, then the rest) and cuts them by
-  k-gram hash, so that all suffixes of a k-gram meet.
-* Reduce: the runs of a range are merged by a loser tree that carries known
+  the prefix shared with the previous one, then the rest) and cuts them by a
+  second hash of the k-gram, so that all suffixes of a k-gram meet.
+* Reduce: the runs of a part are merged by a loser tree that carries known
   common prefixes and compares bytes beyond them only.
 * The merged order gives the prefix lengths shared by neighbours; with the
   same for the bytes left of the anchors, every represented string is known to
@@ -258,15 +258,21 @@ def _local_repeats(span: int):
     return run
 
 
+def _part(kh: np.ndarray, parts: int) -> np.ndarray:
+    """Merge group of each k-gram.  An anchor is the least of many hashes, so its bits are mixed again to spread evenly."""
+    h = _mix(kh.view(np.uint64) + np.uint64(_MULT))
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _sorted_runs(span: int, parts: int):
-    """One record for each distinct context, sorted, cut by k-gram hash and front-coded."""
+    """One record for each distinct context, sorted, cut by k-gram and front-coded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in _ranges(batches, span):
             one = {(r[0], r[1]): r for r in records}
             by_part: dict[int, list] = {}
-            for key in sorted(one):
-                r = one[key]
-                by_part.setdefault((r[4] & 0xFFFFFFFFFFFFFFFF) * parts >> 64, []).append(r[:4])
+            rows = [one[key] for key in sorted(one)]
+            for r, part in zip(rows, _part(np.array([r[4] for r in rows], np.int64), parts).tolist()):
+                by_part.setdefault(part, []).append(r[:4])
             coded = [encode_run(v) for v in by_part.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(by_part), pa.int32()), *(pa.array([c[i] for c in coded], pa.binary()) for i in range(5))],

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skillgrid.llm import suffixes
@@ -77,3 +79,19 @@ def test_prefix_merge(k):
     assert [x for *_, x in out] == sorted(x for r in runs for x in r)
     for (_, _, a), (s, _, b) in zip(out, out[1:]):
         assert s == suffixes.shared_prefix(a, b)
+
+
+def test_merge_groups_are_even():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 60_000, dtype=np.uint8).tobytes() for _ in range(4)]
+    which, at, first, last, kh = suffixes.Anchors(400, 96)(texts)
+    places = suffixes._pack_place(at, first, last)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([bytes([i]) * 16 for i in range(4)]), pa.array([t.decode() for t in texts]),
+        pa.array([kh.view(np.int64)[which == i] for i in range(4)]), pa.array([places[which == i] for i in range(4)])],
+        ["rk", "body", "hashes", "places"])
+    sizes = np.zeros(20, np.int64)
+    for b in suffixes._sorted_runs(400, 20)(iter([batch])):
+        for part, owners in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+            sizes[part] += len(owners) // 16
+    assert sizes.sum() == len(at) and sizes.max() < 2 * sizes.mean()
