@@ -32,7 +32,7 @@ from skillgrid.llm.common import materialize
 from skillgrid.llm.wordhash import PUNCTUATION, WordHasher, small_batches
 
 DIMS = 1 << 14  # hashed vocabulary
-RANK, SKETCH = 48, 48  # latent dimensions; columns of the random test matrix
+RANK, SKETCH = 64, 80  # latent dimensions; columns of the random test matrix, some more for accuracy
 PASSAGE = 32  # words of a training passage
 STRIDE = 8  # words between window starts
 MARGIN = 4  # words allowed beyond an item's own length when words are compared
@@ -43,7 +43,7 @@ BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 class Rules:
     """Decision limits."""
 
-    min_cosine: float = 0.45  # of a candidate, in the latent space
+    min_cosine: float = 0.2  # of a candidate, in the latent space; low, as the checks on the words are exact
     copy_share: float = 0.80  # common subsequence / item words: a copy
     paraphrase_share: float = 0.60  # from here a paraphrase, if the answer agrees
     answer_part: float = 0.25  # of the item, at its end, is its answer

@@ -150,3 +150,34 @@ def test_words_that_tell_nothing_move_no_membership(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     model = mixing.fit_domains(docs, docs.select("doc_id"), ["a", "b"])
     assert all(0.3 < x < 0.7 for r in mixing.memberships(docs, model).collect() for x in r.p)
+
+
+def test_recall_of_edited_items_against_the_word_rule(spark):
+    """Items with words replaced, planted in documents; those the rule on words accepts are found."""
+    sf, rng, rules = SF.replace("sf0.001", "sf0.1"), random.Random(5), decontamination.Rules()
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    texts = [r.text or "" for r in base.orderBy("doc_id").limit(1500).collect()]
+    pool = [w for t in texts[:300] for w in t.split()[:200]]
+    hosts = [t.split() for t in texts if 60 <= len(t.split()) <= 300]
+    hasher, rows, want = decontamination.WordHasher(drop=decontamination.PUNCTUATION), [], {20: set(), 35: set()}
+    for r in bench.collect():
+        w = r.text.split()
+        item = hasher([r.text])[0]
+        answer = item[len(item) - max(1, round(len(item) * rules.answer_part)):]
+        for edits in want:
+            last = len(w) if edits == 20 else len(w) - max(1, round(len(w) * rules.answer_part))
+            put = set(rng.sample(range(last), min(last, round(len(w) * edits / 100))))
+            x = [rng.choice(pool) if i in put else v for i, v in enumerate(w)]
+            host = rng.choice(hosts)
+            at = rng.randrange(len(host))
+            i = 10**7 + len(rows)
+            rows.append((i, " ".join(host[:at] + x + host[at:])))
+            region = hasher([" ".join(x)])[0].tolist()
+            share, part = (decontamination.common_subsequence(*decontamination._masks(y), region) / len(y) for y in (item, answer))
+            if share >= rules.copy_share or share >= rules.paraphrase_share and part >= rules.answer_share:
+                want[edits].add((i, r.item_id))
+    df = base.union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    got = {(r.id, r["item"]) for r in decontamination.contaminated(df, bench).select("id", "item").collect()}
+    for edits, pairs in want.items():
+        assert len(pairs & got) >= 0.93 * len(pairs), edits
