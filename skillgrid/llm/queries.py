@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import (
-    decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, suffixes, warc,
+    decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, suffixes, token_files,
+    warc,
 )
 from skillgrid.llm.common import crc_mod, read
 
@@ -80,6 +81,14 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in token-id files, from the files read back."""
+    from public_tokenizers import path
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = token_files.write_and_read(docs, tokenizer=path("word_bpe_49k.json"), end_id=1)
+    return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_katz_lm,
-    op8_warc_index, op9_pseudonyms, op10_quality_fm)}
+    op8_warc_index, op9_pseudonyms, op10_quality_fm, op11_token_files)}
