@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import (
-    decontamination, factorisation, katz, line_dedup, mixing, pseudonyms, quality_rules, simhash, suffixes, token_files,
+    decontamination, factorisation, katz, line_dedup, merkle, mixing, pseudonyms, quality_rules, simhash, suffixes, token_files,
     warc,
 )
 from skillgrid.llm.common import crc_mod, read
@@ -89,6 +89,18 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every seventh by checksum is tampered with and checked."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    forged = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 7) == 0)
+    claim = merkle.leaf_digest("doc_id", "source", "lang", F.col("n_chars") + F.when(forged, 1).otherwise(0), "text")
+    rows = merkle.manifest(docs, carry={"claim": claim}).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded_root(F.col("claim")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_katz_lm,
-    op8_warc_index, op9_pseudonyms, op10_quality_fm, op11_token_files)}
+    op8_warc_index, op9_pseudonyms, op10_quality_fm, op11_token_files,
+    op13_merkle_manifest)}
