@@ -81,4 +81,25 @@ FROM placed p JOIN high h USING (rid) JOIN summit s USING (rid), top t
 WHERE s.n = 1 AND t.n = 1
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op13_merkle_manifest": OP13}
+OP12 = """
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor, a.v AS av, a.label AS al, b.vec_id AS other, b.label AS bl,
+             list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM a, e b WHERE NOT (a.vec_id = b.vec_id AND a.label = b.label AND a.v = b.v)),
+p AS (SELECT anchor, av, al, other, score FROM s WHERE al = bl
+      QUALIFY row_number() OVER (PARTITION BY anchor, av, al ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor, p.av, p.al, p.other, p.score ORDER BY s.score DESC, s.other)::INTEGER AS rank,
+       s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND s.av = p.av AND s.al = p.al AND s.bl <> s.al
+             AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op12_hard_negatives": OP12, "op13_merkle_manifest": OP13}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.llm import (
-    decontamination, factorisation, katz, line_dedup, merkle, mixing, pseudonyms, quality_rules, simhash, suffixes, token_files,
+    decontamination, factorisation, hard_negatives, katz, line_dedup, merkle, mixing, pseudonyms, quality_rules, simhash, suffixes, token_files,
     warc,
 )
 from skillgrid.llm.common import crc_mod, read
@@ -89,6 +89,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives just below each positive of every hundredth vector."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    fits = ~F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.where(fits).select("vec_id", label.alias("label"), F.transform(
+        "embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vec"))
+    return hard_negatives.mine(whole, is_anchor=F.col("vec_id") % 100 == 0, id_col="vec_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; every seventh by checksum is tampered with and checked."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -103,4 +113,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_simhash, op4_mixing, op5_quality_rules, op6_suffix_dedup, op7_katz_lm,
     op8_warc_index, op9_pseudonyms, op10_quality_fm, op11_token_files,
-    op13_merkle_manifest)}
+    op12_hard_negatives, op13_merkle_manifest)}
