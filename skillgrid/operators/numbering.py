@@ -18,19 +18,26 @@ FAN = 1024  # ranges whose counts one window call adds up
 def totals_before(counts: DataFrame, index: str, value: str, out: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     """``counts`` with ``out``: the sum of ``value`` over smaller ``index`` (whole numbers from 0), inside ``by``.
 
-    Sums are formed in groups of ``FAN`` neighbouring indexes first; only the
-    group sums, a thousandth of the rows, meet in one window of each ``by``.
+    Sums are formed in groups of ``FAN`` neighbouring indexes first, so only the
+    group sums, a thousandth of the rows, have to be put in one order: by a
+    window inside each ``by``, or without ``by`` on the driver.
     """
     group = F.floor(F.col(index) / FAN).alias("_group")
     rows = counts.select("*", group)
     earlier = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_group").orderBy(index).rowsBetween(*earlier)
-    above = Window.partitionBy(*by).orderBy("_group").rowsBetween(*earlier) if by else \
-        Window.orderBy("_group").rowsBetween(*earlier)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    tops = rows.groupBy(*by, "_group").agg(F.sum(value).alias("_sum")).select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_group").alias("_top"),
-        zero(F.sum("_sum").over(above)).alias("_before"))
+    sums = rows.groupBy(*by, "_group").agg(F.sum(value).cast("long").alias("_sum"))
+    if by:
+        above = Window.partitionBy(*by).orderBy("_group").rowsBetween(*earlier)
+        tops = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_group").alias("_top"),
+                           zero(F.sum("_sum").over(above)).alias("_before"))
+    else:
+        before, listed = 0, []
+        for group, total in sorted(tuple(r) for r in sums.collect()):
+            listed.append((group, before))
+            before += total
+        tops = counts.sparkSession.createDataFrame(listed, "_top long, _before long")
     same = F.col("_group") == F.col("_top")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

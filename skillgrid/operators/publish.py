@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions.text import name_based_id
+from skillgrid.operators.numbering import number_rows
+from skillgrid.sources.materialize import FOLDER, folder_of
 
 MANIFEST = "role_requirement_versions"
 LINEAGE = "role_requirement_version_datasets"
@@ -43,13 +45,13 @@ def month_start_rule(c: Column | str) -> Column:
 
 def allocate_versions(publishes: DataFrame, order: list[str], *, base_version: int = 0) -> DataFrame:
     """Versions in publish order (max + 1 each time), revisions within a month
-    and the derived current flag (A10, W6, W7)."""
+    and the derived current flag (A10, W6, W7).  Numbers come in two passes
+    (ranges, then range counts), without a window over all publishes."""
     checked = publishes.withColumn(
         "period_month", F.when(month_start_rule("period_month"), F.col("period_month"))
         .otherwise(F.raise_error(F.lit("period_month must be the first day of a month"))))
-    w_all = Window.orderBy(*order)
-    with_version = checked.withColumn("version", (F.row_number().over(w_all) + F.lit(base_version)).cast("int"))
-    return derive_current(with_version)
+    numbered = number_rows(checked, order, "version", first=base_version + 1, name="versions")
+    return derive_current(numbered.withColumn("version", F.col("version").cast("int")))
 
 
 def derive_current(manifest: DataFrame) -> DataFrame:
@@ -173,9 +175,17 @@ def versions_by_dataset(manifest: DataFrame, lineage: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- prepared reads
 
 def current_rows(published: DataFrame, manifest: DataFrame, *, version_col: str = "requirement_version") -> DataFrame:
-    """Published rows of current versions only: the three monthly views."""
-    cur = manifest.where("is_current").select(F.col("version").alias(version_col), "period_month", "period_revision")
-    return published.join(cur, version_col)
+    """Published rows of current versions only: the three monthly views.
+
+    The current versions prune the folders of ``published`` while the query
+    runs.  The comparison is always true; Spark derives partition pruning from
+    a filter with a comparison, not from a flag alone.
+    """
+    cur = manifest.where("is_current AND version >= 1").select(
+        F.col("version").alias(version_col), folder_of("version").alias(FOLDER), "period_month", "period_revision")
+    if FOLDER not in published.columns:
+        return published.join(cur.drop(FOLDER), version_col)
+    return published.join(cur, [FOLDER, version_col]).drop(FOLDER)
 
 
 def current_version(manifest: DataFrame) -> DataFrame:
@@ -190,10 +200,15 @@ def latest_month_version(manifest: DataFrame) -> DataFrame:
 
 def rows_of_version(published: DataFrame, version: DataFrame, *, role_id=None,
                     version_col: str = "requirement_version") -> DataFrame:
-    """Rows of one version (and optionally one role) (S11, S12); the version is a
-    one-row frame, so the join prunes to that partition of the published table."""
-    v = version.select(F.col("version").alias(version_col))
-    out = published.join(v, version_col, "left_semi")
+    """Rows of one version (and optionally one role).
+
+    ``version`` is a frame of one row, or none: then there are no rows.  It is
+    a scalar subquery in the filter, so a published table opens the folder of
+    that version alone, and the role filter reaches its files.
+    """
+    out = published.where(F.col(version_col) == version.select("version").scalar())
+    if FOLDER in published.columns:
+        out = out.where(F.col(FOLDER) == version.select(folder_of("version")).scalar()).drop(FOLDER)
     return out if role_id is None else out.where(F.col("role_id") == F.lit(role_id))
 
 
@@ -289,9 +304,12 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
 
 
 def retention_plan(manifest: DataFrame, keep_previous: int = 3) -> DataFrame:
-    """Per month: keep the current version and ``keep_previous`` earlier ones."""
-    w = Window.partitionBy("period_month").orderBy(F.col("version").desc())
-    return manifest.withColumn("keep", F.row_number().over(w) <= keep_previous + 1)
+    """The versions kept online (X9): the newest and the ``keep_previous`` before it,
+    and whatever is the current version of a month, since the monthly reads need it."""
+    newest = (manifest.select(F.col("version").alias("_v")).orderBy(F.col("_v").desc()).limit(keep_previous + 1)
+              .withColumn("_new", F.lit(True)))
+    return manifest.join(F.broadcast(newest), F.col("version") == F.col("_v"), "left").select(
+        *manifest.columns, (F.col("is_current") | F.coalesce("_new", F.lit(False))).alias("keep_online"))
 
 
 def rejected_row_retention(rejected: DataFrame, today: dt.date, days: int = 180,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.functions.text import name_based_id
-from skillgrid.operators import dedup, demand, ingest, ops, quality, resolve, student
+from skillgrid.operators import dedup, demand, ingest, ops, publish, quality, resolve, student
 from skillgrid.plans import demand_plans, publish_plans
 from skillgrid.sources import dimensions as D
 from skillgrid.sources.materialize import PlanContext
@@ -333,11 +333,9 @@ def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retention_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q35: versions kept online: the monthly currents plus the newest four."""
-    m = publish_plans.version_manifest(spark, sf_dir)
-    w = Window.orderBy(F.col("version").desc())
-    return m.select("version", "period_month", "is_current",
-                    (F.col("is_current") | (F.row_number().over(w) <= 4)).alias("keep_online"))
+    """Q35: versions kept online: the newest with its previous three, and the monthly currents."""
+    return publish.retention_plan(publish_plans.version_manifest(spark, sf_dir)).select(
+        "version", "period_month", "is_current", "keep_online")
 
 
 def reingest_guard(spark: SparkSession, sf_dir: str) -> DataFrame:

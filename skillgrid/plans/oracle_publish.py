@@ -192,6 +192,32 @@ WITH {_PUBLISHED.strip()},
 SELECT role_id, skill_id, requirement_version, period_month, decay_rate, confidence, detected_at, is_active FROM flag
 """
 
+PUBLISHED_REQUIREMENTS = f"""
+WITH {_PUBLISHED.strip()}
+SELECT * FROM pubreq
+"""
+
+PUBLISHED_SNAPSHOTS = f"""
+WITH {_PUBLISHED.strip()},
+{_SNAP.strip()}
+SELECT * FROM snap
+"""
+
+PUBLISHED_SIGNALS = f"""
+WITH {_PUBLISHED.strip()},
+{_SNAP.strip()},
+{_SIGNALS.strip()}
+SELECT role_id, skill_id, decay_rate, confidence, requirement_version, detected_at FROM sig
+"""
+
+ACTIVE_ROLE_SIGNALS = f"""
+WITH {_PUBLISHED.strip()},
+{_SNAP.strip()},
+{_SIGNALS.strip()}
+SELECT role_id, skill_id, requirement_version, period_month, decay_rate, confidence, detected_at FROM flag
+WHERE is_active AND role_id = 7
+"""
+
 _INCOMING = _snapshots(
     "req r WHERE r.role_id = mm.role_id AND r.skill_id = mm.skill_id", "inc")
 
@@ -250,6 +276,12 @@ QUERIES = {
     "prepared_requirements": PREPARED_REQUIREMENTS,
     "prepared_snapshots": PREPARED_SNAPSHOTS,
     "active_signals": ACTIVE_SIGNALS,
+    "published_requirements": PUBLISHED_REQUIREMENTS,
+    "published_snapshots": PUBLISHED_SNAPSHOTS,
+    "published_signals": PUBLISHED_SIGNALS,
+    "prepared_role_requirements": PREPARED_REQUIREMENTS + " AND role_id = 7",
+    "prepared_role_snapshots": PREPARED_SNAPSHOTS + " AND role_id = 7",
+    "active_role_signals": ACTIVE_ROLE_SIGNALS,
     "snapshot_publish_diff": SNAPSHOT_PUBLISH_DIFF,
     "insert_or_get": INSERT_OR_GET,
 }

@@ -8,9 +8,10 @@ publish time is a sliding frame over that history.
 
 The whole chain - evidence, cumulative threshold, version manifest,
 snapshots, decay signals - is one set of DataFrame jobs over every run,
-instead of one run at a time.  The manifest (one row per publish) is measured
-and broadcast; published requirements and snapshots are materialised once
-per query and reused by every branch.
+instead of one run at a time.  The chain ends in published tables, in
+folders by version, and a manifest of one row per publish.  The reads below it
+(current, prepared, active) see only those tables: a read of one version opens
+its folder, a read of the monthly currents those of the current versions.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
 from skillgrid.operators import dedup, demand, publish, requirements, trend
 from skillgrid.plans import demand_plans
-from skillgrid.sources.materialize import PlanContext
+from skillgrid.sources.materialize import FOLDER, PlanContext
 from skillgrid.sources.tables import posting_rows
 
 STORED_BEFORE = dt.date(1998, 1, 1)
 INCOMING_FROM = dt.date(1997, 1, 1)
+PREPARED_ROLE = 7  # of the reads for one role
 
 
 def _run_dataset(status: str = "dataset_id", month: str = "period_month"):
@@ -44,7 +46,7 @@ def manifest_of(ctx: PlanContext) -> DataFrame:
             F.trunc(F.max("posted_at"), "month").alias("period_month"))
         return publish.allocate_versions(runs.withColumnRenamed("run_dataset", "dataset_id"),
                                          order=["period_month", "status"])
-    return ctx.derived("manifest", build)
+    return ctx.table("manifest", build)
 
 
 def versioned_evidence(ctx: PlanContext) -> DataFrame:
@@ -62,7 +64,7 @@ def published_requirements_of(ctx: PlanContext) -> DataFrame:
         cum = per_run.withColumn("evidence_count", F.sum("skill_posting_count").over(w).cast("bigint"))
         return cum.where(F.col("evidence_count") >= EVIDENCE_THRESHOLD).select(
             "requirement_version", "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count")
-    return ctx.derived("published-requirements", build)
+    return ctx.published(publish.REQUIREMENTS, build)
 
 
 def snapshots_for(ctx: PlanContext, pairs: DataFrame) -> DataFrame:
@@ -78,12 +80,12 @@ def published_snapshots_of(ctx: PlanContext) -> DataFrame:
         pairs = ctx.derived("published-pairs", lambda: published_requirements_of(ctx).select(
             "requirement_version", "role_id", "skill_id"))
         return snapshots_for(ctx, pairs)
-    return ctx.derived("published-snapshots", build)
+    return ctx.published(publish.SNAPSHOTS, build)
 
 
 def published_signals_of(ctx: PlanContext) -> DataFrame:
     """Decay signals as each version was published (sliding trend, W3-W5)."""
-    return trend.rolling_decay(published_snapshots_of(ctx))
+    return ctx.published(publish.SIGNALS, lambda: trend.rolling_decay(published_snapshots_of(ctx).drop(FOLDER)))
 
 
 # ---------------------------------------------------------------- registered plans
@@ -96,16 +98,17 @@ def version_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement rows of every version: per-run aggregates whose cumulative
     evidence over earlier versions reaches the threshold (A1-A4, K5, P12)."""
-    return published_requirements_of(PlanContext(spark, sf_dir))
+    return published_requirements_of(PlanContext(spark, sf_dir)).drop(FOLDER)
 
 
 def published_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of every version, for that version's published pairs."""
-    return published_snapshots_of(PlanContext(spark, sf_dir))
+    return published_snapshots_of(PlanContext(spark, sf_dir)).drop(FOLDER)
 
 
 def published_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return published_signals_of(PlanContext(spark, sf_dir))
+    """Decay signals of every version, as published."""
+    return published_signals_of(PlanContext(spark, sf_dir)).drop(FOLDER)
 
 
 def lineage_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +133,11 @@ def current_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active decay signals of the current version of every month."""
     ctx = PlanContext(spark, sf_dir)
     manifest = manifest_of(ctx)
-    flagged = publish.active_signals(published_signals_of(ctx), manifest).where("is_active")
-    return publish.current_rows(flagged.drop("period_month"), manifest)
+    # the current version is the newest of its month, so the flag is decided among the rows it leaves
+    rows = publish.current_rows(published_signals_of(ctx), manifest)
+    flagged = publish.active_signals(rows.drop("period_month"), manifest).where("is_active")
+    return flagged.select("role_id", "skill_id", "requirement_version", "decay_rate", "confidence", "detected_at",
+                          "is_active", "period_month", "period_revision")
 
 
 def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +158,28 @@ def prepared_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.rows_of_version(published_snapshots_of(ctx), publish.current_version(manifest_of(ctx)))
 
 
+def prepared_role_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirement rows of the current version for one role."""
+    ctx = PlanContext(spark, sf_dir)
+    return publish.rows_of_version(published_requirements_of(ctx), publish.current_version(manifest_of(ctx)),
+                                   role_id=PREPARED_ROLE)
+
+
+def prepared_role_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot rows of the current version for one role."""
+    ctx = PlanContext(spark, sf_dir)
+    return publish.rows_of_version(published_snapshots_of(ctx), publish.current_version(manifest_of(ctx)),
+                                   role_id=PREPARED_ROLE)
+
+
+def active_role_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active decay signals of one role, every month; inactive ones stay out."""
+    ctx = PlanContext(spark, sf_dir)
+    flagged = publish.active_signals(published_signals_of(ctx), manifest_of(ctx))
+    return publish.active_signals_by_role(flagged, PREPARED_ROLE).select(
+        "role_id", "skill_id", "requirement_version", "period_month", "decay_rate", "confidence", "detected_at")
+
+
 def active_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q21: every published signal with its derived active flag."""
     ctx = PlanContext(spark, sf_dir)
@@ -165,7 +193,7 @@ def snapshot_publish_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     against the stored snapshots: new / same / conflict (K8)."""
     ctx = PlanContext(spark, sf_dir)
     incoming = snapshots_for(ctx, demand_plans.pairs_of(ctx))
-    return publish.snapshot_publish_plan(incoming, published_snapshots_of(ctx), manifest_of(ctx))
+    return publish.snapshot_publish_plan(incoming, published_snapshots_of(ctx).drop(FOLDER), manifest_of(ctx))
 
 
 def insert_or_get(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,5 +38,5 @@ def test_lineage_and_retention(spark):
     lin = sorted((r["requirement_version"], r["lineage_position"], r["dataset_id"])
                  for r in publish.lineage_from_revisions(m).collect())
     assert lin == [(1, 1, "a"), (2, 1, "b"), (2, 2, "a"), (3, 1, "c"), (4, 1, "d"), (4, 2, "b")]
-    keep = {r["version"]: r["keep"] for r in publish.retention_plan(m, keep_previous=1).collect()}
-    assert keep == {1: False, 2: True, 3: True, 4: True}
+    keep = {r["version"]: r["keep_online"] for r in publish.retention_plan(m, keep_previous=1).collect()}
+    assert keep == {1: False, 2: False, 3: True, 4: True}
