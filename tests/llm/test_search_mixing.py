@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skillgrid.llm import decontamination, mixing
 from tests.conftest import SF
@@ -181,3 +183,93 @@ def test_recall_of_edited_items_against_the_word_rule(spark):
     got = {(r.id, r["item"]) for r in decontamination.contaminated(df, bench).select("id", "item").collect()}
     for edits, pairs in want.items():
         assert len(pairs & got) >= 0.93 * len(pairs), edits
+
+
+def _plain_memberships(rows, taught, domains, *, alpha=0.5):
+    """Tempered naive Bayes by numpy, from (id, text, source, lang) rows and the bucket of each word and field."""
+    def counts(some):
+        c, n = np.zeros((len(domains), mixing.BUCKETS)), np.zeros(len(domains))
+        for r in some:
+            n[domains.index(r["source"])] += 1
+            np.add.at(c[domains.index(r["source"])], r["f"], 1)
+        return n, c
+
+    def model(n, c, w=1.0):
+        every = alpha + c.sum(0)
+        share, mass = every / every.sum(), alpha * mixing.BUCKETS
+        return (np.log((n + alpha) / (n.sum() + alpha * len(n))),
+                w * (np.log((c + mass * share) / (c.sum(1, keepdims=True) + mass)) - np.log(share)))
+
+    def posterior(m, r):
+        z = m[0] + m[1][:, r["f"]].sum(1)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    learn = [r for r in rows if r["doc_id"] in taught and r["source"] in domains]
+    seen, held = counts([r for r in learn if not r["held"]]), [r for r in learn if r["held"]]
+    fit = lambda w: sum(np.log(posterior(model(*seen, w), r)[domains.index(r["source"])]) for r in held)
+    best = max(mixing.WEIGHTS, key=fit)
+    whole = model(*counts(learn), best)
+    return {r["doc_id"]: posterior(whole, r) for r in rows}
+
+
+def test_memberships_equal_plain_naive_bayes(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    domains = mixing.domains_of(docs)
+    words = F.regexp_extract_all(mixing.text_of("text"), F.lit(f"({mixing.WORD})"), 1)
+    rows = docs.select("doc_id", "source", (F.pmod(F.xxhash64(F.lit("side"), mixing.text_of("text")), F.lit(5)) == 0).alias("held"),
+                       F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(mixing.BUCKETS))),
+                                F.array(F.pmod(F.xxhash64(F.lit("lang="), F.coalesce("lang", F.lit(""))), F.lit(mixing.BUCKETS)))
+                                ).alias("f")).collect()
+    want = _plain_memberships(rows, {r.doc_id for r in labels.collect()}, domains)
+    got = mixing.memberships(docs, mixing.fit_domains(docs, labels, domains))
+    keys = {bytes(r.rk): r.doc_id for r in docs.select("doc_id", mixing.row_key("doc_id", "text").alias("rk")).collect()}
+    for r in got.collect():
+        assert r.p == pytest.approx(want[keys[bytes(r.rk)]], abs=1e-9)
+
+
+def test_rates_are_the_plain_optimum(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([.5, .4, .3, .6], 200)
+    m = rng.integers(0, 300, 200)
+    members = spark.createDataFrame([(bytes([i]), 1, int(m[i]), p[i].tolist()) for i in range(200)],
+                                    "rk binary, rows long, tokens long, p array<double>")
+    natural = m @ p
+    for targets, ridge in (([1, 1, 1, 1], 1e-5), ([0, 1, 5, 1], 1e-5), ([1, 1, 2, 40], 1e-5), ([3, 1, 1, 1], 1e-2)):
+        share = np.array(targets) / sum(targets)
+        goal = share * max(n / s for n, s in zip(natural, share) if s)
+        rates, reached = mixing.fit_rates(members, list("abcd"), dict(zip("abcd", targets)), ridge=ridge)
+        r = np.zeros(200)
+        for row in rates.collect():
+            r[row.rk[0]] = row.rate
+        loss = lambda r: (((m * r) @ p - goal) ** 2 / natural).sum() + ridge * (m * (r - 1) ** 2).sum()
+        assert reached == pytest.approx(((m * r) @ p).tolist(), rel=1e-6, abs=1e-6)
+        # the conditions of the optimum: no slope where the rate is positive, none below 0 where it is 0
+        slope = p @ (2 * (np.array(reached) - goal) / natural) + 2 * ridge * (r - 1)
+        on = m > 0
+        assert np.abs(slope[on & (r > 0)]).max() < 1e-3 * ridge + 1e-6 and slope[on & (r == 0)].min(initial=0) > -1e-6
+        best = loss(r)
+        for _ in range(200):  # and no small change does better
+            assert loss(np.maximum(0, r + rng.normal(0, .01, 200) * (rng.random(200) < .2))) >= best - 1e-9 * best
+        if targets == [1, 1, 1, 1]:
+            assert reached == pytest.approx(goal.tolist(), rel=1e-3)
+
+
+def test_mixing_rows_that_share_id_and_text_and_clashing_names(spark):
+    rows = [(1, "alpha beta", "s1", "en"), (1, "alpha beta", "s2", "de"), (2, "gamma", "s2", "de"), (3, "gamma", "s1", None),
+            (4, "x", "s1", "")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").select(
+        "*", *[F.lit("x").alias(c) for c in ("t_id", "d_id", "r_key", "rk", "meta", "rows", "tokens", "b", "m0", "at", "word")])
+    labels = docs.select("doc_id")
+    got = mixing.mix(docs, labels)
+    assert got.columns == [*docs.columns, "n_tokens", "rate", "copies"] and got.count() == len(rows)
+    members = mixing.memberships(docs, mixing.fit_domains(docs, labels, ["s1", "s2"]))
+    assert {(r.meta, r.rows) for r in members.collect()} == {('["en"]', 3), ('["de"]', 3), ('[null]', 3), ('[""]', 3)}
+
+
+def test_more_domains_than_a_literal_could_hold(spark):
+    rows = [(i, f"w{i % 300} common", f"s{i % 300:03}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    domains = mixing.domains_of(docs)
+    p = mixing.memberships(docs, mixing.fit_domains(docs, docs.select("doc_id"), domains)).collect()
+    assert len(domains) == 300 and all(len(r.p) == 300 and abs(sum(r.p) - 1) < 1e-9 for r in p)
