@@ -39,8 +39,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the rate and the copies that bring the sources to equal token weights."""
-    return mixing.mix(docs, read(spark, sf_dir, "labels")).where("copies > 0")
+    """Documents with the rate and the copies that bring the sources nearer to equal token weights.
+
+    The ridge weighs a document more than the last part of a target, so few documents get rate 0 and go.
+    """
+    return mixing.mix(docs, read(spark, sf_dir, "labels"), ridge=0.03).where("copies > 0")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("simhash", near_duplicates),
