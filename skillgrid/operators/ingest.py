@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skillgrid.functions.text import blank_to_null, clean_text, is_blank, strip_ws
 
@@ -49,6 +50,15 @@ DATETIME_SHAPE = (
 SALARY_TYPE = "decimal(18,2)"
 
 
+SURPLUS = "surplus_fields"
+_RECORD = "_corrupt_record"
+_SURPLUS_REASON = "MALFORMED_ROW:surplus_fields"
+
+
+def _surplus(df: DataFrame) -> Column:
+    return F.when(F.col(SURPLUS), F.lit(_SURPLUS_REASON)) if SURPLUS in df.columns else F.lit(None).cast("string")
+
+
 def read_posting_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Header CSV, every column a string, blank stays ``""``.
 
@@ -60,13 +70,23 @@ def read_posting_csv(spark: SparkSession, path: str, *, multi_line: bool = True)
     split, so it is read by one task.  Large feeds without embedded newlines
     should pass ``multi_line=False``: files then split across tasks and the
     row numbers stay exact.
+
+    ``surplus_fields`` marks a row with more fields than the header, which a
+    reader would cut without a word; both validators refuse it.  A row with
+    fewer has blanks.  The mark is taken from the record as it stands in the file:
+    separators outside quotes are counted.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
-           .csv(path))
-    cols = [c for c in raw.columns]
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+              .option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False))
+    cols = reader.csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in (*cols, _RECORD)]
+    raw = reader.option("columnNameOfCorruptRecord", _RECORD).schema(T.StructType(fields)).csv(path)
+    bare = F.regexp_replace(F.coalesce(F.col(_RECORD), F.lit("")), '"([^"]|"")*"', "")
     df = raw.select(
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in cols],
+        # the last term holds always: Spark reads the record of a row only beside a column of it
+        ((F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(cols))
+         & (F.length(F.coalesce(F.col(f"`{cols[0]}`"), F.lit(""))) >= 0)).alias(SURPLUS),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mid"),
@@ -77,7 +97,7 @@ def read_posting_csv(spark: SparkSession, path: str, *, multi_line: bool = True)
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     return (
         df.join(offsets, ["_file", "_block"])
-        .select(*[F.col(f"`{c}`") for c in cols],
+        .select(*[F.col(f"`{c}`") for c in cols], SURPLUS,
                 (F.col("_offset") + F.col("_mid") - F.col("_min_mid") + 1).alias("source_row_number"),
                 F.col("_file").alias("source_file"))
     )
@@ -103,13 +123,13 @@ def _salary_bad(c: str) -> Column:
 def rejection_reason(df: DataFrame) -> Column:
     """First rejection reason of a canonical row, null when the row is valid.
 
-    Order: missing column, blank required field, bad date, contract failures
+    Order: missing column, surplus fields, blank required field, bad date, contract failures
     (blank location/description, unparsable salary), empty after cleaning.
     """
     for c in REQUIRED_COLUMNS:
         if c not in df.columns:
             return F.lit(f"MISSING_REQUIRED_FIELD:{c}")
-    checks: list[Column] = []
+    checks: list[Column] = [_surplus(df)]
     for c in NON_BLANK_COLUMNS:
         checks.append(F.when(is_blank(c), F.lit(f"EMPTY_REQUIRED_FIELD:{c}")))
     checks.append(F.when(~posted_at_valid("posted_at"), F.lit("INVALID_DATE:posted_at")))
@@ -144,7 +164,7 @@ def to_raw_posting(valid: DataFrame) -> DataFrame:
             out.append((v.try_cast(SALARY_TYPE) if c.startswith("salary") else v).alias(c))
         else:
             out.append(F.lit(None).cast(SALARY_TYPE if c.startswith("salary") else "string").alias(c))
-    keep = [c for c in valid.columns if c not in REQUIRED_COLUMNS + OPTIONAL_COLUMNS + ("source_row_number", "reason")]
+    keep = [c for c in valid.columns if c not in REQUIRED_COLUMNS + OPTIONAL_COLUMNS + ("source_row_number", "reason", SURPLUS)]
     return valid.select(*out, *keep)
 
 
@@ -164,7 +184,7 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
 def quarantine_rows(rejected: DataFrame, job_id: str | Column, raw_columns: list[str] | None = None,
                     row_number: str = "source_row_number") -> DataFrame:
     """Rejected-row sink rows: job, row number, raw payload as JSON, reason."""
-    cols = raw_columns or [c for c in rejected.columns if c not in (row_number, "reason", "source_file")]
+    cols = raw_columns or [c for c in rejected.columns if c not in (row_number, "reason", "source_file", SURPLUS)]
     job = F.lit(job_id) if isinstance(job_id, str) else job_id
     return rejected.select(
         job.alias("pipeline_job_id"),
@@ -188,7 +208,7 @@ def adapt_foreign(df: DataFrame) -> DataFrame:
     """
     present = set(df.columns)
     staged: dict[str, Column] = {}
-    ordered_checks: list[Column] = []
+    ordered_checks: list[Column] = [_surplus(df)]
     missing_reason: str | None = None
     for target, candidates in FOREIGN_REQUIRED_CANDIDATES.items():
         src = next((c for c in candidates if c in present), None)

@@ -323,13 +323,19 @@ def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q34: part-name queries (three spellings) against role titles and aliases."""
+    """Q34: part-name queries (three spellings) against role titles and aliases; some parts ask for a
+    role title, a title with its last letter lost, or a word that no role has."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_name")
-    k = F.col("p_partkey") % 3
-    q = p.select((F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit("!")))
+    k, odd = F.col("p_partkey") % 3, F.col("p_partkey") % 37
+    titles = F.array(*[F.lit(t) for _, t in D.TEST_ROLES])
+    title = F.element_at(titles, (F.col("p_partkey") % len(D.TEST_ROLES) + 1).cast("int"))
+    q = p.select((F.when(odd == 5, title).when(odd == 6, title.substr(F.lit(1), F.length(title) - 1))
+                  .when(odd == 7, F.lit("zzqx"))
+                  .when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit("!")))
                   .otherwise(F.regexp_replace("p_name", " ", "-"))).alias("query"))
-    targets = student.search_targets(D.roles_df(spark), D.role_aliases_df(spark))
-    return student.role_search(q, targets)
+    roles, aliases = D.roles_df(spark), D.role_aliases_df(spark)
+    return student.role_search(q, student.search_targets(roles, aliases),
+                               top_roles=student.top_active_roles(roles, aliases))
 
 
 def retention_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

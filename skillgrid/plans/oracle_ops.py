@@ -449,9 +449,11 @@ def _trigrams(x: str) -> str:
 ROLE_SEARCH_TIERS = f"""
 WITH qs AS (
   SELECT DISTINCT {clean('query')} AS query_key FROM (
-    SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || '!'
-                ELSE replace(p_name, ' ', '-') END AS query
-    FROM part)
+    SELECT CASE WHEN p_partkey % 37 = 5 THEN title WHEN p_partkey % 37 = 6 THEN left(title, length(title) - 1)
+                WHEN p_partkey % 37 = 7 THEN 'zzqx' WHEN p_partkey % 3 = 0 THEN upper(p_name)
+                WHEN p_partkey % 3 = 1 THEN '  ' || p_name || '!' ELSE replace(p_name, ' ', '-') END AS query
+    FROM part JOIN (SELECT title, row_number() OVER (ORDER BY role_id) - 1 AS n FROM {_RO}) t
+      ON t.n = p_partkey % {len(TEST_ROLES)})
 ),
 tg AS (
   SELECT role_id, 'title' AS kind, {clean('title')} AS target_key FROM {_RO}
@@ -506,6 +508,11 @@ weak AS (
   WHERE score = m
 )
 SELECT * FROM strong UNION ALL SELECT * FROM weak
+UNION ALL
+SELECT query_key, role_id, 0.0::DOUBLE, 'top_active'
+FROM qs, (SELECT r.role_id FROM {_RO} r LEFT JOIN {_RA} a ON a.role_id = r.role_id
+          GROUP BY r.role_id ORDER BY count(a.role_id) DESC, r.role_id LIMIT 3)
+WHERE query_key NOT IN (SELECT query_key FROM best)
 """
 
 RETENTION_VERSIONS = f"""

@@ -215,7 +215,7 @@ WITH {_PUBLISHED.strip()},
 {_SNAP.strip()},
 {_SIGNALS.strip()}
 SELECT role_id, skill_id, requirement_version, period_month, decay_rate, confidence, detected_at FROM flag
-WHERE is_active AND role_id = 7
+WHERE is_active AND role_id = 8
 """
 
 _INCOMING = _snapshots(
@@ -279,8 +279,8 @@ QUERIES = {
     "published_requirements": PUBLISHED_REQUIREMENTS,
     "published_snapshots": PUBLISHED_SNAPSHOTS,
     "published_signals": PUBLISHED_SIGNALS,
-    "prepared_role_requirements": PREPARED_REQUIREMENTS + " AND role_id = 7",
-    "prepared_role_snapshots": PREPARED_SNAPSHOTS + " AND role_id = 7",
+    "prepared_role_requirements": PREPARED_REQUIREMENTS + " AND role_id = 8",
+    "prepared_role_snapshots": PREPARED_SNAPSHOTS + " AND role_id = 8",
     "active_role_signals": ACTIVE_ROLE_SIGNALS,
     "snapshot_publish_diff": SNAPSHOT_PUBLISH_DIFF,
     "insert_or_get": INSERT_OR_GET,

@@ -29,7 +29,7 @@ from skillgrid.sources.tables import posting_rows
 
 STORED_BEFORE = dt.date(1998, 1, 1)
 INCOMING_FROM = dt.date(1997, 1, 1)
-PREPARED_ROLE = 7  # of the reads for one role
+PREPARED_ROLE = 8  # of the reads for one role
 
 
 def _run_dataset(status: str = "dataset_id", month: str = "period_month"):

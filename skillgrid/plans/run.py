@@ -114,7 +114,7 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
 def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, role_aliases, layout,
          period_month, depth, threshold, dry_run) -> dict:
     rows = materialize(spark, ingest.read_posting_csv(spark, csv_path), "run-rows")
-    raw_cols = [c for c in rows.columns if c not in ("source_row_number", "source_file")]
+    raw_cols = [c for c in rows.columns if c not in ("source_row_number", "source_file", ingest.SURPLUS)]
     staged = ingest.adapt_foreign(rows) if layout == "foreign" else ingest.validate_postings(rows)
     valid, rejected = ingest.split_valid(staged)
     if layout == "foreign":

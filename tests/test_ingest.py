@@ -126,3 +126,39 @@ def test_row_numbers_exact_across_splits(spark, scratch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {i: i for i in range(1, 2001)}
+
+
+def test_rows_with_surplus_fields_are_refused(spark, scratch):
+    path = os.path.join(scratch, "s.csv")
+    good = "s,t,c,l,2026-05-01,d,u"
+    lines = ["external_id,source,title,company,location,posted_at,description,url", f"1,{good}", f"2,{good},extra",
+             f"3,{good},", f"4,{good},,,", '5,s,t,c,l,2026-05-01,"a, b ""q"", c",u', "6,s,t,c,l,2026-05-01,d",
+             f'7,{good},"x, y"', '8,s,"two\nlines, here",c,l,2026-05-01,d,u', f"9,{good}"]
+    with open(path, "w", newline="") as f:
+        f.write("\n".join(lines) + "\n")
+    rows = ingest.read_posting_csv(spark, path)
+    got = {r.external_id: r for r in ingest.validate_postings(rows).collect()}
+    assert {k: r.source_row_number for k, r in got.items()} == {str(i): i for i in range(1, 10)}
+    assert {k for k, r in got.items() if r.reason == "MALFORMED_ROW:surplus_fields"} == {"2", "3", "4", "7"}
+    assert got["6"].reason == "EMPTY_REQUIRED_FIELD:url" and got["5"].reason is None and got["8"].reason is None
+    assert got["5"].description == 'a, b "q", c'
+    valid, rejected = ingest.split_valid(ingest.validate_postings(rows))
+    assert ingest.SURPLUS not in ingest.to_raw_posting(valid).columns
+    assert "surplus" not in ingest.quarantine_rows(rejected, "j").first().raw_payload
+    assert rows.select("source_row_number", "surplus_fields").where("surplus_fields").count() == 4  # pruned reads agree
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, scratch):
+    body = [[str(i), "s", "t", "c", "l", "2026-05-01", "d" * 50, "u", ""] for i in range(30_000)]
+    body[12_345] += ["one more"]
+    path = write_csv(scratch, "big.csv", HEADER, body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        df = ingest.read_posting_csv(spark, path, multi_line=False)
+        assert df.select("source_row_number", "external_id", "surplus_fields").where(
+            "source_row_number <> external_id + 1").count() == 0
+        assert [r.external_id for r in df.where("surplus_fields").collect()] == ["12345"]
+        assert spark.read.option("header", True).csv(path).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
