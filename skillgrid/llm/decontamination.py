@@ -236,10 +236,13 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
     Columns: id, item, share, answer, cosine, word (first word of the window).
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((items, latent))  # block size is bounded; the map is of fixed size
+    # block size is bounded; the map is of fixed size.  Plain lists and arrays: a broadcast class would be
+    # sent by name, and executors need not have this package
+    shared = sc.broadcast((items.numbers, items.words, items.windows, items.places, latent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, place = shared.value
+        *parts, place = shared.value
+        block = Items(*parts)
         hasher = WordHasher(drop=PUNCTUATION)
         masks = [_masks(w) for w in block.words]
         answers = [_masks(w[len(w) - max(1, round(len(w) * rules.answer_part)):]) for w in block.words]
