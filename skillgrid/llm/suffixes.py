@@ -8,6 +8,11 @@ anchors, and of these only those whose k-gram occurs elsewhere.
 * Map: each task sorts its suffixes into runs, front-codes them (the length of
   the prefix shared with the previous one, then the rest) and cuts them by a
   second hash of the k-gram, so that all suffixes of a k-gram meet.
+* Equal contexts in one run are repeats of each other: their places travel with
+  the run, and one of them is sorted on.
+* A k-gram with very many anchors is split: strings whose anchor lies within a
+  range of distances from their start share all bytes that this range leaves
+  certain, on both sides of the k-gram, and a hash of these deals them to groups.
 * Reduce: the runs of a part are merged by a loser tree that carries known
   common prefixes and compares bytes beyond them only.
 * The merged order gives the prefix lengths shared by neighbours; with the
@@ -19,8 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,9 @@ GRAM = 96
 RUN_BYTES = 8 << 20  # of the contexts in one sorted run
 RANGE_SUFFIXES = 20_000  # aimed at, for one merge
 CELLS = 1 << 22  # of the class matrix held at once
+HOT_GRAM = 4_000  # anchors of one k-gram; beyond, they are split by the bytes around it
+HOT_PIECES = 8  # that the distances from string start to anchor are then cut into
+RUN_COLUMNS = ["part", "numbers", "rest", "left", "owners", "places", "repeat_owners", "repeat_places"]
 
 
 class Anchors:
@@ -224,17 +232,34 @@ def decode_run(numbers: bytes, rest: bytes, left: bytes, owners: bytes, places:
             [owners[i * width:(i + 1) * width] for i in range(len(shared))], np.frombuffer(places, np.int64).tolist())
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[list[tuple[bytes, bytes, bytes, int, int]]]:
-    """Unsorted runs of (key, left, row key, place, k-gram hash) of the listed anchors, of bounded size."""
+def _pieces(raw: bytes, kh: int, at: int, far: int, near: int, span: int,
+            gram: int) -> Iterator[tuple[int, int, int]]:
+    """(group, far, near): the starts of a frequent k-gram's anchor by ranges of their distance to it.
+
+    A string that starts ``d`` bytes left of the anchor, ``low <= d <= high``, holds the ``low``
+    bytes left of it and ``span - high`` from it on, so equal strings have equal groups.
+    """
+    step = -(-(span - gram + 1) // HOT_PIECES)
+    for low in range(near - near % step, far + 1, step):
+        high = min(low + step - 1, span - gram)
+        known = raw[at - low:at + span - high]
+        group = hashlib.blake2b(known, digest_size=8, key=low.to_bytes(4, "big")).digest()
+        yield int.from_bytes(group, "big") ^ kh & 0xFFFFFFFFFFFFFFFF, min(far, high), max(near, low)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[list[tuple[bytes, bytes, bytes, int]]]:
+    """Unsorted runs of (group and key, left, row key, place) of the listed anchors, of bounded size."""
     out, size = [], 0
     for b in batches:
-        for rk, body, hashes, places in zip(*(b.column(i) for i in range(4))):
+        for rk, body, hashes, places, hot in zip(*(b.column(i) for i in range(5))):
             raw, owner = body.as_py().encode("utf-8", "replace"), rk.as_py()
-            for kh, place in sorted(set(zip(hashes.as_py(), places.as_py()))):
+            for kh, place, often in zip(hashes.as_py(), places.as_py(), hot.as_py()):
                 at, far, near = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
-                key = (kh & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[at:at - near + span]
-                out.append((key, raw[at - far:at][::-1], owner, place, kh))
-                size += span + far - near
+                whole = ((kh & 0xFFFFFFFFFFFFFFFF, far, near),)
+                for group, f, n in _pieces(raw, kh, at, far, near, span, gram) if often else whole:
+                    out.append((group.to_bytes(8, "big") + raw[at:at - n + span], raw[at - f:at][::-1], owner,
+                                at << 32 | f << 16 | n))
+                    size += span + f - n
             if size >= RUN_BYTES:
                 yield out
                 out, size = [], 0
@@ -247,39 +272,39 @@ def _spans(owners: list[bytes], starts: list[int], ends: list[int]) -> pa.Record
                                        pa.array(ends, pa.int64())], ["rk", "start", "end"])
 
 
-def _local_repeats(span: int):
-    """Spans of anchors whose whole context occurs more than once in a run: repeated at every start."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in _ranges(batches, span):
-            seen = Counter((r[0], r[1]) for r in records)
-            found = [(r[2], r[3]) for r in records if seen[r[0], r[1]] > 1]
-            yield _spans([o for o, _ in found], [(p >> 32) - (p >> 16 & 0xFFFF) for _, p in found],
-                         [(p >> 32) - (p & 0xFFFF) + span for _, p in found])
-    return run
-
-
-def _part(kh: np.ndarray, parts: int) -> np.ndarray:
-    """Merge group of each k-gram.  An anchor is the least of many hashes, so its bits are mixed again to spread evenly."""
-    h = _mix(kh.view(np.uint64) + np.uint64(_MULT))
+def _part(group: np.ndarray, parts: int) -> np.ndarray:
+    """Merge part of each group.  An anchor is the least of many hashes, so its bits are mixed again to spread evenly."""
+    h = _mix(group + np.uint64(_MULT))
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _sorted_runs(span: int, parts: int):
-    """One record for each distinct context, sorted, cut by k-gram and front-coded."""
+def _sorted_runs(span: int, gram: int, parts: int):
+    """One record for each distinct context, sorted, cut by group and front-coded; with it the owners and places of
+    all contexts that occur more than once in the run, which are repeated at every start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in _ranges(batches, span):
-            one = {(r[0], r[1]): r for r in records}
-            by_part: dict[int, list] = {}
-            rows = [one[key] for key in sorted(one)]
-            for r, part in zip(rows, _part(np.array([r[4] for r in rows], np.int64), parts).tolist()):
-                by_part.setdefault(part, []).append(r[:4])
-            coded = [encode_run(v) for v in by_part.values()]
+        for records in _ranges(batches, span, gram):
+            records.sort(key=lambda r: r[:2])
+            part_of = _part(np.array([int.from_bytes(r[0][:8], "big") for r in records], np.uint64), parts).tolist()
+            by_part: dict[int, tuple[list, list]] = {}
+            for (_, same), p in zip(groupby(records, key=lambda r: r[:2]), _firsts(records, part_of)):
+                one, *more = same
+                firsts, repeats = by_part.setdefault(p, ([], []))
+                firsts.append(one)
+                if more:
+                    repeats += [one, *more]
+            coded = [(*encode_run(firsts), b"".join(r[2] for r in repeats),
+                      np.array([r[3] for r in repeats], np.int64).tobytes()) for firsts, repeats in by_part.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(by_part), pa.int32()), *(pa.array([c[i] for c in coded], pa.binary()) for i in range(5))],
-                ["part", "numbers", "rest", "left", "owners", "places"])
+                [pa.array(list(by_part), pa.int32()),
+                 *(pa.array([c[i] for c in coded], pa.binary()) for i in range(len(RUN_COLUMNS) - 1))], RUN_COLUMNS)
     return run
 
 
+def _firsts(records: list[tuple], values: list) -> Iterator:
+    """The value of the first record of each context, of sorted records."""
+    return (v for i, v in enumerate(values) if i == 0 or records[i][:2] != records[i - 1][:2])
+
+
 def _cluster_spans(shared: list[int], lefts: list[bytes], places: list[int], span: int) -> list[tuple[int, int, int]]:
     """(member, start, end) of the repeated strings in a cluster of suffixes in sorted order.
 
@@ -326,10 +351,17 @@ def _cluster_spans(shared: list[int], lefts: list[bytes], places: list[int], spa
     return out
 
 
+def _repeat_spans(owners: bytes, places: bytes, span: int) -> pa.RecordBatch:
+    place = np.frombuffer(places, np.int64)
+    width = len(owners) // max(1, len(place))
+    at = place >> 32
+    return _spans([owners[i * width:(i + 1) * width] for i in range(len(place))],
+                  at - (place >> 16 & 0xFFFF), at - (place & 0xFFFF) + span)
+
+
 def _merge(span: int, gram: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        runs = [decode_run(*(table.column(c)[i].as_py() for c in ("numbers", "rest", "left", "owners", "places")))
-                for i in range(table.num_rows)]
+        runs = [decode_run(*(table.column(c)[i].as_py() for c in RUN_COLUMNS[1:6])) for i in range(table.num_rows)]
         taken = [0] * len(runs)
         found: tuple[list, list, list] = ([], [], [])
         group: list[tuple[int, int, int]] = []  # (shared with the previous, run, place in the run)
@@ -351,7 +383,9 @@ def _merge(span: int, gram: int):
             group.append((s, r, taken[r]))
             taken[r] += 1
         close()
-        return pa.Table.from_batches([_spans(*found)])
+        return pa.Table.from_batches([_spans(*found), *(
+            _repeat_spans(table.column("repeat_owners")[i].as_py(), table.column("repeat_places")[i].as_py(), span)
+            for i in range(table.num_rows))])
     return run
 
 
@@ -360,18 +394,19 @@ def repeated_spans(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, id_co
     """(rk, start, end): bytes of document rows that are covered by repeated strings of ``span`` bytes."""
     spark = docs.sparkSession
     anchors = _anchor_rows(docs, id_col, text_col, span, gram)
-    often = materialize(spark, anchors.groupBy("kh").count().where("count > 1").select("kh"), "repeated_grams")
-    listed = materialize(spark, anchors.join(often, "kh", "left_semi").groupBy("rk").agg(
-        F.collect_list("kh").alias("hashes"), F.collect_list("place").alias("places")), "anchor_lists")
-    total = listed.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    often = materialize(spark, anchors.groupBy("kh").count().where("count > 1").select(
+        "kh", (F.col("count") > HOT_GRAM).alias("hot")), "repeated_grams")
+    # a set: rows of equal id and text have one key, and each of them meets the anchors of one
+    listed = materialize(spark, anchors.join(often, "kh").groupBy("rk").agg(
+        F.collect_set(F.struct("kh", "place", "hot")).alias("anchors")).select(
+        "rk", *[F.col("anchors")[c].alias(c) for c in ("kh", "place", "hot")]), "anchor_lists")
+    total = listed.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
     parts = max(1, -(-total // RANGE_SUFFIXES))
     texts = docs.select(row_key(id_col, text_col).alias("rk"), text_of(text_col).alias("body"))
-    with_lists = texts.join(listed.hint("shuffle_hash"), "rk").select("rk", "body", "hashes", "places")
-    spans = "rk binary, start long, end long"
-    merged = with_lists.mapInArrow(
-        _sorted_runs(span, parts), "part int, numbers binary, rest binary, left binary, owners binary, places binary"
-    ).groupBy("part").applyInArrow(_merge(span, gram), spans)
-    return with_lists.mapInArrow(_local_repeats(span), spans).union(merged)
+    with_lists = texts.join(listed.hint("shuffle_hash"), "rk").select("rk", "body", "kh", "place", "hot")
+    return with_lists.mapInArrow(
+        _sorted_runs(span, gram, parts), "part int, " + ", ".join(f"{c} binary" for c in RUN_COLUMNS[1:])
+    ).groupBy("part").applyInArrow(_merge(span, gram), "rk binary, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id",
