@@ -3,15 +3,14 @@ summaries, re-ingest guard (K1, K10, K11, A11-A14, R4-R6, T4, X10).
 
 The ledger keeps the reference's transition rules (pending -> running ->
 complete/partial/failed; a repeated terminal call is a no-op; anything else is
-refused) but evaluates a whole event log at once.  Because a job only moves
-forward, the state after a log is decided by first-occurrence times, which
-are plain aggregates per job - no per-job sequential loop, and a job with a
-huge log is combined map-side like any other group.
+refused) but evaluates a whole event log at once, as one fold over segments of
+time: a segment is a map from the state a job enters it with, and a job's few
+maps are applied in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.functions.scores import MANUAL_REVIEW_BELOW, REPORT_WEIGHTS, round4, safe_rate
@@ -32,57 +31,130 @@ def register_datasets(files: DataFrame, *, path: str = "path", source: str = "so
                         F.col(source).alias("source"), F.lit("uploaded").alias("status"))
 
 
+def _milestones(log: DataFrame, job: str, ts: str, seq: str, action: str, segment: str, payload: Column) -> DataFrame:
+    """Per created job: the calls that moved it (``_c`` create, ``_r`` running, ``_k`` complete, ``_f`` failed).
+
+    One pass: a job's log is cut into segments of time.  A segment is reduced
+    to what it does to a job that enters it absent, pending or running (the
+    state machine as a map over states); a job's few maps are then applied in
+    order.  So a job with very many calls is spread over its segments.
+    """
+    at = F.struct(F.col(ts).alias("at"), F.col(seq).alias("seq"))
+    keys = [F.col(job), F.date_trunc(segment, F.col(ts).cast("timestamp")).alias("_seg")]
+    calls = log.select(*keys, at.alias("_at"), F.col(action).alias("_do"), payload.alias("_p"))
+    earlier = Window.partitionBy(job, "_seg").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(flag: Column) -> Column:
+        return F.coalesce(F.max(flag).over(earlier), F.lit(False))
+
+    run, done, fail = (F.col("_do") == x for x in ("running", "complete", "failed"))
+    calls = calls.withColumn("_created", before(F.col("_do") == "create")).withColumn("_ran", before(run)) \
+        .withColumn("_ran_created", before(run & F.col("_created")))
+
+    def first(flag: Column, value: Column) -> Column:
+        return F.min_by(value, F.when(flag, F.col("_at")))
+
+    call = F.struct("_at", "_p")
+    maps = calls.groupBy(job, "_seg").agg(
+        F.min(F.when(F.col("_do") == "create", F.col("_at"))).alias("c"),
+        F.min(F.when(run, F.col("_at"))).alias("r_pending"),
+        F.min(F.when(run & F.col("_created"), F.col("_at"))).alias("r_absent"),
+        first(fail, call).alias("f_pending"),
+        first(fail & F.col("_created"), call).alias("f_absent"),
+        first(done, call).alias("k_running"),
+        first(done & F.col("_ran"), call).alias("k_pending"),
+        first(done & F.col("_ran_created"), call).alias("k_absent"),
+        F.count_if(run).alias("n_pending"),
+        F.count_if(run & F.col("_created")).alias("n_absent"))
+    order = maps.schema["c"].dataType.simpleString()
+    kind = maps.schema["k_running"].dataType.simpleString()
+    start = F.struct(*[F.lit(None).cast(order).alias(c) for c in "cr"], *[F.lit(None).cast(kind).alias(c) for c in "kf"],
+                     F.lit(0).cast("bigint").alias("n"))
+
+    def step(acc: Column, m: Column) -> Column:
+        pending, running = acc["c"].isNotNull(), acc["r"].isNotNull()
+        return F.struct(
+            F.coalesce(acc["c"], m["c"]).alias("c"),
+            F.coalesce(acc["r"], F.when(pending, m["r_pending"]).otherwise(m["r_absent"])).alias("r"),
+            F.coalesce(acc["k"], F.when(running, m["k_running"]).when(pending, m["k_pending"])
+                       .otherwise(m["k_absent"])).alias("k"),
+            F.coalesce(acc["f"], F.when(pending, m["f_pending"]).otherwise(m["f_absent"])).alias("f"),
+            (acc["n"] + F.when(pending, m["n_pending"]).otherwise(m["n_absent"])).alias("n"))
+
+    # the segment comes first in the struct, so sorting the array puts a job's maps in order of time
+    folded = maps.groupBy(job).agg(F.sort_array(F.collect_list(F.struct(*[c for c in maps.columns if c != job])))
+                                   .alias("_maps")).select(job, F.aggregate("_maps", start, step).alias("_s"))
+    return folded.where(F.col("_s.c").isNotNull()).select(
+        job, F.col("_s.c").alias("_c"), F.col("_s.r").alias("_r"), F.col("_s.k").alias("_k"), F.col("_s.f").alias("_f"),
+        F.col("_s.n").alias("running_calls"))
+
+
+def _outcome() -> tuple[Column, Column, Column]:
+    """(status, started, ended) of a job's milestones, the latter two as (at, seq)."""
+    failed = F.col("_f").isNotNull() & (F.col("_k").isNull() | (F.col("_f._at") < F.col("_k._at")))
+    completed = F.col("_k").isNotNull() & ~failed
+    started = F.when(F.col("_r").isNotNull() & (~failed | (F.col("_r") < F.col("_f._at"))), F.col("_r"))
+    status = (F.when(completed, F.when(F.col("_k._p.rejected") > 0, F.lit("partial")).otherwise(F.lit("complete")))
+              .when(failed, F.lit("failed")).when(F.col("_r").isNotNull(), F.lit("running")).otherwise(F.lit("pending")))
+    return status, started, F.when(completed, F.col("_k._at")).when(failed, F.col("_f._at"))
+
+
 def ledger_state(log: DataFrame, *, job: str = "job_id", ts: str = "ts", seq: str = "seq",
-                 action: str = "action", rejected: str = "rejected_rows", output_version: str = "output_version",
-                 message: str = "message") -> DataFrame:
+                 action: str = "action", processed: str = "processed_rows", rejected: str = "rejected_rows",
+                 output_version: str = "output_version", message: str = "message", segment: str = "day") -> DataFrame:
     """Final ledger row per job from an action log.
 
     ``action`` is one of create / running / complete / failed.  A complete call
     counts only after a running call; failed counts from pending or running;
-    the first terminal call that is allowed wins and later calls are no-ops.
+    the first terminal call that is allowed wins and later calls change nothing
+    (``refused_calls`` lists those that are errors).  A job that was never
+    created has no row.  ``segment`` is the time unit the log is folded by.
     """
-    order = F.struct(F.col(ts), F.col(seq))
-    created = log.where(F.col(action) == "create").groupBy(job).agg(F.min(order).alias("_c"))
-    after = log.join(created, job).where(F.struct(F.col(ts), F.col(seq)) > F.col("_c"))
-    is_run = F.col(action) == "running"
-    is_fail = F.col(action) == "failed"
-    first = after.groupBy(job).agg(
-        F.min(F.when(is_run, order)).alias("_r"),
-        F.min_by(F.struct(F.col(ts).alias("at"), F.col(seq).alias("seq"), error_text(message, ERROR_MESSAGE_MAX).alias("msg")),
-                 F.when(is_fail, order)).alias("_f"),
-        F.count(F.when(is_run, F.lit(1))).alias("running_calls"),
-    )
-    progressed = created.join(first, job, "left")
-    done = (log.join(progressed.select(job, "_r"), job)
-            .where((F.col(action) == "complete") & F.col("_r").isNotNull()
-                   & (F.struct(F.col(ts), F.col(seq)) > F.col("_r")))
-            .groupBy(job).agg(
-                F.min_by(F.struct(F.col(ts).alias("at"), F.col(rejected).alias("rej"),
-                                  F.col(output_version).alias("ver"), F.col(seq).alias("seq")), order).alias("_k")))
-    s = progressed.join(done, job, "left")
-    fail_first = F.col("_f").isNotNull() & (
-        F.col("_k").isNull() | (F.struct("_f.at", "_f.seq") < F.struct("_k.at", "_k.seq")))
-    complete_first = F.col("_k").isNotNull() & ~fail_first
-    status = (F.when(complete_first, F.when(F.col("_k.rej") > 0, F.lit("partial")).otherwise(F.lit("complete")))
-              .when(fail_first, F.lit("failed"))
-              .when(F.col("_r").isNotNull(), F.lit("running"))
-              .otherwise(F.lit("pending")))
-    finished = F.when(complete_first, F.col("_k.at")).when(fail_first, F.col("_f.at"))
-    started = F.when(F.col("_r").isNotNull() & (
-        ~fail_first | (F.struct(F.col("_r")[ts], F.col("_r")[seq]) < F.struct("_f.at", "_f.seq"))), F.col("_r")[ts])
+    payload = F.struct(F.col(processed).alias("processed"), F.col(rejected).alias("rejected"),
+                       F.col(output_version).alias("version"), F.col(message).alias("message"))
+    s = _milestones(log, job, ts, seq, action, segment, payload)
+    status, started, ended = _outcome()
+    s = s.withColumn("status", status)
+    completed = F.col("status").isin("complete", "partial")
     return s.select(
         job,
-        status.alias("status"),
-        F.col("_c")[ts].alias("created_at"),
-        started.alias("started_at"),
-        finished.alias("finished_at"),
-        F.when(complete_first, F.col("_k.rej")).otherwise(F.lit(0)).cast("bigint").alias("rejected_rows"),
-        F.when(complete_first, F.col("_k.ver")).cast("int").alias("output_version"),
-        F.when(fail_first & ~complete_first, F.col("_f.msg")).alias("error_message"),
-        F.coalesce(F.col("running_calls"), F.lit(0)).alias("running_calls"),
+        "status",
+        F.col("_c.at").alias("created_at"),
+        started["at"].alias("started_at"),
+        ended["at"].alias("finished_at"),
+        F.when(completed, F.col("_k._p.processed")).otherwise(F.lit(0)).cast("bigint").alias("processed_rows"),
+        F.when(completed, F.col("_k._p.rejected")).otherwise(F.lit(0)).cast("bigint").alias("rejected_rows"),
+        F.when(completed, F.col("_k._p.version")).cast("int").alias("output_version"),
+        F.when(F.col("status") == "failed", error_text("_f._p.message", ERROR_MESSAGE_MAX)).alias("error_message"),
+        "running_calls",
     )
 
 
+def refused_calls(log: DataFrame, *, job: str = "job_id", ts: str = "ts", seq: str = "seq", action: str = "action",
+                  rejected: str = "rejected_rows", segment: str = "day") -> DataFrame:
+    """One row per call the ledger refuses, with the status it met.
+
+    ``from_status`` is null where the job did not exist yet.  Refused are: any
+    call to an absent job, running on a finished one, complete on a pending or
+    failed one, failed on a completed one.  A repeat of the terminal call that
+    was taken, and running on a running job, change nothing and are not listed.
+    """
+    status, started, ended = _outcome()
+    jobs = _milestones(log, job, ts, seq, action, segment, F.struct(F.col(rejected).alias("rejected"))).select(
+        F.col(job).alias("_job"), "_c", started.alias("_started"), ended.alias("_ended"), status.alias("_status"))
+    at = F.struct(F.col(ts).alias("at"), F.col(seq).alias("seq"))
+    met = (F.when(F.col("_c").isNull() | (at < F.col("_c")), F.lit(None).cast("string"))
+           .when(at > F.col("_ended"), F.col("_status"))
+           .when(at > F.col("_started"), F.lit("running")).otherwise(F.lit("pending")))
+    calls = log.select(job, seq, ts, action).where(F.col(action) != "create")
+    found = calls.join(jobs, F.col(job) == F.col("_job"), "left").withColumn("from_status", met)
+    refused = (F.col("from_status").isNull()
+               | ((F.col(action) == "running") & F.col("from_status").isin(*TERMINAL_STATUSES))
+               | ((F.col(action) == "complete") & F.col("from_status").isin("pending", "failed"))
+               | ((F.col(action) == "failed") & F.col("from_status").isin("complete", "partial")))
+    return found.where(refused).select(job, seq, ts, action, "from_status")
+
+
 def ledger_rule_violations(ledger: DataFrame) -> DataFrame:
     """Row-state rules of the ledger, as counts."""
     terminal = F.col("status").isin(*TERMINAL_STATUSES)

@@ -27,6 +27,7 @@ def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("event_type") == "purchase", F.lit("complete"))
               .otherwise(F.lit("failed")))
     return e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), action.alias("action"),
+                    (F.floor("value").cast("bigint") * 3).alias("processed_rows"),
                     (F.floor("value").cast("bigint") % 2).alias("rejected_rows"),
                     (F.floor("value").cast("int") + 1).alias("output_version"),
                     F.col("props").alias("message"))
@@ -42,6 +43,11 @@ def ledger_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ledger_rule_violations(run_ledger_status(spark, sf_dir))
 
 
+def ledger_refused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ledger call that is refused, with the status it met."""
+    return ops.refused_calls(_event_log(spark, sf_dir))
+
+
 def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
     return ops.outbox_first(e, aggregate_id="user_id", event_type="event_type", ts="ts", seq="event_id",

@@ -12,15 +12,19 @@ from skillgrid.sources.dimensions import (
 
 # ---------------------------------------------------------------- ledger / outbox
 
-_LEDGER = f"""
+_LOG = """
 log AS (
   SELECT user_id AS job_id, ts, event_id AS seq,
          CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type IN ('view', 'click') THEN 'running'
               WHEN event_type = 'purchase' THEN 'complete' ELSE 'failed' END AS action,
+         CAST(floor(value) AS BIGINT) * 3 AS processed_rows,
          CAST(floor(value) AS BIGINT) % 2 AS rejected_rows, CAST(floor(value) AS INTEGER) + 1 AS output_version,
          props AS message
   FROM events
-),
+)"""
+
+_LEDGER = f"""
+{_LOG.strip()},
 cr AS (
   SELECT job_id, ts AS c_ts, seq AS c_seq FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS rn FROM log WHERE action = 'create')
@@ -42,15 +46,15 @@ fa AS (
   WHERE rn = 1
 ),
 co AS (
-  SELECT job_id, k_ts, k_seq, k_rej, k_ver FROM (
-    SELECT l.job_id, l.ts AS k_ts, l.seq AS k_seq, l.rejected_rows AS k_rej, l.output_version AS k_ver,
+  SELECT job_id, k_ts, k_seq, k_proc, k_rej, k_ver FROM (
+    SELECT l.job_id, l.ts AS k_ts, l.seq AS k_seq, l.processed_rows AS k_proc, l.rejected_rows AS k_rej, l.output_version AS k_ver,
            row_number() OVER (PARTITION BY l.job_id ORDER BY l.ts, l.seq) AS rn
     FROM log l JOIN ru ON l.job_id = ru.job_id
     WHERE l.action = 'complete' AND (l.ts > ru.r_ts OR (l.ts = ru.r_ts AND l.seq > ru.r_seq)))
   WHERE rn = 1
 ),
 s0 AS (
-  SELECT cr.job_id, cr.c_ts, ru.r_ts, ru.r_seq, fa.f_ts, fa.f_seq, fa.f_msg, co.k_ts, co.k_rej, co.k_ver,
+  SELECT cr.job_id, cr.c_ts, ru.r_ts, ru.r_seq, fa.f_ts, fa.f_seq, fa.f_msg, co.k_ts, co.k_proc, co.k_rej, co.k_ver,
          coalesce(nrun.running_calls, 0) AS running_calls,
          coalesce(fa.f_ts IS NOT NULL AND (co.k_ts IS NULL OR fa.f_ts < co.k_ts
                                            OR (fa.f_ts = co.k_ts AND fa.f_seq < co.k_seq)), FALSE) AS fail_first
@@ -65,6 +69,7 @@ ledger AS (
          c_ts AS created_at,
          CASE WHEN r_ts IS NOT NULL AND (NOT fail_first OR r_ts < f_ts OR (r_ts = f_ts AND r_seq < f_seq)) THEN r_ts END AS started_at,
          CASE WHEN co_first THEN k_ts WHEN fail_first THEN f_ts END AS finished_at,
+         CAST(CASE WHEN co_first THEN k_proc ELSE 0 END AS BIGINT) AS processed_rows,
          CAST(CASE WHEN co_first THEN k_rej ELSE 0 END AS BIGINT) AS rejected_rows,
          CAST(CASE WHEN co_first THEN k_ver END AS INTEGER) AS output_version,
          CASE WHEN fail_first AND NOT co_first THEN f_msg END AS error_message,
@@ -86,6 +91,32 @@ SELECT CAST(count_if((status IN ('complete', 'partial', 'failed')) <> (finished_
 FROM ledger
 """
 
+# call by call, as the ledger would take them
+LEDGER_REFUSED_CALLS = f"""
+WITH RECURSIVE {_LOG.strip()},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n FROM log),
+calls AS (
+  SELECT job_id, n, seq, ts, action, CAST(NULL AS VARCHAR) AS from_status,
+         CASE WHEN action = 'create' THEN 'pending' END AS to_status
+  FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT m.job_id, m.n, m.seq, m.ts, m.action, c.to_status,
+         CASE WHEN c.to_status IS NULL THEN (CASE WHEN m.action = 'create' THEN 'pending' END)
+              WHEN m.action = 'running' AND c.to_status = 'pending' THEN 'running'
+              WHEN m.action = 'complete' AND c.to_status = 'running'
+                THEN (CASE WHEN m.rejected_rows > 0 THEN 'partial' ELSE 'complete' END)
+              WHEN m.action = 'failed' AND c.to_status IN ('pending', 'running') THEN 'failed'
+              ELSE c.to_status END
+  FROM calls c JOIN numbered m ON m.job_id = c.job_id AND m.n = c.n + 1
+)
+SELECT job_id, seq, ts, action, from_status FROM calls
+WHERE action <> 'create'
+  AND CASE WHEN from_status IS NULL THEN TRUE
+           WHEN action = 'running' THEN from_status NOT IN ('pending', 'running')
+           WHEN action = 'complete' THEN from_status NOT IN ('running', 'complete', 'partial')
+           ELSE from_status NOT IN ('pending', 'running', 'failed') END
+"""
+
 _OUTBOX = """
 outbox AS (
   SELECT user_id AS aggregate_id, event_type, event_id AS event_seq, ts AS available_at, props AS payload,
@@ -544,6 +575,7 @@ WHERE rn = 1
 QUERIES = {
     "run_ledger_status": RUN_LEDGER_STATUS,
     "ledger_rule_violations": LEDGER_RULE_VIOLATIONS,
+    "ledger_refused_calls": LEDGER_REFUSED_CALLS,
     "outbox_first_event": OUTBOX_FIRST_EVENT,
     "outbox_pickup": OUTBOX_PICKUP,
     "run_quality_report": RUN_QUALITY_REPORT,

@@ -7,9 +7,9 @@ from skillgrid.operators import ops, quality, student
 
 def _log(spark, rows):
     t0 = dt.datetime(2026, 5, 1)
-    data = [(job, t0 + dt.timedelta(minutes=i), i, action, rej, 7, msg)
+    data = [(job, t0 + dt.timedelta(minutes=i), i, action, 10 * i, rej, 7, msg)
             for i, (job, action, rej, msg) in enumerate(rows)]
-    return spark.createDataFrame(data, "job_id string, ts timestamp, seq int, action string, rejected_rows int, "
+    return spark.createDataFrame(data, "job_id string, ts timestamp, seq int, action string, processed_rows int, rejected_rows int, "
                                        "output_version int, message string")
 
 
@@ -24,15 +24,63 @@ def test_ledger_transitions(spark):
     ])
     got = {r["job_id"]: r for r in ops.ledger_state(log).collect()}
     assert got["a"]["status"] == "complete" and got["a"]["output_version"] == 7
-    assert got["b"]["status"] == "partial" and got["b"]["rejected_rows"] == 2
+    assert got["b"]["status"] == "partial" and got["b"]["rejected_rows"] == 2 and got["b"]["processed_rows"] == 70
     assert got["c"]["status"] == "failed" and got["c"]["error_message"] == "boom" and got["c"]["started_at"] is None
     assert got["d"]["status"] == "running" and got["d"]["finished_at"] is None
     assert got["e"]["status"] == "pending"
     assert "f" not in got
+    refused = sorted((r["seq"], r["action"], r["from_status"]) for r in ops.refused_calls(log).collect())
+    assert refused == [(3, "failed", "complete"), (5, "complete", "pending"), (10, "running", "failed"),
+                       (14, "running", None)]
     v = ops.ledger_rule_violations(ops.ledger_state(log)).first().asDict()
     assert all(x == 0 for x in v.values())
 
 
+def _plain_ledger(rows):
+    """Call by call, as the rules state them."""
+    jobs, refused = {}, []
+    for job, ts, seq, action, processed, rejected, version, message in sorted(rows, key=lambda r: (r[1], r[2])):
+        j = jobs.get(job)
+        if action == "create":
+            jobs.setdefault(job, {"status": "pending", "started": None, "ended": None, "processed": 0, "error": None})
+        elif j is None:
+            refused.append((seq, None))
+        elif action == "running" and j["status"] in ("pending", "running"):
+            j["started"] = j["started"] or ts
+            j["status"] = "running"
+        elif action == "complete" and j["status"] == "running":
+            j.update(status="partial" if rejected else "complete", ended=ts, processed=processed)
+        elif action == "failed" and j["status"] in ("pending", "running"):
+            j.update(status="failed", ended=ts, error=message)
+        elif not (action == "complete" and j["status"] in ("complete", "partial")
+                  or action == "failed" and j["status"] == "failed"):
+            refused.append((seq, j["status"]))
+    return jobs, sorted(refused, key=str)
+
+
+def test_ledger_equals_a_plain_fold_in_any_segments(spark):
+    import random
+    rng = random.Random(4)
+    t0 = dt.datetime(2026, 5, 1)
+    rows = []
+    for seq in range(900):
+        job = rng.choice([*"abcdefghijklmnopqrstuvwxyz", "hot"] * 2 + ["hot"] * 10)
+        action = rng.choice(["create", "running", "complete", "failed"] + (["running"] * 9 if job == "hot" else []))
+        ts = t0 + dt.timedelta(hours=rng.randrange(200))
+        rows.append((job, ts, seq, action, rng.randrange(99), rng.randrange(2), 1, f"m{seq}"))
+    log = spark.createDataFrame(rows, "job_id string, ts timestamp, seq int, action string, processed_rows int, "
+                                      "rejected_rows int, output_version int, message string")
+    jobs, refused = _plain_ledger(rows)
+    for segment in ("hour", "day", "year"):
+        got = {r["job_id"]: {"status": r["status"], "started": r["started_at"], "ended": r["finished_at"],
+                             "processed": r["processed_rows"], "error": r["error_message"]}
+               for r in ops.ledger_state(log, segment=segment).collect()}
+        assert got == jobs
+        assert sorted(((r["seq"], r["from_status"]) for r in ops.refused_calls(log, segment=segment).collect()),
+                      key=str) == refused
+    assert ops.ledger_state(log.limit(0)).count() == 0 == ops.refused_calls(log.limit(0)).count()
+
+
 def test_outbox_first_wins(spark):
     t = dt.datetime(2026, 5, 1)
     ev = spark.createDataFrame([("j", "done", t + dt.timedelta(1), 2, "b"), ("j", "done", t, 1, "a"),
@@ -141,8 +189,9 @@ def test_ledger_tie_on_time_is_decided_by_sequence(spark):
     import datetime as dt
     t = [dt.datetime(2024, 1, 1, 0, m) for m in range(3)]
     log = spark.createDataFrame(
-        [("j", t[0], 1, "create", 0, None, None), ("j", t[1], 2, "running", 0, None, None),
-         ("j", t[2], 3, "failed", 0, None, "boom"), ("j", t[2], 4, "complete", 0, 7, None)],
-        "job_id string, ts timestamp, seq long, action string, rejected_rows long, output_version int, message string")
+        [("j", t[0], 1, "create", 0, 0, None, None), ("j", t[1], 2, "running", 0, 0, None, None),
+         ("j", t[2], 3, "failed", 0, 0, None, "boom"), ("j", t[2], 4, "complete", 5, 0, 7, None)],
+        "job_id string, ts timestamp, seq long, action string, processed_rows long, rejected_rows long, "
+        "output_version int, message string")
     row = ops.ledger_state(log).first()
     assert row["status"] == "failed" and row["error_message"] == "boom"
