@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skillgrid.plans.oracle_ops import OUTBOX_FIRST_EVENT
+from skillgrid.plans.oracle_text import POSTING_SURVIVORS
 from skillgrid.plans.sqlfrag import document_postings_cte, reason_case
 
 QUERIES = {
@@ -18,5 +19,9 @@ SELECT row_number, reason FROM r WHERE reason IS NOT NULL
 """,
     "due_outbox_stream": """
 SELECT event_id, user_id, event_type, ts FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00'
+""",
+    "posting_survivors_stream": POSTING_SURVIVORS,
+    "event_dedup_stream": """
+SELECT DISTINCT event_id, user_id, event_type FROM events
 """,
 }

@@ -1,7 +1,8 @@
 """Structured Streaming versions of the incremental parts.
 
 * T1 incremental ingest: a file-source stream whose micro-batches run the batch
-  operators through ``foreachBatch``.
+  operators through ``foreachBatch``; survivors of duplicate postings are kept
+  over all batches as keyed state.
 * T2 outbox: at most one row per (aggregate, event type); the streaming state
   is one row per key holding the earliest event (``min_by``), so the result does
   not depend on the order files or rows arrive in.
@@ -15,13 +16,14 @@ folders live under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
-from skillgrid.operators import ingest
+from skillgrid.operators import dedup, ingest
 from skillgrid.session import ensure_checkpoint_dir
 
 
@@ -38,6 +40,27 @@ def stage_files(df: DataFrame, folder: str, rows_per_file: int) -> str:
     return folder
 
 
+def arrival_batches(rows: int, batches: int, file_rows: int) -> tuple[int, int]:
+    """(rows a file, files a trigger) for a table of ``rows`` rows to arrive in about ``batches``
+    micro-batches: small tables in small files, large ones in many files of ``file_rows`` a trigger."""
+    per_batch = max(1, -(-rows // batches))
+    return min(file_rows, per_batch), max(1, per_batch // file_rows)
+
+
+def land_by_time(df: DataFrame, folder: str, ts: str, waves: int, rows_per_file: int) -> dt.timedelta:
+    """Write ``df`` to ``folder`` in ``waves`` equal slices of time, one after the other, so files
+    arrive in order of time; returns the length of a slice, which bounds how late a row can be."""
+    first, last = df.agg(F.min(ts), F.max(ts)).first()
+    if first is None:
+        df.write.mode("append").parquet(folder)
+        return dt.timedelta(seconds=1)
+    length = (last - first) / waves + dt.timedelta(microseconds=1)
+    for i in range(waves):
+        (df.where((F.col(ts) >= F.lit(first + i * length)) & (F.col(ts) < F.lit(first + (i + 1) * length)))
+         .write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(folder))
+    return length
+
+
 def file_stream(spark: SparkSession, folder: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(folder))
@@ -101,6 +124,19 @@ def due_events(stream: DataFrame, now, ts: str = "ts") -> DataFrame:
     return stream.where(F.col(ts) <= F.lit(now))
 
 
+def posting_survivors(stream: DataFrame) -> DataFrame:
+    """Survivors of canonical posting rows over all batches, as keyed state.
+
+    One state row per dedup key holds the valid row of lowest number seen so
+    far, without its long texts.  A repeat in a later batch changes nothing, an
+    earlier row that arrives late replaces its successor, so the final rows
+    equal the batch query in any order of arrival.
+    """
+    valid, _ = ingest.split_valid(ingest.validate_postings(stream))
+    normalized = ingest.normalize_postings(ingest.to_raw_posting(valid))
+    return dedup.dedup_postings(normalized.select(*dedup.POSTING_DEDUP_KEY, "source_row_number", "external_id"))
+
+
 def ingest_stream(stream: DataFrame, quarantine_dir: str, valid_dir: str, checkpoint: str,
                   job_id: str = "stream") -> int:
     """Validate each arriving batch of canonical rows; valid rows and quarantined

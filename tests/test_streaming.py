@@ -4,9 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from skillgrid.operators import ops
-from skillgrid.plans import stream_plans
-from skillgrid.sources.tables import table
+from skillgrid.operators import dedup, ops
+from skillgrid.plans import stream_plans, text_plans
+from skillgrid.sources.tables import document_postings, table
 from skillgrid.streaming import evidence as S
 from tests.conftest import SF
 
@@ -55,3 +55,43 @@ def test_dedup_within_watermark(spark):
     S.run_available_now(stream.select("event_id"), out, ckpt, "append")
     got = spark.read.parquet(out)
     assert got.count() == events.count() == got.select("event_id").distinct().count()
+
+
+def test_arrival_batches():
+    assert S.arrival_batches(10, 4, 1000) == (3, 1)
+    assert S.arrival_batches(40_000, 4, 1000) == (1000, 10)
+    assert S.arrival_batches(0, 4, 1000) == (1, 1)
+
+
+def test_survivors_over_batches_equal_the_batch_query(spark):
+    """Copies arrive in other batches and before the row that survives; a rerun changes nothing."""
+    rows = document_postings(spark, SF)
+    copies = rows.withColumn("source_row_number", F.col("source_row_number") + 100_000)
+    order = copies.unionByName(rows).orderBy(F.col("source_row_number").desc()).coalesce(1)
+    folder = S.stage_files(order, S.scratch_folder(spark, "t-postings"), 120)
+    out, ckpt = S.scratch_folder(spark, "t-surv"), S.scratch_folder(spark, "t-surv-ckpt")
+
+    def run():
+        n = S.run_available_now(S.posting_survivors(S.file_stream(spark, folder, rows.schema)), out, ckpt)
+        return n, sorted(map(str, S.latest_per_key(spark, out, list(dedup.POSTING_DEDUP_KEY)).select(
+            "source_row_number", "external_id", "posted_at").collect()))
+    batches, got = run()
+    want = sorted(map(str, text_plans.posting_survivors(spark, SF).select(
+        "source_row_number", "external_id", "posted_at").collect()))
+    assert batches >= 3 and got == want and run()[1] == got
+
+
+def test_event_dedup_state_expires_and_late_rows_go(spark):
+    t0 = dt.datetime(2026, 5, 1)
+    folder = S.scratch_folder(spark, "t-late")
+    for hours in ([0, 1, 1], [1, 30], [60, 31], [2]):  # the last is a new event, but older than the watermark
+        spark.createDataFrame([(h if h != 31 else 30, t0 + dt.timedelta(hours=h)) for h in hours],
+                              "id int, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+    stream = S.dedup_within_watermark(S.file_stream(spark, folder, "id int, ts timestamp"), ["id"], "ts", "10 hours")
+    out = S.scratch_folder(spark, "t-late-out")
+    q = (stream.writeStream.foreachBatch(S._batch_writer(out)).option("checkpointLocation", S.scratch_folder(spark, "t-late-c"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 30, 60]
+    state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert max(x["numRowsTotal"] for x in state) <= 3 and sum(x["numRowsDroppedByWatermark"] for x in state) == 1
