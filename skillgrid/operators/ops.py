@@ -214,6 +214,11 @@ def run_report(counters: DataFrame) -> DataFrame:
         F.count_if((st == "deduplicated") & ~F.col("flag")).alias("rows_unmatched_to_any_role"),
         F.count_if(st == "skill_match").alias("skill_matches_produced"),
     )
+    return with_rates(c)
+
+
+def with_rates(c: DataFrame) -> DataFrame:
+    """The report's three rates, score and review flag beside its counters."""
     v = safe_rate("rows_passing_validation", "rows_read_from_source")
     r = safe_rate("rows_matched_to_canonical_role", "rows_surviving_deduplication")
     s = F.least(safe_rate("skill_matches_produced", "rows_surviving_deduplication"), F.lit(1.0))

@@ -18,7 +18,7 @@ import datetime as dt
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
@@ -38,7 +38,7 @@ _SCHEMAS = {
     "skill_decay_signals": "role_id string, skill_id string, decay_rate double, confidence double, "
                            "detected_at timestamp, requirement_version int",
     "pipeline_job_log": "job_id string, dataset_id string, ts timestamp, seq bigint, action string, "
-                        "rejected_rows bigint, output_version int, message string",
+                        "processed_rows bigint, rejected_rows bigint, output_version int, message string",
     "app_events": "aggregate_id string, event_type string, payload string, status string, available_at timestamp",
 }
 
@@ -63,11 +63,21 @@ def _append(df: DataFrame, root: str, name: str, dry_run: bool, job_id: str | No
     (w.partitionBy(*by) if by else w).parquet(f"{root}/{name}")
 
 
+def _counted(spark: SparkSession, df: DataFrame, name: str, **flags: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` written once, and how many of its rows have each flag, counted while they are written.
+
+    The counts sit on the rows as written, above every shuffle, so a repeated task does not count twice.
+    """
+    seen = Observation()
+    out = materialize(spark, df.observe(seen, *[F.count_if(flag).alias(c) for c, flag in flags.items()]), name)
+    return out, {c: seen.get[c] for c in flags}
+
+
 def _log(spark: SparkSession, root: str, job_id: str, dataset_id: str, action: str, dry_run: bool,
-         rejected: int = 0, version: int | None = None, message: str | None = None) -> None:
+         processed: int = 0, rejected: int = 0, version: int | None = None, message: str | None = None) -> None:
     seq = _read(spark, root, "pipeline_job_log").count() + 1
-    row = [(job_id, dataset_id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), seq, action, rejected,
-            version, message)]
+    row = [(job_id, dataset_id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), seq, action, processed,
+            rejected, version, message)]
     _append(spark.createDataFrame(row, _SCHEMAS["pipeline_job_log"]), root, "pipeline_job_log", dry_run)
 
 
@@ -102,8 +112,8 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
               dry_run)
         raise
     status = "partial" if result["rows_rejected_by_validation"] > 0 else "complete"
-    _log(spark, root, job_id, dataset_id, "complete", dry_run, rejected=result["rows_rejected_by_validation"],
-         version=result["output_version"])
+    _log(spark, root, job_id, dataset_id, "complete", dry_run, processed=result["rows_read_from_source"],
+         rejected=result["rows_rejected_by_validation"], version=result["output_version"])
     _emit(spark, root, job_id, ops.EVENT_COMPLETED,
           {"type": ops.EVENT_COMPLETED, "pipelineJobId": job_id, "status": status,
            "outputVersion": result["output_version"]}, dry_run)
@@ -113,9 +123,16 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
 
 def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, role_aliases, layout,
          period_month, depth, threshold, dry_run) -> dict:
-    rows = materialize(spark, ingest.read_posting_csv(spark, csv_path), "run-rows")
+    rows = ingest.read_posting_csv(spark, csv_path)
+    if layout == "foreign":
+        rows = materialize(spark, rows, "run-rows")
+    ok = F.col("reason").isNull()
+    staged, read = _counted(spark, ingest.adapt_foreign(rows) if layout == "foreign" else ingest.validate_postings(rows),
+                            "run-staged", rows_read_from_source=F.lit(True), rows_passing_adapter_mapping=ok,
+                            rows_passing_validation=ok, rows_rejected_by_validation=~ok)
+    if layout != "foreign":
+        rows = staged.drop("reason")
     raw_cols = [c for c in rows.columns if c not in ("source_row_number", "source_file", ingest.SURPLUS)]
-    staged = ingest.adapt_foreign(rows) if layout == "foreign" else ingest.validate_postings(rows)
     valid, rejected = ingest.split_valid(staged)
     if layout == "foreign":
         rejected = rejected.select("source_row_number", "reason").join(rows, "source_row_number").select(
@@ -129,7 +146,10 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
     with_hint = survivors.join(hints, "external_id", "left").withColumn(
         "role_hint", F.coalesce(F.when(F.col("source_role_hint") != "", F.col("source_role_hint")),
                                 F.col("normalized_role_hint")))
-    resolved = materialize(spark, resolve.resolve_roles(with_hint, role_aliases), "run-resolved")
+    has_role = F.col("role_id").isNotNull()
+    resolved, deduplicated = _counted(
+        spark, resolve.resolve_roles(with_hint, role_aliases), "run-resolved", rows_surviving_deduplication=F.lit(True),
+        rows_matched_to_canonical_role=has_role, rows_unmatched_to_any_role=~has_role)
     matched = resolved.where(F.col("role_id").isNotNull()).select(
         F.col("normalized_source").alias("source"), F.col("normalized_title").alias("title"),
         F.col("normalized_company").alias("company"), "posted_at", "role_id", "external_id", "description")
@@ -137,28 +157,37 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
     keys = ["source", "title", "company", "posted_at"]
     stored = _read(spark, root, "job_postings")
     # the run's own rows are not visible to its reads: its job is not complete yet
-    got = materialize(spark, publish.insert_or_get(matched, stored, keys=keys), "run-postings")
-    if got.where("role_mismatch").limit(1).count() > 0:
+    got, postings = _counted(spark, publish.insert_or_get(matched, stored, keys=keys), "run-postings",
+                             job_postings_inserted=F.col("inserted"), job_postings_reused_existing=~F.col("inserted"),
+                             role_mismatches=F.col("role_mismatch"))
+    if postings.pop("role_mismatches") > 0:
         raise RuntimeError("a stored posting has a different role")
     _append(got.where("inserted").select(*keys, "role_id", "external_id", "posting_id",
                                          F.lit(dataset_id).alias("dataset_id")), root, "job_postings", dry_run, job_id)
 
     hits, _ = resolve.map_skills(got, skills, skill_aliases, posting="posting_id", text="description")
-    mapped = materialize(spark, hits.join(got.select("posting_id", "role_id", "posted_at"), "posting_id")
-                         .select("posting_id", "role_id", "skill_id", F.lit(float(depth)).alias("normalized_depth"),
-                                 "posted_at"), "run-skills")
-    _append(publish.new_rows(mapped.drop("posted_at"), _read(spark, root, "job_posting_skills"),
-                             ["posting_id", "role_id", "skill_id"]), root, "job_posting_skills", dry_run, job_id)
+    skill_key = ["posting_id", "role_id", "skill_id"]
+    known = _read(spark, root, "job_posting_skills").select(*skill_key).distinct().withColumn("stored", F.lit(True))
+    mapped, matches = _counted(
+        spark, hits.join(got.select("posting_id", "role_id", "posted_at"), "posting_id")
+        .select(*skill_key, F.lit(float(depth)).alias("normalized_depth"), "posted_at")
+        .join(known, skill_key, "left").withColumn("stored", F.col("stored").isNotNull()), "run-skills",
+        job_posting_skills_inserted=~F.col("stored"), job_posting_skills_reused_existing=F.col("stored"),
+        skill_matches_produced=F.lit(True))
+    _append(mapped.where(~F.col("stored")).drop("posted_at", "stored"), root, "job_posting_skills", dry_run, job_id)
+    mapped = mapped.drop("stored")
 
     role_totals = got.groupBy("role_id").agg(F.countDistinct("posting_id").alias("role_total"))
     per_run = requirements.aggregate_role_requirements(mapped, role_totals=role_totals, posting="posting_id")
     current = per_run.select("role_id", "skill_id", F.col("skill_posting_count").alias("evidence_count"))
-    evidence = materialize(spark, requirements.evidence_against_prior(
-        current, _read(spark, root, "pipeline_skill_evidence_summary"), threshold=threshold), "run-evidence")
+    evidence, written = _counted(spark, requirements.evidence_against_prior(
+        current, _read(spark, root, "pipeline_skill_evidence_summary"), threshold=threshold), "run-evidence",
+        evidence_rows_written=F.lit(True), pairs_meeting_threshold=F.col("threshold_met"))
     _append(evidence.select(F.lit(dataset_id).alias("dataset_id"), "role_id", "skill_id", "evidence_count",
                             "threshold_met"), root, "pipeline_skill_evidence_summary", dry_run, job_id)
-    to_publish = materialize(spark, requirements.publishable(per_run, evidence, threshold=threshold).select(
-        "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count"), "run-requirements")
+    to_publish, published = _counted(spark, requirements.publishable(per_run, evidence, threshold=threshold).select(
+        "role_id", "skill_id", "required_depth", "demand_weight", "evidence_count"), "run-requirements",
+        role_skill_requirements_rows_published=F.lit(True))
     quality.assert_rules(quality.publish_rules(to_publish, "role_skill_requirements"))
 
     month = period_month or valid_month(norm)
@@ -170,9 +199,9 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
 
     pairs = to_publish.select("role_id", "skill_id")
     inputs = demand.demand_inputs(mapped, pairs, posting="posting_id")
-    sdi = materialize(spark, demand.compute_demand_index(inputs, month, posting="posting_id").select(
+    sdi, snapshots = _counted(spark, demand.compute_demand_index(inputs, month, posting="posting_id").select(
         "role_id", "skill_id", "demand_index", F.lit(month).alias("snapshot_date"),
-        F.lit(version).alias("requirement_version")), "run-snapshots")
+        F.lit(version).alias("requirement_version")), "run-snapshots", sdi_snapshots_rows_published=F.lit(True))
     manifest = publish.read_manifest(spark, root, own=(version, dataset_id, month))
     stored_snap = _read(spark, root, "sdi_snapshots").select(*sdi.columns)
     plan = materialize(spark, publish.snapshot_publish_plan(sdi, stored_snap, manifest), "run-publish-plan")
@@ -182,22 +211,16 @@ def _run(spark, csv_path, root, dataset_id, job_id, *, skills, skill_aliases, ro
     _append(fresh, root, "sdi_snapshots", dry_run, job_id, by=("requirement_version",))
 
     history = trend.snapshot_history(stored_snap.unionByName(fresh), sdi)
-    signals = trend.detect_decay(history).select(
+    signals, decayed = _counted(spark, trend.detect_decay(history).select(
         "role_id", "skill_id", "decay_rate", "confidence", "detected_at",
-        F.lit(version).alias("requirement_version"))
+        F.lit(version).alias("requirement_version")), "run-signals", skill_decay_signals_rows_published=F.lit(True))
     _append(signals, root, "skill_decay_signals", dry_run, job_id, by=("requirement_version",))
 
-    counters = (ops.stage_counter(staged, "read", F.col("reason").isNull())
-                .unionByName(ops.stage_counter(resolved, "deduplicated", F.col("role_id").isNotNull()))
-                .unionByName(ops.stage_counter(mapped, "skill_match")))
-    report = ops.run_report(counters).first().asDict()
+    counts = {**read, **deduplicated, **postings, **matches, **written, **published, **snapshots, **decayed}
+    schema = ", ".join(f"{c} bigint" for c in counts)
+    report = ops.with_rates(spark.createDataFrame([tuple(counts.values())], schema)).first().asDict()
     report.update(
         output_version=version,
-        role_skill_requirements_rows_published=to_publish.count(),
-        evidence_rows_written=evidence.count(),
-        pairs_meeting_threshold=evidence.where("threshold_met").count(),
-        sdi_snapshots_rows_published=sdi.count(),
-        skill_decay_signals_rows_published=signals.count(),
         # by reason, a bounded list; the rows themselves are in the quarantine table
         rejected={r["reason"]: r["count"] for r in rejected.groupBy("reason").count().collect()},
     )

@@ -78,10 +78,40 @@ def test_rerun_same_file_counts_evidence_again(spark, scratch):
     r = run_ingestion(spark, valid, root, **_dims(spark))
     posts = spark.read.parquet(f"{root}/job_postings")
     assert posts.count() == 10  # postings reused on the natural key
+    assert (r["job_postings_inserted"], r["job_postings_reused_existing"]) == (0, 10)
+    assert (r["job_posting_skills_inserted"], r["job_posting_skills_reused_existing"]) == (0, 10)
+    assert r["rows_passing_adapter_mapping"] == r["rows_read_from_source"] == r["skill_matches_produced"] == 10
+    log = spark.read.parquet(f"{root}/pipeline_job_log").where("action = 'complete'").collect()
+    assert [x["processed_rows"] for x in log] == [10, 10]
     reqs = spark.read.parquet(f"{root}/role_skill_requirements").where(f"requirement_version = {r['output_version']}")
     assert sorted(x["evidence_count"] for x in reqs.collect()) == [10, 10]
 
 
+def test_report_holds_all_counters_of_what_was_written(spark, scratch):
+    root = os.path.join(scratch, "warehouse")
+    rows = _rows("05")
+    rows += [rows[0], rows[1][:3] + [""] + rows[1][4:]]  # a copy, and one without company
+    r = run_ingestion(spark, _write(scratch, "some.csv", rows), root, **_dims(spark))
+    written = {c: spark.read.parquet(f"{root}/{t}").count() for c, t in (
+        ("job_postings_inserted", "job_postings"), ("job_posting_skills_inserted", "job_posting_skills"),
+        ("evidence_rows_written", "pipeline_skill_evidence_summary"), ("sdi_snapshots_rows_published", "sdi_snapshots"),
+        ("role_skill_requirements_rows_published", "role_skill_requirements"),
+        ("rows_rejected_by_validation", "pipeline_rejected_rows"))}
+    assert {c: r[c] for c in written} == written
+    assert (r["rows_read_from_source"], r["rows_passing_validation"], r["rows_surviving_deduplication"]) == (12, 11, 10)
+    assert (r["rows_matched_to_canonical_role"], r["rows_unmatched_to_any_role"]) == (10, 0)
+    assert r["pairs_meeting_threshold"] == 2 and r["skill_decay_signals_rows_published"] == 0
+    assert r["validation_pass_rate"] == 0.9167
+
+
+def test_counts_of_empty_steps_are_zero(spark, scratch):
+    """No row matches a role: every later step is empty, and its counters are zero."""
+    rows = [x[:2] + ["Unknown Trade"] + x[3:] for x in _rows("05")]
+    r = run_ingestion(spark, _write(scratch, "none.csv", rows), os.path.join(scratch, "w"), **_dims(spark))
+    assert (r["rows_unmatched_to_any_role"], r["rows_matched_to_canonical_role"]) == (10, 0)
+    assert r["job_postings_inserted"] == r["evidence_rows_written"] == r["sdi_snapshots_rows_published"] == 0
+
+
 def test_dry_run_writes_nothing(spark, scratch):
     root = os.path.join(scratch, "dry")
     valid = _write(scratch, "valid_postings.csv", _rows("05"))
