@@ -1,13 +1,10 @@
 """Role and skill resolution.
 
-Dimensions (aliases, skill names) are small and fixed in size, so they are
-broadcast; the posting side is streamed once and never shuffled for matching.
-
 Skill signals are classified in a single pass: tier 1 (exact skill name) and
-tier 2 (exact alias) are broadcast hash joins; tier 3 (alias occurring inside
-the signal) is one broadcast nested-loop *left outer* join whose condition
-only fires for signals that tiers 1 and 2 missed.  Hits and unresolved
-signals therefore come out of the same stream.
+tier 2 (exact alias) are equi-joins on the key; tier 3 (alias occurring inside
+the signal) looks the signal's tokens and four-character pieces up in an index
+with one term per alias, carrying only ids, and checks the aliases met on the
+signal itself.  Hits and unresolved signals come out of the same rows.
 
 Alias guard (tier 3): an alias needs a whole-token match when one of its
 tokens has at most 3 characters or it is a collision word; otherwise a plain
@@ -19,7 +16,7 @@ guarded aliases use a look-around regex.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.functions.text import SIGNAL_DELIMITERS, normalize_key, strip_ws
@@ -135,37 +132,56 @@ def extract_signals(postings: DataFrame, *, posting: str, text: str) -> DataFram
 
 
 GRAM = 4
+#: every four characters of a text, overlapping; a look-ahead finds them in one pass over it
+_EVERY_GRAM = f"(?s)(?=(.{{{GRAM}}}))"
 
 
-def contained_aliases(keys: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Tier-3 matches (signal_key, t3_alias, t3_skill, t3_name) of distinct signal keys.
+def _alias_candidates(keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key_id, found): the aliases that may occur in a key, by an index of one term per alias.
 
-    Candidates come from equi-joins: on the first token, for a guarded alias
-    (which starts and ends at token bounds), and on up to ``GRAM`` characters
-    of the longest token for the others (which may lie inside a token); the
-    containment and the guard are then checked on them.  An alias without any
-    token character matches nothing.
+    A guarded alias starts at a token bound, so its term is its first token.
+    All words of any other alias have more than three characters, so its term
+    is four characters of it, from its longest token on where they fit.  A
+    key's terms are its tokens and its runs of four characters; only ids and
+    terms leave the key's row.
     """
-    k = F.col("signal_key")
-    tokens = keys.select("signal_key", F.explode(F.array_distinct(F.split(k, NON_TOKEN_RUN))).alias("_tok")).where("_tok <> ''")
-    places = tokens.select("signal_key", "_tok", F.explode(F.sequence(F.lit(1), F.length("_tok"))).alias("_at"))
-    grams = places.select("signal_key", F.explode(F.array(
-        *[F.substring("_tok", F.col("_at"), F.lit(n)) for n in range(1, GRAM + 1)])).alias("_piece"))
     parts = F.filter(F.split("normalized_alias", NON_TOKEN_RUN), lambda t: t != "")
-    first = F.get(parts, F.lit(0))
     longest = F.get(F.array_sort(F.transform(parts, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0))["t"]
-    t3 = aliases.select(
-        first.alias("_tok"), F.substring(longest, 1, GRAM).alias("_piece"),
-        F.col("normalized_alias").alias("t3_alias"), F.col("skill_id").alias("t3_skill"),
-        F.col("skill_name").alias("t3_name"), F.col("requires_boundary").alias("t3_guard"),
-        F.col("single_run").alias("t3_single"), F.col("pattern").alias("t3_pattern"))
-    whole, inside = t3.where("t3_guard").drop("_piece"), t3.where("not t3_guard").drop("_tok")
-    found = tokens.join(whole, "_tok").drop("_tok").unionByName(grams.join(inside, "_piece").drop("_piece"))
-    hit = F.contains(k, F.col("t3_alias")) & (
-        ~F.col("t3_guard")
-        | (F.col("t3_single") & F.array_contains(F.split(k, NON_TOKEN_RUN), F.col("t3_alias")))
-        | (~F.col("t3_single") & F.regexp_like(k, F.col("t3_pattern"))))
-    return found.where(hit).select("signal_key", "t3_alias", "t3_skill", "t3_name").distinct()
+    start = F.least(F.instr("normalized_alias", longest), F.length("normalized_alias") - (GRAM - 1))
+    index = aliases.select(
+        F.when(F.col("requires_boundary"), F.get(parts, F.lit(0)))
+        .otherwise(F.substring("normalized_alias", start, F.lit(GRAM))).alias("_term"),
+        F.struct("normalized_alias", "skill_id", "skill_name", "requires_boundary", "single_run", "pattern").alias("_alias"))
+    terms = keys.select("key_id", F.explode(F.concat(
+        F.split("signal_key", NON_TOKEN_RUN),
+        F.regexp_extract_all("signal_key", F.lit(_EVERY_GRAM), F.lit(1)))).alias("_term"))
+    return terms.join(index, "_term").groupBy("key_id").agg(F.collect_set("_alias").alias("found"))
+
+
+def _contained(key: Column, alias: Column) -> Column:
+    """The alias occurs in the key, at token bounds if its guard asks for that."""
+    name = alias["normalized_alias"]
+    return F.contains(key, name) & (
+        ~alias["requires_boundary"]
+        | (alias["single_run"] & F.array_contains(F.split(key, NON_TOKEN_RUN), name))
+        | (~alias["single_run"] & F.regexp_like(key, alias["pattern"])))
+
+
+def contained_aliases(signals: DataFrame, aliases: DataFrame, *, among: Column | None = None) -> DataFrame:
+    """``signals`` with a row for each alias contained in its key (J4), as the struct ``t3``; null without any.
+
+    Only signals that meet the condition ``among`` are looked at.  Candidates
+    meet the signals by a 64-bit id of the key and are checked on the key
+    itself, so keys that share an id do no harm.  An alias without any token
+    character matches nothing.
+    """
+    key_id = F.xxhash64("signal_key")
+    with_id = signals.withColumn("key_id", key_id if among is None else F.when(among, key_id))
+    in_words = aliases.where(F.regexp_like("normalized_alias", F.lit(f"[{TOKEN_CHARS}]")))
+    found = _alias_candidates(with_id.where(F.col("key_id").isNotNull()).select("key_id", "signal_key"), in_words)
+    return (with_id.join(found, "key_id", "left")
+            .withColumn("t3", F.explode_outer(F.filter("found", lambda a: _contained(F.col("signal_key"), a))))
+            .drop("key_id", "found"))
 
 
 def classify_signals(signals: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -180,18 +196,17 @@ def classify_signals(signals: DataFrame, names: DataFrame, aliases: DataFrame) -
     t2 = aliases.select(F.col("normalized_alias").alias("signal_key"),
                         F.col("skill_id").alias("t2_skill"), F.col("skill_name").alias("t2_name"))
     staged = signals.join(t1, "signal_key", "left").join(t2, "signal_key", "left")
-    still_open = staged.where(F.col("t1_skill").isNull() & F.col("t2_skill").isNull()).select("signal_key").distinct()
-    joined = staged.join(contained_aliases(still_open, aliases), "signal_key", "left")
+    joined = contained_aliases(staged, aliases, among=F.col("t1_skill").isNull() & F.col("t2_skill").isNull())
     keep = [c for c in signals.columns]
     return joined.select(
         *keep,
-        F.coalesce("t1_skill", "t2_skill", "t3_skill").alias("skill_id"),
-        F.coalesce("t1_name", "t2_name", "t3_name").alias("skill_name"),
+        F.coalesce("t1_skill", "t2_skill", "t3.skill_id").alias("skill_id"),
+        F.coalesce("t1_name", "t2_name", "t3.skill_name").alias("skill_name"),
         F.when(F.col("t1_skill").isNotNull(), F.lit("exact"))
-        .when(F.col("t2_skill").isNotNull() | F.col("t3_skill").isNotNull(), F.lit("alias")).alias("match_type"),
+        .when(F.col("t2_skill").isNotNull() | F.col("t3").isNotNull(), F.lit("alias")).alias("match_type"),
         F.when(F.col("t1_skill").isNotNull(), F.col("signal_key"))
         .when(F.col("t2_skill").isNotNull(), F.col("signal_key"))
-        .otherwise(F.col("t3_alias")).alias("match_key"),
+        .otherwise(F.col("t3.normalized_alias")).alias("match_key"),
     )
 
 

@@ -317,15 +317,20 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roadmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q33: top-3 gaps -> the active catalog items (parts of the brand, active
-    when p_size <= 45) the student has not bought yet (X5)."""
+    """Q33: top-3 gaps -> the active catalog items the student has not done yet.
+
+    An item is a brand in a size, so the catalog does not grow with the parts;
+    it is active up to size 45 and done when the student bought such a part."""
     ctx = PlanContext(spark, sf_dir)
     _, _, completed, _ = _student_inputs(ctx)
     pri = student.prioritized(_gaps(ctx))
-    catalog = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size").select(
-        F.col("p_brand").alias("skill_id"), F.col("p_partkey").alias("item_id"),
-        F.col("p_size").alias("difficulty"), (F.col("p_size") <= 45).alias("is_active"))
-    return student.roadmap(pri, catalog, completed)
+    item = F.concat_ws("/", "p_brand", "p_size").alias("item_id")
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size")
+    catalog = parts.select(F.col("p_brand").alias("skill_id"), item, F.col("p_size").alias("difficulty"),
+                           (F.col("p_size") <= 45).alias("is_active")).distinct()
+    done = (completed.withColumnRenamed("item_id", "p_partkey")
+            .join(parts.select("p_partkey", item), "p_partkey").select("student_id", "item_id").distinct())
+    return student.roadmap(pri, catalog, done)
 
 
 def role_search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

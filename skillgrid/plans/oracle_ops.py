@@ -460,8 +460,10 @@ FROM rd LEFT JOIN ver ON ver.student_id = rd.student_id
 ROADMAP = f"""
 WITH {_STUDENT.strip()},
 top AS (SELECT * FROM pri WHERE priority <= 3 AND gap_score > 0),
-catalog AS (SELECT p_brand AS skill_id, p_partkey AS item_id, p_size AS difficulty FROM part WHERE p_size <= 45),
-done AS (SELECT DISTINCT o_custkey AS student_id, l_partkey AS item_id FROM bought),
+catalog AS (SELECT DISTINCT p_brand AS skill_id, p_brand || '/' || p_size AS item_id, p_size AS difficulty
+  FROM part WHERE p_size <= 45),
+done AS (SELECT DISTINCT o_custkey AS student_id, p_brand || '/' || p_size AS item_id
+  FROM bought JOIN (SELECT p_partkey, p_size FROM part) ON p_partkey = l_partkey),
 mine AS (
   SELECT t.student_id, t.role_id, t.skill_id, t.priority, t.gap_score, c.item_id, c.difficulty
   FROM top t JOIN catalog c USING (skill_id)
