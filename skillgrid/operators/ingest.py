@@ -199,6 +199,17 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("pipeline_job_id").parquet(path)
 
 
+def validation_report(df: DataFrame, layout: str) -> DataFrame:
+    """One row for a frame in the foreign layout: required columns found and missing, rows valid and rejected."""
+    missing = [c for c, names in FOREIGN_REQUIRED_CANDIDATES.items() if not set(names) & set(df.columns)]
+    return adapt_foreign(df).agg(
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(F.col("reason").isNull()).alias("rows_valid"),
+        F.count_if(F.col("reason").isNotNull()).alias("rows_rejected"),
+    ).select(F.lit(layout).alias("layout"), F.lit(len(FOREIGN_REQUIRED_CANDIDATES) - len(missing)).alias("required_found"),
+             F.lit(",".join(missing)).alias("required_missing"), "rows_read", "rows_valid", "rows_rejected")
+
+
 def adapt_foreign(df: DataFrame) -> DataFrame:
     """Map a foreign-layout frame onto the canonical columns.
 

@@ -31,6 +31,11 @@ def register_datasets(files: DataFrame, *, path: str = "path", source: str = "so
                         F.col(source).alias("source"), F.lit("uploaded").alias("status"))
 
 
+def new_datasets(files: DataFrame, stored: DataFrame, **names: str) -> DataFrame:
+    """Registry rows of files whose dataset is not registered yet, each once however often it is asked for (K1)."""
+    return register_datasets(files, **names).distinct().join(stored.select("dataset_id"), "dataset_id", "left_anti")
+
+
 def _milestones(log: DataFrame, job: str, ts: str, seq: str, action: str, segment: str, payload: Column) -> DataFrame:
     """Per created job: the calls that moved it (``_c`` create, ``_r`` running, ``_k`` complete, ``_f`` failed).
 

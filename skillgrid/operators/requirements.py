@@ -131,6 +131,21 @@ def evidence_against_prior(current: DataFrame, prior_summary: DataFrame, *,
         "threshold_met", total >= threshold)
 
 
+def stored_already(evidence: DataFrame, stored: DataFrame, *,
+                   keys: tuple[str, ...] = ("pipeline_job_id", "role_id", "skill_id")) -> DataFrame:
+    """Evidence rows whose key has a stored row: summaries are written once, so a run with any must stop (K5)."""
+    return evidence.join(stored.select(*keys), list(keys), "left_semi")
+
+
+def evidence_summary(evidence: DataFrame, *, run: str) -> DataFrame:
+    """Per run: evidence rows, postings behind them, and pairs that meet the threshold or stay below."""
+    return evidence.groupBy(run).agg(
+        F.count(F.lit(1)).alias("evidence_rows"),
+        F.sum("evidence_count").alias("evidence_count"),
+        F.count_if("threshold_met").alias("pairs_meeting_threshold"),
+        F.count_if(~F.col("threshold_met")).alias("pairs_below_threshold"))
+
+
 def publishable(requirements: DataFrame, evidence: DataFrame, *, keys: tuple[str, ...] = ("role_id", "skill_id"),
                 threshold: int = EVIDENCE_THRESHOLD) -> DataFrame:
     """Requirement rows whose cumulative evidence reaches the threshold."""

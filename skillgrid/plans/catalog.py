@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skillgrid.plans import (
-    demand_plans, ops_plans, oracle_demand, oracle_ops, oracle_publish, oracle_stream, oracle_text, publish_plans,
-    stream_plans, text_plans,
+    demand_plans, ops_plans, oracle_demand, oracle_ops, oracle_publish, oracle_records, oracle_stream, oracle_text,
+    publish_plans, record_plans, stream_plans, text_plans,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ _MODULES = (
     (demand_plans, oracle_demand),
     (publish_plans, oracle_publish),
     (ops_plans, oracle_ops),
+    (record_plans, oracle_records),
     (stream_plans, oracle_stream),
 )
 

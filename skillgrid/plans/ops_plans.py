@@ -234,6 +234,8 @@ def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                             t("supplier").select(F.col("s_suppkey").alias("key")), ["key"], "lineitem.l_suppkey"),
         quality.orphan_keys(t("orders").select(F.col("o_custkey").alias("key")), ["key"],
                             t("customer").select(F.col("c_custkey").alias("key")), ["key"], "orders.o_custkey"),
+        quality.orphan_keys(t("embeddings").select(F.col("vec_id").alias("key")), ["key"],
+                            t("labels").select(F.col("doc_id").alias("key")), ["key"], "embeddings.unlabelled"),
         quality.orphan_keys(t("labels").select(F.col("doc_id").alias("key")), ["key"],
                             t("documents").select(F.col("doc_id").alias("key")), ["key"], "labels.doc_id"),
         dedup.missing_from(t("part").select(F.col("p_partkey").alias("key")),

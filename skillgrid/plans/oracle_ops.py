@@ -380,6 +380,8 @@ SELECT DISTINCT 'orders.o_custkey', o_custkey FROM orders WHERE NOT EXISTS (SELE
 UNION ALL
 SELECT DISTINCT 'labels.doc_id', doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
 UNION ALL
+SELECT DISTINCT 'embeddings.unlabelled', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL
 SELECT DISTINCT 'part.unused', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)
 """
 

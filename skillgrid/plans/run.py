@@ -40,10 +40,11 @@ _SCHEMAS = {
     "pipeline_job_log": "job_id string, dataset_id string, ts timestamp, seq bigint, action string, "
                         "processed_rows bigint, rejected_rows bigint, output_version int, message string",
     "app_events": "aggregate_id string, event_type string, payload string, status string, available_at timestamp",
+    "datasets": "dataset_id string, path string, source string, status string",
 }
 
 
-_LEDGER_TABLES = ("pipeline_job_log", "app_events", "datasets")
+_LEDGER_TABLES = ("pipeline_job_log", "datasets")
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -82,12 +83,16 @@ def _log(spark: SparkSession, root: str, job_id: str, dataset_id: str, action: s
 
 
 def _emit(spark: SparkSession, root: str, job_id: str, event_type: str, payload: dict, dry_run: bool) -> None:
+    """Write an event once.  A completed job's event is a row of the job, seen with the ledger row that completes it;
+    a failed job's event belongs to no job, so it is seen at once."""
     import json
     new = spark.createDataFrame(
         [(job_id, event_type, json.dumps(payload, separators=(",", ":")), "pending",
           dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))], _SCHEMAS["app_events"])
-    _append(publish.new_rows(new, _read(spark, root, "app_events"), ["aggregate_id", "event_type"]),
-            root, "app_events", dry_run)
+    fresh = publish.new_rows(new, _read(spark, root, "app_events"), ["aggregate_id", "event_type"])
+    owner = F.lit(job_id if event_type == ops.EVENT_COMPLETED else None).cast("string")
+    if not dry_run:
+        fresh.withColumn(publish.JOB, owner).write.mode("append").partitionBy(publish.JOB).parquet(f"{root}/app_events")
 
 
 def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: DataFrame, skill_aliases: DataFrame,
@@ -97,7 +102,7 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
     dataset_id = hashlib.sha256(csv_path.encode()).hexdigest()
     job_id = f"job-{uuid.uuid4().hex}"
     files = spark.createDataFrame([(csv_path, layout)], "path string, source string")
-    _append(ops.register_datasets(files), root, "datasets", dry_run)
+    _append(ops.new_datasets(files, _read(spark, root, "datasets")), root, "datasets", dry_run)
     _log(spark, root, job_id, dataset_id, "create", dry_run)
     _log(spark, root, job_id, dataset_id, "running", dry_run)
     try:
@@ -112,11 +117,12 @@ def run_ingestion(spark: SparkSession, csv_path: str, root: str, *, skills: Data
               dry_run)
         raise
     status = "partial" if result["rows_rejected_by_validation"] > 0 else "complete"
-    _log(spark, root, job_id, dataset_id, "complete", dry_run, processed=result["rows_read_from_source"],
-         rejected=result["rows_rejected_by_validation"], version=result["output_version"])
+    # the event first: a crash between the two leaves a job that is not complete and an event nobody sees
     _emit(spark, root, job_id, ops.EVENT_COMPLETED,
           {"type": ops.EVENT_COMPLETED, "pipelineJobId": job_id, "status": status,
            "outputVersion": result["output_version"]}, dry_run)
+    _log(spark, root, job_id, dataset_id, "complete", dry_run, processed=result["rows_read_from_source"],
+         rejected=result["rows_rejected_by_validation"], version=result["output_version"])
     result.update(job_id=job_id, dataset_id=dataset_id, terminal_status=status)
     return result
 
