@@ -222,6 +222,41 @@ def run_report(counters: DataFrame) -> DataFrame:
     return with_rates(c)
 
 
+#: counters of a whole run by stage: (stage, flagged rows or not, or all rows of it)
+RUN_COUNTERS = {
+    "rows_read_from_source": ("read", None),
+    "rows_passing_adapter_mapping": ("adapted", True),
+    "rows_passing_validation": ("read", True),
+    "rows_rejected_by_validation": ("read", False),
+    "rows_surviving_deduplication": ("deduplicated", None),
+    "rows_matched_to_canonical_role": ("deduplicated", True),
+    "rows_unmatched_to_any_role": ("deduplicated", False),
+    "job_postings_inserted": ("posting", True),
+    "job_postings_reused_existing": ("posting", False),
+    "skill_matches_produced": ("skill_match", None),
+    "job_posting_skills_inserted": ("posting_skill", True),
+    "job_posting_skills_reused_existing": ("posting_skill", False),
+    "evidence_rows_written": ("evidence", None),
+    "pairs_meeting_threshold": ("evidence", True),
+    "role_skill_requirements_rows_published": ("requirement", None),
+    "sdi_snapshots_rows_published": ("snapshot", None),
+    "skill_decay_signals_rows_published": ("signal", None),
+}
+
+
+def full_run_report(counters: DataFrame) -> DataFrame:
+    """All counters of a run with the report's rates, as one row.
+
+    ``counters`` is the union of ``stage_counter`` frames; a stage without rows
+    counts 0.  One aggregate, combined map-side.
+    """
+    def count(stage: str, flag: bool | None) -> Column:
+        at = F.col("stage") == stage
+        return F.count_if(at if flag is None else at & (F.col("flag") if flag else ~F.col("flag")))
+
+    return with_rates(counters.agg(*[count(*which).alias(name) for name, which in RUN_COUNTERS.items()]))
+
+
 def with_rates(c: DataFrame) -> DataFrame:
     """The report's three rates, score and review flag beside its counters."""
     v = safe_rate("rows_passing_validation", "rows_read_from_source")

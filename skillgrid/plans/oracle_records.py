@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skillgrid.plans import oracle_demand, oracle_ops, oracle_text
+from skillgrid.plans import oracle_demand, oracle_ops, oracle_publish, oracle_text
 from skillgrid.plans.oracle_demand import RATIO4
 from skillgrid.plans.sqlfrag import key
 
@@ -38,6 +38,27 @@ SELECT period_month, count(*) AS evidence_rows, CAST(sum(evidence_count) AS BIGI
 FROM ({oracle_demand.CUMULATIVE}) x GROUP BY period_month
 """
 
+RUN_COUNTERS = f"""
+WITH q AS ({oracle_ops.QUERIES["run_quality_report"]}),
+ad AS (SELECT count(*) AS n FROM ({oracle_text.QUERIES["adapter_projection"]}) a WHERE reason IS NULL),
+po AS (SELECT CAST(count_if(inserted) AS BIGINT) AS fresh, CAST(count_if(NOT inserted) AS BIGINT) AS old
+       FROM ({oracle_publish.INSERT_OR_GET}) p),
+ps AS (
+  SELECT CAST(count_if(dataset_id <> 'F') AS BIGINT) AS fresh, CAST(count_if(dataset_id = 'F') AS BIGINT) AS old FROM (
+    SELECT DISTINCT o_orderkey, o_orderstatus AS dataset_id, c_nationkey, p_brand
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
+    WHERE date_trunc('month', o_orderdate) = DATE '1995-06-01')
+),
+ev AS (SELECT count(*) AS n, CAST(count_if(threshold_met) AS BIGINT) AS met FROM ({RUN_EVIDENCE}) e),
+sn AS (SELECT count(*) AS n FROM ({oracle_demand.MONTHLY_SERIES}) s WHERE snapshot_date = DATE '1995-06-01'),
+sg AS (SELECT count(*) AS n FROM ({oracle_demand.DECAY_SIGNALS}) g)
+SELECT q.*, ad.n AS rows_passing_adapter_mapping, po.fresh AS job_postings_inserted, po.old AS job_postings_reused_existing,
+       ps.fresh AS job_posting_skills_inserted, ps.old AS job_posting_skills_reused_existing,
+       ev.n AS evidence_rows_written, ev.met AS pairs_meeting_threshold, ev.met AS role_skill_requirements_rows_published,
+       sn.n AS sdi_snapshots_rows_published, sg.n AS skill_decay_signals_rows_published
+FROM q, ad, po, ps, ev, sn, sg
+"""
+
 REQUIREMENTS_WITH_GIVEN_TOTALS = f"""
 WITH base AS ({oracle_demand.REQUIREMENTS}),
 given AS (
@@ -126,6 +147,7 @@ QUERIES = {
     "run_evidence": RUN_EVIDENCE,
     "evidence_rewrites": EVIDENCE_REWRITES,
     "job_evidence_summary": JOB_EVIDENCE_SUMMARY,
+    "run_counters": RUN_COUNTERS,
     "requirements_with_given_totals": REQUIREMENTS_WITH_GIVEN_TOTALS,
     "version_checks": VERSION_CHECKS,
     "review_actions": REVIEW_ACTIONS,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skillgrid.functions.text import name_based_id
 from skillgrid.operators import ingest, ops, quality, requirements, resolve, student, trend
-from skillgrid.plans import demand_plans, ops_plans
+from skillgrid.plans import demand_plans, ops_plans, publish_plans
 from skillgrid.sources import dimensions as D
 from skillgrid.sources.materialize import PlanContext
 from skillgrid.sources.tables import foreign_postings, table
@@ -66,6 +66,36 @@ def job_evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.evidence_summary(demand_plans.cumulative_evidence(spark, sf_dir), run="period_month")
 
 
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q38d: the report of a run with all its counters.
+
+    Rows up to the role come from the documents, postings from the insert-or-get
+    of the orders, and what is written from the evidence of one posting month;
+    a posting's skill is stored already when the posting came by file F."""
+    ctx = PlanContext(spark, sf_dir)
+    validated, _, resolved, hits = ops_plans._document_run(spark, sf_dir)
+    ok = F.col("reason").isNull()
+    month = demand_plans.evidence(ctx).where(F.col("period_month") == F.lit(RUN_MONTH))
+    runs = requirements.cumulative_evidence(
+        requirements.requirements_from_evidence(demand_plans.evidence(ctx), by=("period_month",)), run="period_month")
+    evidence = runs.where(F.col("period_month") == F.lit(RUN_MONTH))
+    series = demand_plans.series_of(ctx)
+    stages = [
+        ("read", validated, ok), ("adapted", ingest.adapt_foreign(foreign_postings(spark, sf_dir)), ok),
+        ("deduplicated", resolved, F.col("role_id").isNotNull()), ("skill_match", hits, None),
+        ("posting", publish_plans.insert_or_get(spark, sf_dir), F.col("inserted")),
+        ("posting_skill", month, F.col("dataset_id") != "F"),
+        ("evidence", evidence, F.col("threshold_met")), ("requirement", evidence.where("threshold_met"), None),
+        ("snapshot", series.where(F.col("snapshot_date") == F.lit(RUN_MONTH)), None),
+        ("signal", trend.detect_decay(series), None),
+    ]
+    out = None
+    for name, rows, flag in stages:
+        counted = ops.stage_counter(rows, name, flag)
+        out = counted if out is None else out.unionByName(counted)
+    return ops.full_run_report(out)
+
+
 def requirements_with_given_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q39: requirements by totals given for some roles (A2); roles given none are left out."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")

@@ -78,3 +78,15 @@ def test_completed_event_is_seen_with_the_ledger_row(spark, tmp_path):
 def test_dry_run_writes_no_event(spark, tmp_path):
     run._emit(spark, str(tmp_path / "w"), "j", ops.EVENT_COMPLETED, {}, True)
     assert publish.read_table(spark, str(tmp_path / "w"), "app_events") is None
+
+
+def test_full_report_counts_every_stage_and_absent_ones_as_zero(spark):
+    rows = spark.createDataFrame([("read", True), ("read", False), ("adapted", True), ("deduplicated", True),
+                                  ("posting", True), ("posting", False), ("posting", True), ("evidence", False)],
+                                 "stage string, flag boolean")
+    r = ops.full_run_report(rows).first()
+    assert len(ops.RUN_COUNTERS) == 17
+    assert (r.rows_read_from_source, r.rows_passing_validation, r.rows_rejected_by_validation) == (2, 1, 1)
+    assert (r.job_postings_inserted, r.job_postings_reused_existing) == (2, 1)
+    assert (r.evidence_rows_written, r.pairs_meeting_threshold, r.sdi_snapshots_rows_published) == (1, 0, 0)
+    assert (r.validation_pass_rate, r.role_match_rate) == (0.5, 1.0)
