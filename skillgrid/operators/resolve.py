@@ -132,6 +132,7 @@ def extract_signals(postings: DataFrame, *, posting: str, text: str) -> DataFram
 
 
 GRAM = 4
+BROADCAST_ALIASES = 50_000  # rows of a few short strings each, some 10 MB
 #: every four characters of a text, overlapping; a look-ahead finds them in one pass over it
 _EVERY_GRAM = f"(?s)(?=(.{{{GRAM}}}))"
 
@@ -155,6 +156,10 @@ def _alias_candidates(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     terms = keys.select("key_id", F.explode(F.concat(
         F.split("signal_key", NON_TOKEN_RUN),
         F.regexp_extract_all("signal_key", F.lit(_EVERY_GRAM), F.lit(1)))).alias("_term"))
+    # Spark's estimate of the terms is that of the text before it is exploded, so it would broadcast them
+    # rather than the index; an index counted to be small is sent, a larger one meets the terms by a shuffle
+    small = index.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+    index = F.broadcast(index) if small else index.hint("merge")
     return terms.join(index, "_term").groupBy("key_id").agg(F.collect_set("_alias").alias("found"))
 
 

@@ -8,6 +8,7 @@ below.  Their size is fixed by construction, which is what makes the explicit
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,21 +62,27 @@ TEST_ROLE_ALIASES = [
 ]
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Literal rows as a relation of known size (given as Arrow), so Spark can broadcast it by that size."""
+    columns = [field.split()[0] for field in schema.split(", ")]
+    return spark.createDataFrame(pa.table(dict(zip(columns, map(list, zip(*rows))))), schema)
+
+
 def skills_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEST_SKILLS, "skill_id string, name string, is_active boolean")
+    return _small(spark, TEST_SKILLS, "skill_id string, name string, is_active boolean")
 
 
 def skill_aliases_df(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(TEST_SKILL_ALIASES, "alias string, skill_id string")
+    df = _small(spark, TEST_SKILL_ALIASES, "alias string, skill_id string")
     return df.withColumn("normalized_alias", normalize_key("alias"))
 
 
 def roles_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEST_ROLES, "role_id string, title string")
+    return _small(spark, TEST_ROLES, "role_id string, title string")
 
 
 def role_aliases_df(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(TEST_ROLE_ALIASES, "alias string, role_id string, reviewed boolean")
+    df = _small(spark, TEST_ROLE_ALIASES, "alias string, role_id string, reviewed boolean")
     return df.withColumn("normalized_alias", normalize_key("alias"))
 
 
