@@ -9,6 +9,8 @@ sums are exact (decimal depth sums, integer counts) and divided once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,25 @@ from skillgrid.functions.scores import EVIDENCE_THRESHOLD, clip, demand_weight,
 # back to BigDecimal).  The unit is far below the 4 places that are published.
 DEPTH_UNITS = 1_000_000_000
 
+# Hits one task collapses.  Nearly every hit is a group of its own, so what a
+# task holds grows with its rows, some 0.5 kB each.
+HITS_PER_TASK = 200_000
+
 
 def posting_skill_evidence(mapped: DataFrame, *, by: tuple[str, ...] = (),
                            posting: str = "job_posting_id", role: str = "role_id",
                            skill: str = "skill_id", depth: str = "normalized_depth",
-                           posted_at: str | None = "posted_at") -> DataFrame:
+                           posted_at: str | None = "posted_at", n_hits: int | None = None) -> DataFrame:
     """Collapse hits to one row per (by, role, posting, skill): exact depth sums
-    (in units), depth count and the posting date.  Partial aggregation runs map-side, so a
-    posting with many lines for one skill is reduced before the shuffle."""
+    (in units), depth count and the posting date.
+
+    With ``n_hits``, about the number of hits, they are first laid out by
+    posting in partitions of ``HITS_PER_TASK``: the groups of one task then stay
+    as small however many hits there are, and the aggregate needs no other
+    shuffle.  Else a task holds the groups of as many hits as Spark gives it.
+    """
+    if n_hits is not None:
+        mapped = mapped.repartition(max(1, math.ceil(n_hits / HITS_PER_TASK)), posting)
     units = F.round(F.col(depth) * F.lit(float(DEPTH_UNITS))).cast("bigint")
     aggs = [F.sum(units).alias("depth_sum"), F.count(depth).alias("depth_n")]
     if posted_at and posted_at in mapped.columns:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from skillgrid.functions.scores import EVIDENCE_THRESHOLD
 from skillgrid.operators import demand, requirements, trend
 from skillgrid.sources.materialize import PlanContext
-from skillgrid.sources.tables import mapped_fact
+from skillgrid.sources.tables import mapped_fact, table
 
 SNAPSHOT_DATE = dt.date(1995, 6, 1)
 CURRENT_WINDOW = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
@@ -35,8 +35,9 @@ def version_of_month(month_col: str = "period_month"):
 # ---------------------------------------------------------------- shared pieces
 
 def evidence(ctx: PlanContext) -> DataFrame:
+    """The evidence table; a hit is a line, and lines are counted from the file footers."""
     return ctx.table("posting-skill-evidence", lambda: requirements.posting_skill_evidence(
-        mapped_fact(ctx.spark, ctx.sf_dir), by=EVIDENCE_BY))
+        mapped_fact(ctx.spark, ctx.sf_dir), by=EVIDENCE_BY, n_hits=table(ctx.spark, ctx.sf_dir, "lineitem").count()))
 
 
 def requirements_of(ctx: PlanContext) -> DataFrame:
