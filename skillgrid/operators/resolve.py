@@ -2,16 +2,19 @@
 
 Skill signals are classified in a single pass: tier 1 (exact skill name) and
 tier 2 (exact alias) are equi-joins on the key; tier 3 (alias occurring inside
-the signal) looks the signal's tokens and four-character pieces up in an index
-with one term per alias, carrying only ids, and checks the aliases met on the
-signal itself.  Hits and unresolved signals come out of the same rows.
+the signal) checks each signal against a short alias table as it goes by.  A
+longer table is met by an index of one term per alias: the signal's tokens and
+four-character pieces are looked up, carrying only ids, and the aliases met are
+checked on the signal itself.  Hits and unresolved signals come out of the same
+rows.
 
 Alias guard (tier 3): an alias needs a whole-token match when one of its
 tokens has at most 3 characters or it is a collision word; otherwise a plain
 substring match is enough.  Token characters are letters, digits and ``+ # .``.
 A guarded alias made only of token characters matches exactly when it equals
-one of the signal's maximal token runs (an array lookup, no regex); other
-guarded aliases use a look-around regex.
+one of the signal's maximal token runs, which stand between single spaces in a
+text made once per signal (no regex per alias); other guarded aliases use a
+look-around regex.
 """
 
 from __future__ import annotations
@@ -132,19 +135,22 @@ def extract_signals(postings: DataFrame, *, posting: str, text: str) -> DataFram
 
 
 GRAM = 4
+# a search of a short alias takes about 1 ns a character, the index some hundred times that
+PAIRED_ALIASES = 200
 BROADCAST_ALIASES = 50_000  # rows of a few short strings each, some 10 MB
+ALIAS_FIELDS = ("normalized_alias", "skill_id", "skill_name", "requires_boundary", "single_run", "pattern")
 #: every four characters of a text, overlapping; a look-ahead finds them in one pass over it
 _EVERY_GRAM = f"(?s)(?=(.{{{GRAM}}}))"
 
 
-def _alias_candidates(keys: DataFrame, aliases: DataFrame) -> DataFrame:
+def _alias_candidates(keys: DataFrame, aliases: DataFrame, small: bool) -> DataFrame:
     """(key_id, found): the aliases that may occur in a key, by an index of one term per alias.
 
     A guarded alias starts at a token bound, so its term is its first token.
     All words of any other alias have more than three characters, so its term
     is four characters of it, from its longest token on where they fit.  A
     key's terms are its tokens and its runs of four characters; only ids and
-    terms leave the key's row.
+    terms leave the key's row.  A ``small`` index is sent to the terms.
     """
     parts = F.filter(F.split("normalized_alias", NON_TOKEN_RUN), lambda t: t != "")
     longest = F.get(F.array_sort(F.transform(parts, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(0))["t"]
@@ -152,40 +158,62 @@ def _alias_candidates(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     index = aliases.select(
         F.when(F.col("requires_boundary"), F.get(parts, F.lit(0)))
         .otherwise(F.substring("normalized_alias", start, F.lit(GRAM))).alias("_term"),
-        F.struct("normalized_alias", "skill_id", "skill_name", "requires_boundary", "single_run", "pattern").alias("_alias"))
+        F.struct(*ALIAS_FIELDS).alias("_alias"))
     terms = keys.select("key_id", F.explode(F.concat(
         F.split("signal_key", NON_TOKEN_RUN),
         F.regexp_extract_all("signal_key", F.lit(_EVERY_GRAM), F.lit(1)))).alias("_term"))
     # Spark's estimate of the terms is that of the text before it is exploded, so it would broadcast them
     # rather than the index; an index counted to be small is sent, a larger one meets the terms by a shuffle
-    small = index.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
     index = F.broadcast(index) if small else index.hint("merge")
     return terms.join(index, "_term").groupBy("key_id").agg(F.collect_set("_alias").alias("found"))
 
 
-def _contained(key: Column, alias: Column) -> Column:
+def _token_runs(key: Column) -> Column:
+    """The key's maximal token runs, each between single spaces."""
+    return F.concat(F.lit(" "), F.regexp_replace(key, NON_TOKEN_RUN, " "), F.lit(" "))
+
+
+def _contained(key: Column, runs: Column, alias: Column) -> Column:
     """The alias occurs in the key, at token bounds if its guard asks for that."""
     name = alias["normalized_alias"]
-    return F.contains(key, name) & (
-        ~alias["requires_boundary"]
-        | (alias["single_run"] & F.array_contains(F.split(key, NON_TOKEN_RUN), name))
-        | (~alias["single_run"] & F.regexp_like(key, alias["pattern"])))
+    whole = alias["requires_boundary"] & alias["single_run"]
+    return F.when(whole, F.contains(runs, F.concat(F.lit(" "), name, F.lit(" ")))).otherwise(
+        F.contains(key, name) & (~alias["requires_boundary"] | F.regexp_like(key, alias["pattern"])))
 
 
 def contained_aliases(signals: DataFrame, aliases: DataFrame, *, among: Column | None = None) -> DataFrame:
     """``signals`` with a row for each alias contained in its key (J4), as the struct ``t3``; null without any.
 
-    Only signals that meet the condition ``among`` are looked at.  Candidates
-    meet the signals by a 64-bit id of the key and are checked on the key
-    itself, so keys that share an id do no harm.  An alias without any token
-    character matches nothing.
+    Only signals that meet the condition ``among`` are looked at.  An alias
+    without any token character matches nothing.
     """
-    key_id = F.xxhash64("signal_key")
-    with_id = signals.withColumn("key_id", key_id if among is None else F.when(among, key_id))
     in_words = aliases.where(F.regexp_like("normalized_alias", F.lit(f"[{TOKEN_CHARS}]")))
-    found = _alias_candidates(with_id.where(F.col("key_id").isNotNull()).select("key_id", "signal_key"), in_words)
+    n = in_words.limit(BROADCAST_ALIASES + 1).count()
+    if n <= PAIRED_ALIASES:
+        return _contained_in_pairs(signals, in_words, among)
+    return _contained_by_index(signals, in_words, among, small=n <= BROADCAST_ALIASES)
+
+
+def _contained_in_pairs(signals: DataFrame, aliases: DataFrame, among: Column | None) -> DataFrame:
+    """Every signal checked against every alias of a short table, in the signal's own row: no shuffle."""
+    looked_at = F.lit(True) if among is None else among
+    with_runs = signals.withColumn("_runs", F.when(looked_at, _token_runs(F.col("signal_key"))))
+    table = aliases.select(F.struct(*ALIAS_FIELDS).alias("t3")).distinct()
+    found = F.col("_runs").isNotNull() & _contained(F.col("signal_key"), F.col("_runs"), F.col("t3"))
+    return with_runs.join(F.broadcast(table), found, "left").drop("_runs")
+
+
+def _contained_by_index(signals: DataFrame, aliases: DataFrame, among: Column | None, small: bool) -> DataFrame:
+    """Candidates meet the signals by a 64-bit id of the key and are checked on
+    the key itself, so keys that share an id do no harm."""
+    key, key_id = F.col("signal_key"), F.xxhash64("signal_key")
+    with_id = signals.withColumn("key_id", key_id if among is None else F.when(among, key_id))
+    found = _alias_candidates(with_id.where(F.col("key_id").isNotNull()).select("key_id", "signal_key"), aliases, small)
+    # the runs are the one element of an array, so they are made once for a signal and not for each alias
+    checked = F.flatten(F.transform(F.array(_token_runs(key)), lambda runs: F.filter(
+        F.col("found"), lambda a: _contained(key, runs, a))))
     return (with_id.join(found, "key_id", "left")
-            .withColumn("t3", F.explode_outer(F.filter("found", lambda a: _contained(F.col("signal_key"), a))))
+            .withColumn("t3", F.explode_outer(F.when(F.col("found").isNotNull(), checked)))
             .drop("key_id", "found"))
 
 
