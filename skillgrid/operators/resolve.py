@@ -135,7 +135,7 @@ def extract_signals(postings: DataFrame, *, posting: str, text: str) -> DataFram
 
 
 GRAM = 4
-# a search of a short alias takes about 1 ns a character, the index some hundred times that
+# each alias is one more search of every signal, so a longer table goes by the index (where that pays was not measured)
 PAIRED_ALIASES = 200
 BROADCAST_ALIASES = 50_000  # rows of a few short strings each, some 10 MB
 ALIAS_FIELDS = ("normalized_alias", "skill_id", "skill_name", "requires_boundary", "single_run", "pattern")
