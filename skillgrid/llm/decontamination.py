@@ -35,6 +35,8 @@ DIMS = 1 << 14  # hashed vocabulary
 RANK, SKETCH = 64, 80  # latent dimensions; columns of the random test matrix, some more for accuracy
 PASSAGE = 32  # words of a training passage
 STRIDE = 8  # words between window starts
+SIGNS = 8  # 64-bit numbers of a region's word bits
+BESIDE = 4  # windows whose missing words are counted at once
 MARGIN = 4  # words allowed beyond an item's own length when words are compared
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20  # of the benchmark sent at once
 
@@ -66,6 +68,17 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
             yield b, lo, texts[lo:hi]
 
 
+def _hashed(hasher: WordHasher, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words and the first word of each text, in runs of texts that fit the cache."""
+    ids, first, n = [], [np.zeros(1, np.int64)], 0
+    for lo, hi in small_batches(texts, 1 << 16):
+        words, starts = hasher(texts[lo:hi])
+        ids.append(words)
+        first.append(starts[1:] + n)
+        n += len(words)
+    return np.concatenate(ids), np.concatenate(first)
+
+
 def passage_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
     """Weight of each hashed word, from the passages of all documents that hold it.
 
@@ -74,7 +87,7 @@ def passage_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, n = WordHasher(drop=PUNCTUATION), np.zeros(DIMS, np.int64), 0
         for _, _, texts in _texts(batches, 0):
-            ids, first = hasher(texts)
+            ids, first = _hashed(hasher, texts)
             starts = _passages(first, PASSAGE)
             which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
             pairs = np.sort(which * DIMS + _features(ids))  # (passage, word), each counted once
@@ -94,6 +107,21 @@ def _test_matrix() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((DIMS, SKETCH)).astype(np.float32)
 
 
+def _add_sketch(z: np.ndarray, omega: np.ndarray, f: np.ndarray, starts: np.ndarray) -> None:
+    """Add A^T (A Omega) of some passages to ``z``; both matrices have a row for each column of Omega.
+
+    One column at a time: its numbers stay in the cache, and no words x columns array is formed.
+    """
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
+    order = np.argsort(f.astype(np.uint16), kind="stable")  # rows of A Omega are added up by word
+    sorted_f, passage = f[order], which[order]
+    at = np.flatnonzero(np.diff(sorted_f, prepend=-1))
+    words, held = sorted_f[at], np.empty(len(f), np.float32)
+    for column, total in zip(omega, z):
+        y = np.add.reduceat(np.take(column, f, out=held, mode="clip"), starts)
+        total[words] += np.add.reduceat(np.take(y, passage, out=held, mode="clip"), at)
+
+
 def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> np.ndarray:
     """DIMS x RANK map into the latent space, by a randomised SVD over all passages.
 
@@ -106,22 +134,15 @@ def latent_map(docs: DataFrame, idf: np.ndarray, *, text_col: str = "text") -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
-        omega = (_test_matrix() * weight[:, None]).astype(np.float32)
-        hasher, z = WordHasher(drop=PUNCTUATION), np.zeros((DIMS, SKETCH))
+        omega = np.ascontiguousarray((_test_matrix() * weight[:, None]).astype(np.float32).T)
+        hasher, z = WordHasher(drop=PUNCTUATION), np.zeros((SKETCH, DIMS))
         for _, _, texts in _texts(batches, 0, 1 << 21):
-            ids, first = hasher(texts)
+            ids, first = _hashed(hasher, texts)
             if not len(ids):
                 continue
-            f, starts = _features(ids), _passages(first, PASSAGE)
-            y = np.add.reduceat(omega[f], starts, axis=0)  # rows of A Omega
-            which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-            order = np.argsort(f.astype(np.uint16), kind="stable")  # add up rows of Y by word
-            sorted_f = f[order]
-            at = np.flatnonzero(np.diff(sorted_f, prepend=-1))
-            z[sorted_f[at]] += np.add.reduceat(y[which[order]], at, axis=0)
-        z *= weight[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)),
-                                          *(pa.array(np.ascontiguousarray(c)) for c in z.T)], ["f", *cols])
+            _add_sketch(z, omega, _features(ids), _passages(first, PASSAGE))
+        z *= weight
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)), *map(pa.array, z)], ["f", *cols])
 
     # tasks' matrices are added row by row, so no reducer holds more than its running sums
     rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "f int, " + ", ".join(f"{c} double" for c in cols))
@@ -200,12 +221,60 @@ def _masks(words: np.ndarray) -> tuple[dict[int, int], int]:
 
 
 def _signs(f: np.ndarray) -> np.ndarray:
-    """One of 256 bits for each hashed word, as four 64-bit numbers."""
-    out = np.zeros((len(f), 4), np.uint64)
-    out[np.arange(len(f)), (f >> 6) & 3] = np.uint64(1) << (f & 63).astype(np.uint64)
+    """One of 64 * SIGNS bits for each hashed word, as SIGNS numbers."""
+    out = np.zeros((len(f), SIGNS), np.uint64)
+    out[np.arange(len(f)), (f >> 6) & (SIGNS - 1)] = np.uint64(1) << (f & 63).astype(np.uint64)
+    return out
+
+
+def _stride_sums(place: np.ndarray, f: np.ndarray, starts: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Sum of the places of each stride's words, by the words' place in the stride, in blocks that fit the cache."""
+    out = np.empty((len(starts), place.shape[1]), np.float32)
+    sizes = np.diff(np.append(starts, len(f)))
+    whole, held = np.flatnonzero(sizes == STRIDE), np.empty((min(block, len(starts)), place.shape[1]), np.float32)
+    for lo in range(0, len(whole), block):
+        some = whole[lo:lo + block]
+        at, row = starts[some], held[:len(some)]
+        rest = place[f[at + 1]]
+        for j in range(2, STRIDE):
+            rest += np.take(place, f[at + j], axis=0, out=row, mode="clip")
+        out[some] = np.take(place, f[at], axis=0, out=row, mode="clip") + rest
+    cut = np.flatnonzero(sizes != STRIDE)  # at the end of a text
+    if len(cut):
+        n = sizes[cut]
+        edge = np.cumsum(n) - n
+        out[cut] = np.add.reduceat(place[f[np.arange(n.sum()) - np.repeat(edge - starts[cut], n)]], edge, axis=0)
     return out
 
 
+def _near(cosine: np.ndarray, min_cosine: float, missing: np.ndarray, wanted: np.ndarray,
+          limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) of the pairs that are near enough and may have enough of the item's words.
+
+    ``missing`` has, for each window, the bits that no word of its region sets:
+    a bit that the item wants there is a word it lacks.  What no region of
+    ``BESIDE`` neighbours sets is counted first, for all of them at once.
+    """
+    n = len(missing)
+    shared = np.full((-(-n // BESIDE), BESIDE, SIGNS), ~np.uint64(0))
+    shared.reshape(-1, SIGNS)[:n] = missing
+    shared = np.ascontiguousarray(np.bitwise_and.reduce(shared, axis=1).T)
+    at, item = [], []
+    bits, count = np.empty(shared.shape[1], np.uint64), np.empty(shared.shape[1], np.uint8)
+    for i, most in enumerate(limit):
+        lacks = np.zeros(shared.shape[1], np.uint8)  # past 255 it starts anew, and only lets a pair through
+        for row, want in zip(shared, wanted[i]):
+            if want:
+                lacks += np.bitwise_count(np.bitwise_and(row, want, out=bits), out=count)
+        some = (np.flatnonzero(lacks <= most)[:, None] * BESIDE + np.arange(BESIDE)).ravel()
+        some = some[some < n]
+        at.append(some[cosine[some, i] >= min_cosine])
+        item.append(np.full(len(at[-1]), i))
+    at, item = np.concatenate(at), np.concatenate(item)
+    can = np.bitwise_count(missing[at] & wanted[item]).sum(axis=1, dtype=np.int64) <= limit[item]
+    return at[can], item[can]
+
+
 def _local_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each item: number of a hashed word within the item (the last column: not in it), and how often it occurs."""
     wide = max(len(np.unique(_features(w))) for w in words) + 1
@@ -250,7 +319,7 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
         local, counts = _local_words(block.words)
         wanted = np.stack([np.bitwise_or.reduce(_signs(_features(w)), axis=0) for w in block.words])
         for b, lo, texts in _texts(batches, 1):
-            ids, first = hasher(texts)
+            ids, first = _hashed(hasher, texts)
             if not len(ids):
                 continue
             best: dict[tuple[int, int], tuple] = {}
@@ -258,7 +327,7 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
             owner = np.searchsorted(first, starts, side="right") - 1
             last = np.searchsorted(starts, first[owner + 1])  # strides before the end of the text
             sums = np.zeros((len(starts) + 1, place.shape[1]), np.float32)
-            np.cumsum(np.add.reduceat(place[f], starts, axis=0), axis=0, out=sums[1:])
+            np.cumsum(_stride_sums(place, f, starts), axis=0, out=sums[1:])
             near_end = last - np.arange(len(starts))  # strides from here to the end of the text
             signs = np.bitwise_or.reduceat(_signs(f), starts, axis=0)
             ends = np.append(starts, len(ids))
@@ -274,17 +343,14 @@ def search(docs: DataFrame, items: Items, latent: np.ndarray, rules: Rules, *, i
                 w[short] = sums[hi[short]] - sums[short]
                 w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)[:, None]
                 cosine = w @ block.places[which].T
-                at, item = np.nonzero(cosine >= rules.min_cosine)
-                if not len(at):
-                    continue
-                # bits of the item's words that no word of the region sets: so many words are missing at least
                 around = signs.copy()
                 for step in range(-reach, size + reach):
                     lo_, hi_ = max(0, -step), min(len(starts), len(starts) - step)
                     around[lo_:hi_] |= signs[lo_ + step:hi_ + step]
-                miss = np.bitwise_count(wanted[which[item]] & ~around[at]).sum(axis=1, dtype=np.int64)
-                can = miss <= lengths[which[item]] * (1 - rules.paraphrase_share)
-                at, item = at[can], item[can]
+                at, item = _near(cosine, rules.min_cosine, ~around, wanted[which],
+                                 lengths[which] * (1 - rules.paraphrase_share))
+                if not len(at):
+                    continue
                 near, item = cosine[at, item], which[item]
                 begin = np.maximum(starts[at] - margin[item], first[owner[at]])
                 end = np.minimum(ends[hi[at]] + margin[item], first[owner[at] + 1])

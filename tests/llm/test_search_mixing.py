@@ -36,6 +36,34 @@ def test_finds_every_verbatim_item_of_the_corpus(spark):
     assert len(got - loose) <= 1 + len(loose) // 20
 
 
+def test_near_pairs_are_all_that_cosine_and_missing_words_leave():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        cosine = rng.random((n, 5), np.float32)
+        missing, wanted = (rng.integers(0, 1 << 63, (k, decontamination.SIGNS), np.uint64) for k in (n, 5))
+        wanted[0], limit = 0, np.array([0, 90, 120, 128.5, 300])
+        at, item = decontamination._near(cosine, 0.4, missing, wanted, limit)
+        lacks = np.array([[sum((int(m) & int(w)).bit_count() for m, w in zip(a, b)) for b in wanted] for a in missing])
+        assert sorted(zip(at.tolist(), item.tolist())) == list(map(tuple, np.argwhere((cosine >= 0.4) & (lacks <= limit)).tolist()))
+
+
+def test_sums_by_column_and_by_word_place_equal_the_plain_ones():
+    rng = np.random.default_rng(6)
+    ids, first = decontamination._hashed(decontamination.WordHasher(), [
+        " ".join(map(str, rng.integers(0, 900, n))) for n in (0, 3, 8, 700, 0, 65, 1)] + [None, "last"])
+    plain = decontamination.WordHasher()(["a"])[0], [0, 0, 3, 11, 711, 711, 776, 777, 777, 778]
+    assert first.tolist() == plain[1] and len(ids) == 778 and (ids != plain[0]).all()
+    f = decontamination._features(ids)
+    starts, omega = decontamination._passages(first, decontamination.PASSAGE), decontamination._test_matrix()
+    z, y = np.zeros(omega.T.shape), np.zeros((decontamination.DIMS, omega.shape[1]))
+    decontamination._add_sketch(z, np.ascontiguousarray(omega.T), f, starts)
+    for a, b in zip(starts, [*starts[1:], len(f)]):
+        np.add.at(y, f[a:b], omega[f[a:b]].sum(axis=0))
+    assert np.allclose(z.T, y, atol=1e-3)
+    strides = decontamination._passages(first, decontamination.STRIDE)
+    assert np.array_equal(decontamination._stride_sums(omega, f, strides), np.add.reduceat(omega[f], strides, axis=0))
+
+
 def _texts():
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(900)]
