@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
@@ -118,3 +119,44 @@ def test_damage_is_found():
             list(token_files.read_segments(bytes(bad)))
     with pytest.raises(ValueError):
         list(token_files.read_segments(record[:-5]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 5_000, 300_000])
+def test_pairs_part_again(n):
+    rng = np.random.default_rng(n)
+    for top in (1, 2, 60, 50_000, 65_535, 65_536, 1 << 20):
+        ids = np.minimum(rng.geometric(0.05, n) - 1, top - 1).astype(np.int32)
+        ids[n // 2:n // 2 + 3], ids[-1:] = 0, top - 1
+        symbols, pairs = idcoder.join_pairs(ids, top)
+        assert (idcoder.part_pairs(symbols, top, pairs) == ids).all()
+        if n > 5_000 and top in (60, 50_000):  # common pairs leave less to code
+            assert len(symbols) < 0.7 * n and top + len(pairs) <= 1 << 16
+
+
+def test_a_word_is_encoded_once_whatever_surrounds_it(monkeypatch):
+    """Before, each of these pieces was an encoding of its own, and anew in each task."""
+    encoder = token_files.Encoder(open(DEFINITION, encoding="utf-8").read())
+    given = []
+    parts = token_files.Encoder._parts
+    encoder.parts = token_files.Known(lambda strings: (given.extend(strings.to_pylist()), parts(encoder, strings))[1])
+    texts = ["Word word, WORD. (word) word&&&", "word! word_word été Été,", "word 12 word"]
+    tok = Tokenizer.from_file(DEFINITION)
+    for _ in range(2):
+        got = list(encoder.encode(pa.array([t.encode() for t in texts], pa.binary()), 1))
+        assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert given.count("word") == 1 and len(given) == len(set(given))
+
+
+def test_characters_that_change_a_split(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", 500)
+    monkeypatch.setattr(token_files, "PIECES_AT_ONCE", 50)
+    monkeypatch.setattr(token_files, "LEARNED_AT_ONCE", 100)
+    rng = random.Random(8)
+    chars = [*"abAB'<>|.,!$&#*%0129çÇéÉßÿµªº×÷İΣσςſKǺ̈ゔ한ᄀ가क़٣²½\u00ad\u200b\x85\xa0\u2028\x1c\x00\x7f😀",
+             "e\u0301", "'s", "'T", "'LL", "<|endoftext|>", "<|startoftext|>", "don't", "l'été", " ", " ", "\n", "\t "]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(40))) for _ in range(2_000)]
+    tok = Tokenizer.from_file(DEFINITION)
+    encoder = token_files.Encoder(open(DEFINITION, encoding="utf-8").read())
+    for a in range(0, len(texts), 400):
+        got = list(encoder.encode(pa.array([t.encode() for t in texts[a:a + 400]], pa.binary()), 1))
+        assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts[a:a + 400]]
