@@ -243,12 +243,15 @@ def join_pairs(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros((0, 2), np.int32)
     if most <= 0 or len(ids) < 2:
         return ids, none
-    pair = ids[:-1].astype(np.uint32)
-    pair <<= np.uint32(16)
-    pair |= ids[1:].view(np.uint32)
-    step = -(-len(pair) // CHOICE)
-    some = pair if step == 1 else pair[:len(pair) // RUN * RUN].reshape(-1, RUN)[::step].ravel()
-    keys, counts = np.unique(some, return_counts=True)
+
+    def pairs_of(x: np.ndarray) -> np.ndarray:
+        pair = x[:-1].astype(np.uint32)
+        pair <<= np.uint32(16)
+        pair |= x[1:].view(np.uint32)
+        return pair
+
+    step = RUN * -(-len(ids) // CHOICE)
+    keys, counts = np.unique(np.concatenate([pairs_of(ids[a:a + RUN + 1]) for a in range(0, len(ids), step)]), return_counts=True)
     order = np.argsort(-counts, kind="stable")[:most]
     keys = keys[order[counts[order] >= LEAST_SEEN]]
     if not len(keys):
@@ -258,15 +261,20 @@ def join_pairs(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     key_at, symbol_at = np.zeros(1 << _SLOT_BITS, np.uint32), np.zeros(1 << _SLOT_BITS, np.int32)
     key_at[0] = 1  # an empty slot holds a key of another slot
     key_at[slot], symbol_at[slot] = keys[own], base + np.arange(len(own))
-    at = place(pair)
-    hit = np.flatnonzero(key_at.take(at, mode="clip") == pair)
-    i = np.arange(len(hit))  # neighbours overlap: of hits in a row, every other
-    begins = np.ones(len(hit), bool)
-    begins[1:] = hit[1:] != hit[:-1] + 1
-    hit = hit[((i - np.maximum.accumulate(np.where(begins, i, 0))) & 1) == 0]
-    symbols, stays = ids.copy(), np.ones(len(ids), bool)
-    symbols.put(hit, symbol_at.take(at.take(hit)))
-    stays[hit + 1] = False
+    symbols, stays, free = ids.copy(), np.ones(len(ids), bool), 0
+    for a in range(0, len(ids) - 1, CHOICE):  # as much as the cache holds
+        pair = pairs_of(ids[a:a + CHOICE + 1])
+        at = place(pair)
+        hit = np.flatnonzero(key_at.take(at, mode="clip") == pair)
+        if len(hit) and hit[0] + a < free:  # its first id is taken already
+            hit = hit[1:]
+        i = np.arange(len(hit))  # neighbours overlap: of hits in a row, every other
+        begins = np.ones(len(hit), bool)
+        begins[1:] = hit[1:] != hit[:-1] + 1
+        hit = hit[((i - np.maximum.accumulate(np.where(begins, i, 0))) & 1) == 0]
+        symbols[a:].put(hit, symbol_at.take(at.take(hit)))
+        stays[a + 1:].put(hit, False)
+        free = a + int(hit[-1]) + 2 if len(hit) else free
     return symbols[stays], np.stack([keys[own] >> np.uint32(16), keys[own] & np.uint32(0xFFFF)], 1).astype(np.int32)
 
 

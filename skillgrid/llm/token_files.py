@@ -48,8 +48,8 @@ LEAST_BLOCK = 256
 SEGMENT = LANES * BLOCK  # ids after which a segment is closed, at a document's end
 SHARD_BYTES = 16 << 20  # of text, aimed at
 SEGMENTS_PER_FILE = 4
-KNOWN_PIECES = 500_000  # beyond these a worker keeps those of the last texts only
-CHUNK = 8 << 20  # bytes of text looked up at a time
+KNOWN_PIECES = 500_000  # beyond these a worker starts anew; more cost more to look through than to encode again
+CHUNK = 10 << 20  # bytes of text looked up at a time
 PIECES_AT_ONCE = 250_000  # turned into ids at a time
 WORDS_AT_ONCE = 200  # in a text for the tokenizer
 LEARNED_AT_ONCE = 50_000  # strings
@@ -82,8 +82,7 @@ class Known:
         last = coded.chunk(coded.num_chunks - 1)
         new = last.dictionary.slice(len(self.strings))
         if len(new):
-            got = [self.learn(new.slice(a, LEARNED_AT_ONCE)) for a in range(0, len(new), LEARNED_AT_ONCE)]
-            ids, sizes = (np.concatenate(x) for x in zip(*got))
+            ids, sizes = self.learn(new)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
             self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
             self.strings = last.dictionary
@@ -96,12 +95,6 @@ class Known:
         n = int(total[-1]) if len(total) else 0
         return self.ids[np.repeat(self.start[places] - total + sizes, sizes) + np.arange(n)], sizes
 
-    def keep(self, places: np.ndarray) -> None:
-        """Forget all strings but these."""
-        ids, sizes = self.ids_at(places)
-        self.strings = self.strings.take(pa.array(places))
-        self.start, self.size, self.ids = np.cumsum(sizes) - sizes, sizes, ids
-
 
 class Encoder:
     """Ids of texts by a tokenizer whose pieces end at white space.
@@ -173,7 +166,12 @@ class Encoder:
         return self._both(strings, pc.match_substring_regex(strings, f"^[{LETTERS}]+$"), self._words, self._whole)
 
     def _parts(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self._both(strings, pc.match_substring_regex(strings, "^[a-z]+$"), self._ascii, self._others)
+        got = []
+        for a in range(0, len(strings), LEARNED_AT_ONCE):
+            some = strings.slice(a, LEARNED_AT_ONCE)
+            got.append(self._both(some, pc.match_substring_regex(some, "^[a-z]+$"), self._ascii, self._others))
+        ids, sizes = zip(*got)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _split(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(
@@ -206,10 +204,10 @@ class Encoder:
             for a, b in zip(cut[:-1], cut[1:]):
                 yield np.concatenate([out[a:b], end])
             lo = hi
-        if len(self.pieces.strings) > KNOWN_PIECES:
-            self.pieces.keep(np.unique(at))
-            if len(self.parts.strings) > KNOWN_PIECES:
-                self.parts = Known(self._parts)
+        if self.splits or len(self.pieces.strings) > KNOWN_PIECES:  # cutting a piece again costs less than keeping it
+            self.pieces = Known(self._pieces)
+        if len(self.parts.strings) > KNOWN_PIECES:
+            self.parts = Known(self._parts)
 
 
 def segment_bytes(shard: int, place: int, docs: list[int | None], ids: list[np.ndarray], bits: int) -> bytes:
